@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.markov import cluster_report, majority_labels, vector_clusters
+from tessera.llm.quantised_search import nearest_neighbours, neighbour_pairs
 from tessera.llm.residue import find_residue, without_residue
 from tessera.llm.vectors import node_vectors
 
@@ -30,6 +31,10 @@ def p2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return majority_labels(clusters, _table(spark, sf_dir, "node_df"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_pairs(nearest_neighbours(node_vectors(_table(spark, sf_dir, "patch")), 5))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(_table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"))
 
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found,
         "p2_typical": p2_typical,
         "p2_labels": p2_labels,
+        "p4_found": p4_found,
         "p9_found": p9_found,
         "p9_clean": p9_clean,
     }
@@ -71,6 +77,13 @@ _GROUPS = (
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _GROUPS + " SELECT cluster_node, node FROM named WHERE size >= 10",
+        "p4_found": _VECTORS
+        + """, near AS (
+  SELECT a.node AS node, b.node AS other,
+    row_number() OVER (PARTITION BY a.node ORDER BY array_distance(a.v, b.v), b.node) AS r
+  FROM vectors a JOIN vectors b ON a.node <> b.node
+)
+SELECT DISTINCT least(node, other) AS node_a, greatest(node, other) AS node_b FROM near WHERE r <= 5""",
         "p2_labels": _GROUPS
         + """, counts AS (
   SELECT n.cluster_node, d.y, count(*) AS n_rows
