@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.markov import cluster_report, majority_labels, vector_clusters
+from tessera.llm.mixing import expand_uses, mix, share_report
+from tessera.llm.packing import pack, packing_report
 from tessera.llm.quantised_search import nearest_neighbours, neighbour_pairs
 from tessera.llm.residue import find_residue, without_residue
+from tessera.llm.tokens import with_token_counts
 from tessera.llm.vectors import node_vectors
+from tessera.session import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +39,37 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(nearest_neighbours(node_vectors(_table(spark, sf_dir, "patch")), 5))
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their size in tokens; texts are tokenised once."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return materialize(with_token_counts(documents).drop("text"), "token-counts")
+
+
+def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    # A parameter table of a few rows.
+    rows = _table(spark, sf_dir, "pack_size").where("pack_name is not null and capacity > 0").orderBy("capacity", "pack_name").collect()
+    return [(r["pack_name"], r["capacity"]) for r in rows]
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_sized(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacities = _capacities(spark, sf_dir)
+    return packing_report(pack(_sized(spark, sf_dir), capacities), capacities)
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used, _ = mix(_sized(spark, sf_dir), _table(spark, sf_dir, "mix_target"))
+    return expand_uses(used)
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used, plans = mix(_sized(spark, sf_dir), _table(spark, sf_dir, "mix_target"))
+    return share_report(used, plans)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(_table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"))
 
@@ -49,6 +84,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_typical": p2_typical,
         "p2_labels": p2_labels,
         "p4_found": p4_found,
+        "p7_packed": p7_packed,
+        "p7_report": p7_report,
+        "p8_mix": p8_mix,
+        "p8_shares": p8_shares,
         "p9_found": p9_found,
         "p9_clean": p9_clean,
     }
