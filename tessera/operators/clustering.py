@@ -40,7 +40,7 @@ def _in_one_task(graph: PropertyGraph, kernel: Callable[[np.ndarray, np.ndarray,
         labels = kernel(ids, u, v, edges["weight"].to_numpy(float)) if len(ids) else np.zeros(0, int)
         return pd.DataFrame({"node": ids, "cluster": labels.astype(np.int64)})
 
-    return materialize(rows.groupBy(F.lit(1)).applyInPandas(run, _PARTITION), "partition")
+    return materialize(rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, _PARTITION), "partition")
 
 
 def fennel(graph: PropertyGraph, k: int, load_limit: float = 1.1, alpha: float | None = None, gamma: float = 1.5, num_iters: int = 1) -> DataFrame:

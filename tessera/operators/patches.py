@@ -80,7 +80,7 @@ def _expansion_kernel(least: int, target: int, seed: int):
             near.setdefault(int(s), set()).add(int(t))
         out_j, out_node = [], []
         seeds = {int(j): set(g["a"].astype(np.int64).tolist()) for j, g in rows[rows["kind"] == 2].groupby("j")}
-        for j in sorted(rows.loc[rows["kind"] == 3, "j"].astype(int).unique()):
+        for j in sorted(int(x) for x in rows.loc[rows["kind"] == 3, "j"].unique()):
             chosen: list[int] = []
             taken: set[int] = set()
             frontier = seeds.get(j, set())
