@@ -13,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.schema import pick
 from tessera.session import materialize
 
 DEFAULT_CHUNK_ROWS = 1 << 17
 
 
-def number_rows(table: DataFrame, order_is_file_order: bool = True) -> DataFrame:
+def number_rows(table: DataFrame) -> DataFrame:
     """Add ``row_no``, the 0-based global number of each row of a parquet table.
 
     ``table`` must come straight from a parquet scan.  Rows per file are
@@ -61,7 +62,7 @@ def key_stats(
     """
     if chunk_rows < 1:
         raise ValueError("chunk_rows must be positive")
-    rows = edges.select(
+    rows = pick(edges, src, dst, value).select(
         F.col(src).cast("long").alias("s"), F.col(dst).cast("long").alias("d"), F.col(value).cast("double").alias("v")
     )
     pairs = rows.groupBy("s", "d").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.schema import pick
+
 
 def snapshot_number(timestamp) -> F.Column:
     """The calendar date of a timestamp as a bigint ``yyyymmdd``."""
@@ -39,6 +41,8 @@ def orphan_references(
     * An empty parent table makes every reference ``missing``; an empty child
       table gives no rows.  Extra columns are ignored.
     """
+    children = pick(children, child_time, *child_columns)
+    parents = pick(parents, parent_time, parent_key)
     counts = [f"n_{c}" for c in child_columns]
     day = F.to_date(F.col(parent_time))
     tagged = parents.select(

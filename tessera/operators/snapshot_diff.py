@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.references import snapshot_number
+from tessera.schema import pick
 
 
 def latest_states(
@@ -29,6 +30,7 @@ def latest_states(
     Of rows with equal ``loaded`` the largest value wins, null counting as the
     smallest and NaN as the largest.  Rows with a null time or key don't count.
     """
+    rows = pick(rows, time, *keys, value, loaded)
     named = [F.col(k).cast("long").alias(f"k{i}") for i, k in enumerate(keys)]
     names = [f"k{i}" for i in range(len(keys))]
     usable = rows.select(
@@ -60,6 +62,7 @@ def snapshot_changes(
     a NaN and a number differ.  The first date has no rows, so a table with one
     date, or none, gives an empty result.  Extra columns are ignored.
     """
+    rows = pick(rows, time, *keys, value, loaded)
     names = [f"k{i}" for i in range(len(keys))]
     states = latest_states(rows, keys, value, time, loaded).repartition(*names)
     days = (

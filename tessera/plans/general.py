@@ -147,9 +147,9 @@ WITH raw AS (
          string_split(regexp_replace(content, '^' || chr(65279), ''), chr(10)) AS lines
   FROM raw_file WHERE regexp_matches(file_name, '(^|/)as\d{8}\.txt$')
 ), cut AS (
-  SELECT snapshot, unnest(lines) AS line FROM raw
+  SELECT snapshot, unnest(lines) AS line, unnest(range(len(lines))) < len(lines) - 1 AS ended FROM raw
 ), clean AS (
-  SELECT snapshot, CASE WHEN ends_with(line, chr(13)) THEN left(line, length(line) - 1) ELSE line END AS line FROM cut
+  SELECT snapshot, CASE WHEN ended AND ends_with(line, chr(13)) THEN left(line, length(line) - 1) ELSE line END AS line FROM cut
 )
 SELECT DISTINCT snapshot,
   CAST(regexp_extract(line, '^[ \t]*(\d+)[ \t]+(\d+)[ \t]*$', 1) AS BIGINT) - 1 AS src,

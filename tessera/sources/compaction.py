@@ -19,9 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.schema import pick
 from tessera.session import delete_path, scratch_path
 
 DEFAULT_TARGET_BYTES = 128 << 20
+_NAME, _FILES, _SLOT = "__partition_name", "__partition_files", "__file_slot"
 
 
 class ConflictError(RuntimeError):
@@ -55,31 +57,60 @@ class VersionedTable:
 
     # -- versions ---------------------------------------------------------
 
-    def version(self) -> int:
-        """The last committed version, 0 for a table without any."""
+    def _log(self) -> set[str]:
         log = self._at("_versions")
-        if not self._fs.exists(log):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(log)]
-        return max([int(n.split(".")[0]) for n in names if n.endswith(".json") and n[0].isdigit()], default=0)
+        return {s.getPath().getName() for s in self._fs.listStatus(log)} if self._fs.exists(log) else set()
+
+    def version(self) -> int:
+        """The last version that a writer took, 0 for a table without any."""
+        return max([int(n[:12]) for n in self._log() if n.endswith(".json")], default=0)
+
+    def begin(self) -> int:
+        """The version to build on; fails while another writer is at work."""
+        last = self.version()
+        if last and f"{last:012d}.done" not in self._log():
+            raise ConflictError(f"version {last} of {self.path} is being written; recover() completes it if its writer died")
+        return last
 
     def commit(self, base: int, note: dict) -> int:
-        """Record the version after ``base``; fails if another writer has.
+        """Take the version after ``base``; fails if another writer has.
 
         The log entry is created exclusively, so of two writers with the same
-        base only one succeeds.
+        base only one succeeds; the file system must support that.  Others
+        can't begin until :meth:`finish`.
         """
-        entry = self._at("_versions", f"{base + 1:012d}.json")
+        if not self._create(f"{base + 1:012d}.json", json.dumps(note | {"at": time.time()})):
+            raise ConflictError(f"version {base + 1} of {self.path} was taken by another writer")
+        return base + 1
+
+    def finish(self, version: int) -> None:
+        self._create(f"{version:012d}.done", "")
+
+    def recover(self) -> bool:
+        """Complete a compaction whose writer died after it took its version."""
+        last = self.version()
+        if not last or f"{last:012d}.done" in self._log():
+            return False
+        note = json.loads(self.spark.read.text(f"{self.path}/_versions/{last:012d}.json").first()[0])
+        if note["operation"] != "compact":
+            raise ConflictError(f"version {last} of {self.path} is an unfinished {note['operation']}")
+        self._replace(self._staged(note["schema"], note["staging"]))
+        self.finish(last)
+        delete_path(self.spark, note["staging"])
+        return True
+
+    def _create(self, name: str, content: str) -> bool:
+        entry = self._at("_versions", name)
         self._fs.mkdirs(self._at("_versions"))
         try:
             stream = self._fs.create(entry, False)
-        except Exception as problem:  # the file system's own exception, wrapped by the gateway
+        except Exception:  # the file system's own exception, wrapped by the gateway
             if self._fs.exists(entry):
-                raise ConflictError(f"version {base + 1} of {self.path} was written by another writer") from problem
+                return False
             raise
-        stream.write(bytearray(json.dumps(note | {"at": time.time()}).encode()))
+        stream.write(bytearray(content.encode()))
         stream.close()
-        return base + 1
+        return True
 
     # -- data -------------------------------------------------------------
 
@@ -91,9 +122,10 @@ class VersionedTable:
 
     def append(self, rows: DataFrame) -> int:
         """Add rows as they come, however many files that makes."""
-        base = self.version()
+        version = self.commit(self.begin(), {"operation": "append"})
         rows.write.mode("append").partitionBy(self.partition_column).parquet(self.path)
-        return self.commit(base, {"operation": "append"})
+        self.finish(version)
+        return version
 
     def files(self, partitions: DataFrame | None = None) -> DataFrame:
         """``partition, path, length, modified`` of every data file.
@@ -143,12 +175,15 @@ class VersionedTable:
         rows stay repeated, and the number of rows and the sum of their hashes
         must be equal before and after, or nothing is replaced.
         Raises :class:`ConflictError` if the table got a new version or a
-        rewritten partition got other files meanwhile.
+        rewritten partition got other files meanwhile.  From the moment the
+        version is taken the new rows lie in a staging folder that the log
+        names, until they have replaced the old ones.
         """
         if target_bytes < 1:
             raise ValueError("target_bytes must be positive")
-        base = self.version()
-        plan = self.plan(target_bytes // 2 if small_bytes is None else small_bytes, max_small_files)
+        small_bytes = max(1, target_bytes // 2) if small_bytes is None else small_bytes
+        base = self.begin()
+        plan = self.plan(small_bytes, max_small_files)
         staged_plan = scratch_path(self.spark, "compaction-plan")
         plan.write.parquet(staged_plan)
         plan = self.spark.read.parquet(staged_plan)
@@ -158,35 +193,51 @@ class VersionedTable:
             return None
         staging = scratch_path(self.spark, "compaction")
         try:
-            rows = self.read()
-            column = F.col(self.partition_column)
-            # File counts per partition: one small row per partition of the table, not per record.
-            wanted = plan.select(
-                "partition", F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / F.lit(target_bytes))).cast("int").alias("_files")
-            )
-            others = [c for c in rows.columns if c != self.partition_column]
-            chosen = (
-                rows.withColumn("_partition", column.cast("string"))
-                .join(wanted, F.col("_partition") == F.col("partition"))
-                .withColumn("_slot", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in others]), F.col("_files")))
-            )
-            self._write(chosen.drop("_partition", "partition", "_files"), staging, "_slot")
-            before, after = self._digest(rows.withColumn("partition", column.cast("string")).join(plan.select("partition"), "partition", "left_semi").drop("partition")), self._digest(self.spark.read.schema(rows.schema).parquet(staging))
-            if before != after:
-                raise RuntimeError(f"compaction of {self.path} would change its rows: {before} became {after}")
-            self._check(base, plan, small_bytes=target_bytes // 2 if small_bytes is None else small_bytes, max_small_files=max_small_files)
-            version = self.commit(base, {"operation": "compact", "partitions": totals[0]})
-            self._replace(self.spark.read.schema(rows.schema).parquet(staging))
-            files_after = self.files(plan).count()
-            return CompactionResult(version, totals[0], totals[1], files_after, after[0])
-        finally:
+            staged, n_rows = self._stage(plan, target_bytes, staging)
+            self._check(base, plan, small_bytes, max_small_files)
+            note = {"operation": "compact", "partitions": totals[0], "staging": staging, "schema": staged.schema.toDDL()}
+            version = self.commit(base, note)
+        except BaseException:
             delete_path(self.spark, staging)
-            delete_path(self.spark, staged_plan)
-
-    def _write(self, rows: DataFrame, path: str, slot: str) -> None:
-        """One file per partition and slot."""
-        spread = rows.repartition(self.partition_column, slot)
-        spread.sortWithinPartitions(self.partition_column, slot).drop(slot).write.partitionBy(self.partition_column).parquet(path)
+            raise
+        self._replace(staged)
+        self.finish(version)
+        delete_path(self.spark, staging)
+        files_after = self.files(plan).count()
+        delete_path(self.spark, staged_plan)
+        return CompactionResult(version, totals[0], totals[1], files_after, n_rows)
+
+    def _stage(self, plan: DataFrame, target_bytes: int, staging: str) -> tuple[DataFrame, int]:
+        """Write the planned partitions anew; same rows, or it fails."""
+        rows = self.read()
+        partition = F.col(self.partition_column).cast("string")
+        # File counts per partition: one small row per partition of the table, not per record.
+        wanted = plan.select(
+            F.col("partition").alias(_NAME),
+            F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / F.lit(target_bytes))).cast("int").alias(_FILES),
+        )
+        others = [c for c in rows.columns if c != self.partition_column]
+        chosen = (
+            rows.withColumn(_NAME, partition)
+            .join(wanted, _NAME)
+            .withColumn(_SLOT, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in others]), F.col(_FILES)))
+        )
+        self._write(chosen.drop(_NAME, _FILES), staging)
+        staged = self._staged(rows.schema.toDDL(), staging)
+        before = self._digest(rows.withColumn(_NAME, partition).join(wanted, _NAME, "left_semi").drop(_NAME))
+        after = self._digest(staged)
+        if before != after:
+            raise RuntimeError(f"compaction of {self.path} would change its rows: {before} became {after}")
+        return staged, after[0]
+
+    def _write(self, rows: DataFrame, path: str) -> None:
+        """One folder with one file per partition and slot; rows keep an order that compresses."""
+        spread = rows.repartition(self.partition_column, _SLOT)
+        order = [self.partition_column, _SLOT, *[f"`{c}`" for c in rows.columns if c not in (self.partition_column, _SLOT)]]
+        spread.sortWithinPartitions(*order).write.partitionBy(self.partition_column, _SLOT).parquet(path)
+
+    def _staged(self, schema: str, path: str) -> DataFrame:
+        return self.spark.read.schema(f"{schema}, {_SLOT} int").parquet(path).drop(_SLOT)
 
     def _replace(self, staged: DataFrame) -> None:
         """Dynamic overwrite: only partitions with staged rows are replaced.
@@ -229,19 +280,20 @@ def raw_records(
 
     Raw files are those named ``as<yyyymmdd>.txt``, exactly so written; the
     date is in the name.  Lines end in LF or CRLF, a byte-order mark at the
-    start of the file belongs to no line.  A record is a line of exactly two
+    start of the file belongs to no line, and a carriage return elsewhere is
+    part of its line.  A record is a line of exactly two
     whole numbers separated by tabs or blanks, with blanks around them ignored.
     All other lines, and numbers beyond a bigint, are no records.  Raw ids
     start at 1, ids here at 0.  A null name or content holds no records.
     """
-    raw = files.select(F.col(name).alias("name"), F.col(content).alias("content")).where(
-        F.col("name").rlike(r"(^|/)as\d{8}\.txt$") & F.col("content").isNotNull()
+    raw = pick(files, name, content).select(F.col(name).alias("name"), F.col(content).alias("content")).where(
+        F.col("name").rlike(r"(^|/)as\d{8}\.txt\z") & F.col("content").isNotNull()
     )
     lines = raw.select(
-        F.regexp_extract("name", r"as(\d{8})\.txt$", 1).cast("long").alias("snapshot"),
+        F.regexp_extract("name", r"as(\d{8})\.txt\z", 1).cast("long").alias("snapshot"),
         F.explode(F.split(F.regexp_replace("content", "^﻿", ""), "\r?\n")).alias("line"),
     )
-    record = r"^[ \t]*(\d+)[ \t]+(\d+)[ \t]*$"
+    record = r"\A[ \t]*(\d+)[ \t]+(\d+)[ \t]*\z"
     return (
         lines.where(F.col("line").rlike(record))
         .select(
