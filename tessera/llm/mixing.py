@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.schema import pick
 from tessera.session import materialize
 
 HASH_BUCKETS = 4_096
@@ -51,7 +52,7 @@ def water_fill(sources: list[Source], total: float) -> dict[str, float]:
 
 def read_targets(targets: DataFrame, sized: DataFrame, source: str, size: str) -> list[Source]:
     """Targets with the size their sources have; one row per listed source."""
-    rows = targets.select(
+    rows = pick(targets, "source", "target_share", "max_repeats").select(
         F.lower(F.trim("source")).alias("name"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("cap")
     ).where("name is not null")
     have = sized.groupBy(F.lower(F.trim(F.col(source))).alias("name")).agg(F.sum(size).alias("available"))
@@ -87,7 +88,7 @@ def mix(
     used once more is drawn from each size class in the order of a seeded
     hash; it depends on seed, keys and sizes only, not on partitioning.
     """
-    usable = sized.select(
+    usable = pick(sized, key, source, size).select(
         F.col(key).alias("key"), F.lower(F.trim(F.col(source))).alias("source"), F.col(size).cast("long").alias("n_tokens")
     ).where("n_tokens > 0 and source is not null")
     sources = read_targets(targets, usable, "source", "n_tokens")
@@ -211,4 +212,5 @@ def share_report(used: DataFrame, plans: list[dict]) -> DataFrame:
     joined = rows.join(got, "source", "left").fillna(0, ["n_docs", "most_uses", "n_tokens"])
     everything = Window.partitionBy()
     # One row per listed source.
-    return joined.withColumn("actual_share", F.col("n_tokens") / F.sum("n_tokens").over(everything))
+    total = F.sum("n_tokens").over(everything)
+    return joined.withColumn("actual_share", F.when(total > 0, F.col("n_tokens") / total).otherwise(0.0))

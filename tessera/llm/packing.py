@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.schema import pick
+
 BLOCK_ITEMS = 32_768
 _BIN_BITS = 24
 
@@ -72,7 +74,7 @@ def packing_items(sized: DataFrame, capacities: list[tuple[str, int]], key: str
     rest.  An empty text is one item of size 0.
     """
     packs = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("long").alias("capacity")) for n, c in capacities])
-    each = sized.select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), F.explode(packs).alias("p")).select(
+    each = pick(sized, key, size).select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), F.explode(packs).alias("p")).select(
         "key", "size", "p.*"
     )
     last = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("size") / F.col("capacity")) - 1)

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.schema import pick
 from tessera.session import materialize
 
 
@@ -259,6 +260,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, p: SearchParameters = Sea
     others as neighbours at distance 0, without the pairs of such a group
     being formed.  Fewer than k other nodes give fewer rows, no vectors none.
     """
+    vectors = pick(vectors, "node", "vector")
     groups = vectors.groupBy("vector").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies"))
     points = materialize(groups, "distinct-vectors")
     n = points.count()

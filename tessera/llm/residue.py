@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.schema import column_position, numbered_columns, pick
 from tessera.session import materialize
 
 # Notices as servers, shops and templates print them.
@@ -78,7 +79,7 @@ NOTICES = [
 ]
 # Words that make a sentence a notice; without one, shared small words prove nothing.
 CUES = (
-    r"(?iu)\b(javascript|scripts?|scripting|cookies|error|errors?|fehler|erreur|fout|erro|serverfehler|serverfout|gateway|forbidden|"
+    r"(?iu)\b(javas\w{3,6}|scripts?|scripting|cookies|error|errors?|fehler|erreur|fout|erro|serverfehler|serverfout|gateway|forbidden|"
     r"not found|nicht gefunden|introuvable|no encontrada|niet gevonden|não encontrada|unavailable|timed out|timeout|"
     r"expired|abgelaufen|expiré|caducado|verlopen|expirou|maintenance|wartungsarbeiten|mantenimiento|onderhoud|manutenção|"
     r"denied|verweigert|refusé|denegado|geweigerd|negado|refused|robot|"
@@ -242,7 +243,7 @@ def residue_evidence(
     """
     notice = _member(notice_vocabulary())
     filler = _member(FILLER_WORDS)
-    base = documents.select(
+    base = pick(documents, key, text, title, slug, host).select(
         F.col(key).alias("key"),
         F.col(text).alias("text"),
         F.coalesce(F.col(title), F.lit("")).alias("title"),
@@ -344,8 +345,9 @@ def find_residue(documents: DataFrame, rules: ResidueRules = ResidueRules(), **c
         .groupBy("body")
         .agg(F.count(F.lit(1)).alias("n_slugs"))
     )
-    source = F.lower(F.trim(F.coalesce(F.col(columns.get("host", "source")), F.lit(""))))
-    sizes = documents.groupBy(source.alias("host")).agg(F.count(F.lit(1)).alias("n_host"))
+    host = columns.get("host", "source")
+    source = F.lower(F.trim(F.coalesce(F.col(host), F.lit(""))))
+    sizes = pick(documents, host).groupBy(source.alias("host")).agg(F.count(F.lit(1)).alias("n_host"))
     hits = judged.groupBy("host").agg(F.sum(F.col("sure").cast("long")).alias("n_sure"))
     hosts = hits.join(sizes, "host").select("host", (F.col("n_sure") / F.col("n_host")).alias("host_rate"))
     open_cases = (
@@ -360,5 +362,6 @@ def find_residue(documents: DataFrame, rules: ResidueRules = ResidueRules(), **c
 
 def without_residue(documents: DataFrame, key: str = "doc_id", **kwargs) -> DataFrame:
     """The remaining records, with all their columns."""
-    found = find_residue(documents, key=key, **kwargs).select(F.col("key").alias("_residue_key"))
-    return documents.join(found, documents[key].eqNullSafe(found["_residue_key"]), "left_anti")
+    found = find_residue(documents, key=key, **kwargs).select(F.col("key").alias("_found"))
+    own_key = F.col(f"_c{column_position(documents, key)}")
+    return numbered_columns(documents).join(found, own_key.eqNullSafe(F.col("_found")), "left_anti").toDF(*documents.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.schema import pick
+
 
 def is_usable(coordinates: Column, dim: int) -> Column:
     """Exactly ``dim`` entries, none null, NaN or infinite, and not all zero."""
@@ -28,7 +30,7 @@ def node_vectors(
     patch id comes after all others, rows without a node don't count.  A table
     without usable rows gives no vectors.
     """
-    usable = patches.select(
+    usable = pick(patches, patch_id, node, coordinates).select(
         F.col(node).cast("long").alias("node"),
         F.coalesce(F.col(patch_id).cast("long"), F.lit((1 << 63) - 1)).alias("patch"),
         F.col(coordinates).cast("array<double>").alias("vector"),
