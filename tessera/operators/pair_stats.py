@@ -8,6 +8,7 @@ again.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-JVM_DIM = 12
+from tessera.functions.vectors import vec_mean
 
 
 def overlaps(patches: DataFrame) -> DataFrame:
@@ -86,13 +87,13 @@ class PairStats:
 
 
 def _centred(patches: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
-    """Coordinates minus their patch's mean, and these means.
+    """``patch_id, node, x`` with coordinates minus their patch's mean, and these means.
 
     Without this the sums of products lose digits where a patch lies far from
     the origin.
     """
-    means = patches.groupBy("patch_id").agg(*[F.avg(F.get("coords", F.lit(k))).alias(f"m{k}") for k in range(dim)])
-    rows = patches.join(means, "patch_id").select("patch_id", "node", *[(F.get("coords", F.lit(k)) - F.col(f"m{k}")).alias(f"x{k}") for k in range(dim)])
+    means = patches.groupBy("patch_id").agg(vec_mean(F.col("coords"), dim).alias("mean"))
+    rows = patches.join(means, "patch_id").select("patch_id", "node", F.zip_with("coords", "mean", lambda x, m: x - m).alias("x"))
     return rows, means
 
 
@@ -104,51 +105,26 @@ def pair_statistics(patches: DataFrame, dim: int, patch_edges: DataFrame | None
     restricts the pairs.
     """
     rows, means = _centred(patches, dim)
-    xs = [f"x{k}" for k in range(dim)]
-    left = rows.select(F.col("patch_id").alias("i"), "node", *[F.col(x).alias(f"a_{x}") for x in xs])
-    right = rows.select(F.col("patch_id").alias("j"), "node", *[F.col(x).alias(f"b_{x}") for x in xs])
+    left = rows.select(F.col("patch_id").alias("i"), "node", F.col("x").alias("a"))
+    right = rows.select(F.col("patch_id").alias("j"), "node", F.col("x").alias("b"))
     joined = left.join(right, "node").where("i < j")
     if patch_edges is not None:
         wanted = patch_edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
         joined = joined.join(wanted, ["i", "j"], "left_semi")
-    a, b = [F.col(f"a_{x}") for x in xs], [F.col(f"b_{x}") for x in xs]
-    if dim <= JVM_DIM:
-        products = [("p", a, b, False), ("q", a, a, True), ("r", b, b, True)]
-        sums = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"sa{k}") for k, c in enumerate(a)], *[F.sum(c).alias(f"sb{k}") for k, c in enumerate(b)]]
-        sums += [
-            F.sum(u[k] * v[m]).alias(f"{name}{k}_{m}") for name, u, v, half in products for k in range(dim) for m in range(k if half else 0, dim)
-        ]
-        table = joined.groupBy("i", "j").agg(*sums).toPandas()
-    else:
-        table = joined.groupBy("i", "j").applyInPandas(_pair_kernel(dim), "i int, j int, n long, s array<double>").toPandas()
-    centre = means.toPandas().set_index("patch_id")
+    # Every batch is reduced to one row of sums per pair before anything is shuffled.
+    partial = joined.select("i", "j", "a", "b").mapInPandas(_partial_sums(dim), _SUMS)
+    table = partial.groupBy("i", "j").applyInPandas(_add_up, _SUMS).toPandas().sort_values(["i", "j"])
+    centre = means.toPandas().set_index("patch_id")["mean"]
     ids = sorted(int(p) for p in centre.index)
     at = {p: k for k, p in enumerate(ids)}
-    offset = centre.loc[ids, [f"m{k}" for k in range(dim)]].to_numpy(float).reshape(len(ids), dim)
-    table = table.sort_values(["i", "j"])
+    offset = np.array([centre[p] for p in ids], float).reshape(len(ids), dim)
     i = np.array([at[p] for p in table["i"]], int)
     j = np.array([at[p] for p in table["j"]], int)
     n = table["n"].to_numpy(float)
     e = len(table)
-    if dim <= JVM_DIM:
-        def vector(name: str) -> np.ndarray:
-            return table[[f"{name}{k}" for k in range(dim)]].to_numpy(float).reshape(e, dim)
-
-        def matrix(name: str, half: bool) -> np.ndarray:
-            out = np.zeros((e, dim, dim))
-            for k in range(dim):
-                for m in range(k if half else 0, dim):
-                    out[:, k, m] = table[f"{name}{k}_{m}"]
-                    if half:
-                        out[:, m, k] = out[:, k, m]
-            return out
-
-        sa, sb, p, q, r = vector("sa"), vector("sb"), matrix("p", False), matrix("q", True), matrix("r", True)
-    else:
-        flat = np.array(table["s"].tolist(), float).reshape(e, -1)
-        cuts = np.cumsum([dim, dim, dim * dim, dim * dim])
-        sa, sb, p, q, r = np.split(flat, cuts, 1)
-        p, q, r = (x.reshape(e, dim, dim) for x in (p, q, r))
+    flat = np.array(table["s"].tolist(), float).reshape(e, 2 * dim + 3 * dim * dim)
+    sa, sb, p, q, r = np.split(flat, np.cumsum([dim, dim, dim * dim, dim * dim]), 1)
+    p, q, r = (x.reshape(e, dim, dim) for x in (p, q, r))
     mean_a, mean_b = sa / n[:, None], sb / n[:, None]
     outer = lambda u, v: np.einsum("ek,em->ekm", u, v) * n[:, None, None]
     return PairStats(
@@ -156,11 +132,25 @@ def pair_statistics(patches: DataFrame, dim: int, patch_edges: DataFrame | None
     )
 
 
-def _pair_kernel(dim: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows[[f"a_x{k}" for k in range(dim)]].to_numpy()
-        y = rows[[f"b_x{k}" for k in range(dim)]].to_numpy()
-        s = np.concatenate([x.sum(0), y.sum(0), (x.T @ y).ravel(), (x.T @ x).ravel(), (y.T @ y).ravel()])
-        return pd.DataFrame({"i": [rows["i"].iloc[0]], "j": [rows["j"].iloc[0]], "n": [len(rows)], "s": [s.tolist()]})
+_SUMS = "i int, j int, n long, s array<double>"
+
+
+def _partial_sums(dim: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = batch.sort_values(["i", "j"], kind="stable")
+            i, j = batch["i"].to_numpy(), batch["j"].to_numpy()
+            x, y = np.array(batch["a"].tolist(), float), np.array(batch["b"].tolist(), float)
+            starts = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            outer = [np.einsum("nk,nm->nkm", u, v).reshape(len(x), dim * dim) for u, v in ((x, y), (x, x), (y, y))]
+            sums = np.add.reduceat(np.concatenate([x, y, *outer], 1), starts, axis=0)
+            yield pd.DataFrame({"i": i[starts], "j": j[starts], "n": np.diff(np.r_[starts, len(i)]), "s": list(sums)})
 
     return run
+
+
+def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum(np.array(rows["s"].tolist(), float), axis=0)
+    return pd.DataFrame({"i": [rows["i"].iloc[0]], "j": [rows["j"].iloc[0]], "n": [rows["n"].sum()], "s": [total]})

@@ -48,12 +48,12 @@ def with_tree(graph: PropertyGraph, scored: DataFrame, target: int, seed: int =
 
 
 def conductance_weights(graph: PropertyGraph) -> DataFrame:
-    """``src, dst, weight`` divided by the smaller strength of the two ends."""
+    """``src, dst, weight`` divided by the smaller strength of the two ends; null where that is 0."""
     strength = graph.strength()
     return (
         graph.weighted_edges.join(strength.select(F.col("id").alias("src"), F.col("strength").alias("s")), "src")
         .join(strength.select(F.col("id").alias("dst"), F.col("strength").alias("t")), "dst")
-        .select("src", "dst", (F.col("weight") / F.least("s", "t")).alias("weight"))
+        .select("src", "dst", F.try_divide(F.col("weight"), F.least("s", "t")).alias("weight"))
     )
 
 
