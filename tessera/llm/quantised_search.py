@@ -38,7 +38,7 @@ class SearchParameters:
     levels: int = 4
     entries: int = 256
     beam: int = 4
-    shortlist: int = 40  # candidates of each list that are reranked exactly
+    shortlist: int = 64  # candidates of each list that are reranked exactly
     block_rows: int = 2_048  # rows of a list that are scored together
     query_rows: int = 8_192  # queries that are scored together
     train_rounds: int = 8
