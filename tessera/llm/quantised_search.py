@@ -45,8 +45,9 @@ class SearchParameters:
     seed: int = 7
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray, chunk: int = 4096) -> np.ndarray:
+def _nearest(x: np.ndarray, centres: np.ndarray, cells: int = 2_000_000) -> np.ndarray:
     half = 0.5 * (centres**2).sum(1)
+    chunk = max(1, cells // len(centres))
     out = np.empty(len(x), np.int64)
     for s in range(0, len(x), chunk):
         out[s : s + chunk] = (half - x[s : s + chunk] @ centres.T).argmin(1)
@@ -267,8 +268,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, p: SearchParameters = Sea
     spark = vectors.sparkSession
     if n == 0:
         return spark.createDataFrame([], "node long, neighbour long, d double, rank int")
-    sample = points.orderBy(F.xxhash64("node"), "node").limit(p.train_rows).select("vector").toPandas()
-    train = np.array(sample["vector"].tolist(), float)
+    sample = points.orderBy(F.xxhash64("node"), "node").limit(p.train_rows).select("vector").toArrow()
+    train = sample["vector"].combine_chunks().flatten().to_numpy().reshape(sample.num_rows, -1)
     n_cells = int(max(1, min(p.max_cells, len(train), p.cells_per_root * np.sqrt(n))))
     books = fit_codebooks(train, n_cells, p)
     index = materialize(encode_index(points, books, p), "vector-index")
