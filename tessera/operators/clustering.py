@@ -20,6 +20,7 @@ from tessera.operators.hot_keys import number_rows
 from tessera.session import materialize
 
 MAX_SEQUENTIAL_EDGES = 20_000_000
+MAX_CLUSTERS = 20_000
 _PARTITION = "node long, cluster long"
 
 
@@ -348,9 +349,12 @@ def merge_small_clusters(graph: PropertyGraph, partition: DataFrame, min_size: i
     The smallest cluster goes first, the lower number at a tie; one without
     edges to others joins the second smallest.  The remaining clusters are
     numbered 0.. in the order of their old numbers.  Works on one row per pair
-    of adjacent clusters.
+    of adjacent clusters, of at most ``MAX_CLUSTERS`` clusters.
     """
-    sizes = {r["cluster"]: r["size"] for r in cluster_sizes(partition).collect()}
+    rows = cluster_sizes(partition).limit(MAX_CLUSTERS + 1).collect()
+    if len(rows) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters; merge a coarser partition")
+    sizes = {r["cluster"]: r["size"] for r in rows}
     quotient = graph.quotient(partition, self_loops=True)
     links: dict[int, dict[int, float]] = {c: {} for c in sizes}
     for r in quotient.edges.collect():

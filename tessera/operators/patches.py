@@ -14,7 +14,8 @@ from tessera.functions.hashing import uniform
 from tessera.graph import PropertyGraph
 from tessera.operators.clustering import compose_hierarchy, merge_small_clusters
 from tessera.operators.components import connected_components
-from tessera.operators.sparsify import conductance_sparsify, neighbour_sparsify, relaxed_spanning_tree, resistance_sparsify
+from tessera.operators.spanning import UnionFind
+from tessera.operators.sparsify import MAX_DENSE_NODES, conductance_sparsify, neighbour_sparsify, relaxed_spanning_tree, resistance_sparsify
 from tessera.operators.synthetic import farthest_first
 from tessera.session import materialize
 
@@ -120,8 +121,18 @@ def overlapping_patches(graph: PropertyGraph, partition: DataFrame, patch_edges:
 
 def _connected(quotient: PropertyGraph) -> PropertyGraph:
     """The patch graph with its components joined by edges of weight 1 between their smallest clusters."""
-    components = connected_components(quotient)
-    names = [r["root"] for r in components.select("component", "root").distinct().orderBy("component").collect()]
+    if quotient.num_nodes <= MAX_DENSE_NODES:
+        sets = UnionFind()
+        ids = [r["id"] for r in quotient.nodes.select("id").distinct().collect()]
+        for r in quotient.edges.select("src", "dst").collect():
+            sets.union(r["src"], r["dst"])
+        members: dict[int, list[int]] = {}
+        for i in ids:
+            members.setdefault(sets.find(i), []).append(i)
+        names = [min(m) for m in sorted(members.values(), key=lambda m: (-len(m), min(m)))]
+    else:
+        roots = connected_components(quotient).select("component", "root").distinct().orderBy("component")
+        names = [r["root"] for r in roots.collect()]
     if len(names) < 2:
         return quotient
     rows = [(a, b, 1.0) for x, y in zip(names, names[1:]) for a, b in ((x, y), (y, x))]
@@ -243,8 +254,6 @@ def _overlap_sizes(patches: DataFrame) -> dict[tuple[int, int], int]:
 
 
 def _connect_by_centres(patches: DataFrame, distances: DataFrame, centres: np.ndarray, min_overlap: int) -> DataFrame:
-    from tessera.operators.spanning import UnionFind
-
     k = len(centres)
     while True:
         sets = UnionFind()

@@ -53,20 +53,31 @@ def kruskal(edges: list[tuple[int, int, float]], maximise: bool = False) -> set[
     return {pair for pair, _ in ordered if sets.union(*pair)}
 
 
+KRUSKAL_EDGES = 100_000
+
+
 def spanning_forest(graph: PropertyGraph, maximise: bool = False, max_rounds: int = 64) -> DataFrame:
     """``u, v, weight`` (u < v) of a minimum or maximum spanning forest, by rounds of Boruvka.
 
     In each round every component takes its best edge to another one, by
     ``(weight, u, v)``, and components so joined are contracted; the number of
     components at least halves.  The graph is taken as undirected, parallel
-    edges count with their best weight, and loops are never chosen.
+    edges count with their best weight, and loops are never chosen.  A graph of
+    at most ``KRUSKAL_EDGES`` edges, as patch graphs are, is solved on the
+    driver, with the same result.
     """
     sign = -1.0 if maximise else 1.0
+    spark = graph.edges.sparkSession
     candidates = (
         graph.weighted_edges.where("src <> dst")
         .groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
         .agg(F.min(F.col("weight") * sign).alias("cost"))
     )
+    few = candidates.limit(KRUSKAL_EDGES + 1).collect()
+    if len(few) <= KRUSKAL_EDGES:
+        cost = {(r["u"], r["v"]): r["cost"] for r in few}
+        tree = sorted(kruskal([(u, v, c) for (u, v), c in cost.items()]))
+        return spark.createDataFrame([(u, v, sign * cost[u, v]) for u, v in tree], "u long, v long, weight double")
     open_edges = materialize(candidates.select("u", "v", "cost", F.col("u").alias("cu"), F.col("v").alias("cv")), "forest-edges")
     chosen = None
     for _ in range(max_rounds):
@@ -88,7 +99,7 @@ def spanning_forest(graph: PropertyGraph, maximise: bool = False, max_rounds: in
             "forest-edges",
         )
     if chosen is None:
-        return graph.edges.sparkSession.createDataFrame([], "u long, v long, weight double")
+        return spark.createDataFrame([], "u long, v long, weight double")
     return chosen.select("u", "v", (F.col("cost") * sign).alias("weight"))
 
 

@@ -152,8 +152,10 @@ def test_bfs_order_equals_a_queue(spark, start):
     assert got == bfs_by_hand([e for e in edges if e[0] != e[1]], range(40), start)
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
 @pytest.mark.parametrize("maximise", [False, True])
-def test_spanning_forest_equals_kruskal(spark, maximise):
+def test_spanning_forest_equals_kruskal(spark, monkeypatch, maximise, limit):
+    monkeypatch.setattr("tessera.operators.spanning.KRUSKAL_EDGES", limit)
     rng = random.Random(7)
     edges = [(rng.randrange(30), rng.randrange(30), float(rng.randrange(5))) for _ in range(70)]
     got = {(r.u, r.v) for r in spanning_forest(graph(spark, edges), maximise).collect()}
