@@ -49,6 +49,22 @@ def node_patches(patches: DataFrame) -> DataFrame:
     return patches.select("patch_id", "node").distinct().groupBy("node").agg(F.sort_array(F.collect_list("patch_id")).alias("patch_ids"))
 
 
+def pair_coordinates(patches: DataFrame, min_overlap: int = 0) -> DataFrame:
+    """``i, j, node, coords_i, coords_j`` for i < j with at least ``min_overlap`` shared nodes."""
+    left = patches.select(F.col("patch_id").alias("i"), "node", F.col("coords").alias("coords_i"))
+    right = patches.select(F.col("patch_id").alias("j"), "node", F.col("coords").alias("coords_j"))
+    pairs = left.join(right, "node").where("i < j").select("i", "j", "node", "coords_i", "coords_j")
+    if min_overlap < 2:
+        return pairs
+    enough = overlap_counts(patches, both_ways=False).where(F.col("n_overlap") >= min_overlap)
+    return pairs.join(enough.select("i", "j"), ["i", "j"], "left_semi")
+
+
+def patch_coordinates(patches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``patch_id, node, coords`` for the asked ``(patch_id, node)``; null coordinates for nodes not in the patch."""
+    return nodes.select("patch_id", "node").join(patches, ["patch_id", "node"], "left")
+
+
 @dataclass(frozen=True)
 class PairStats:
     """Arrays over pairs i < j, positions into ``ids``."""

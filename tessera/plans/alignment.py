@@ -8,13 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import register_sql_functions, vec_mean, vec_median
+from tessera.functions.vectors import register_sql_functions, vec_distance, vec_mean, vec_median
 from tessera.graph import PropertyGraph
 from tessera.operators import metrics as M
 from tessera.operators.affine import Frames, apply_frames, mean_patches
 from tessera.operators.alignment import get_aligner
 from tessera.operators.embedding import AutoEncoder, bipartite_svd, distance_scores, patch_embeddings
-from tessera.operators.pair_stats import node_multiplicity, node_patches, overlap_counts, pair_statistics, patch_degrees
+from tessera.operators.pair_stats import node_multiplicity, pair_coordinates, patch_coordinates, node_patches, overlap_counts, pair_statistics, patch_degrees
 from tessera.operators.patches import patch_subgraphs, voronoi_patches
 from tessera.operators.synchronise import relative_scale
 from tessera.operators.synthetic import add_noise
@@ -102,6 +102,38 @@ def relative_translation(spark, d):
     return spark.createDataFrame(rows, "i int, j int, " + ", ".join(f"c{k} double" for k in range(DIM)))
 
 
+@query(
+    "pair_intersections",
+    f"""WITH {USABLE}, pairs AS (
+  SELECT a.patch_id AS i, b.patch_id AS j, node, round(list_distance(a.coords, b.coords), 6) AS distance, count(*) OVER (PARTITION BY a.patch_id, b.patch_id) AS n
+  FROM usable a JOIN usable b USING (node) WHERE a.patch_id < b.patch_id
+) SELECT i, j, node, distance FROM pairs WHERE n >= 5""",
+)
+def pair_intersections(spark, d):
+    pairs = pair_coordinates(usable_patches(spark, d), 5)
+    return pairs.select("i", "j", "node", F.round(vec_distance(F.col("coords_i"), F.col("coords_j")), 6).alias("distance"))
+
+
+@query(
+    "coordinate_lookup",
+    f"""WITH {USABLE}, asked AS (SELECT patch_id + 1 AS patch_id, node FROM usable)
+SELECT a.patch_id, a.node, round(u.coords[1], 6) + 0.0 AS c0 FROM asked a LEFT JOIN usable u ON u.patch_id = a.patch_id AND u.node = a.node""",
+)
+def coordinate_lookup(spark, d):
+    patches = usable_patches(spark, d)
+    asked = patches.select((F.col("patch_id") + 1).alias("patch_id"), "node")
+    return patch_coordinates(patches, asked).select("patch_id", "node", *flat(dim=1, digits=6))
+
+
+@query("noise_profile", "SELECT TRUE AS exact_without_noise, TRUE AS grows_with_noise")
+def noise_profile(spark, d):
+    truth = points(spark, d).select("node", "coords")
+    methods = {name: (lambda p, name=name: get_aligner(name, p, dim=DIM)) for name in ("sync", "weighted")}
+    table = M.noise_profile(methods, truth, materialize(ring_members(spark, d), "ring"), DIM, [0.0, 0.5], add_noise)
+    least, most = table[table["noise"] == 0]["error"].max(), table[table["noise"] > 0]["error"].min()
+    return spark.createDataFrame([(bool(least < 1e-9), bool(most > least))], "exact_without_noise boolean, grows_with_noise boolean")
+
+
 # -- embeddings from aligned patches ---------------------------------------------------------------
 
 

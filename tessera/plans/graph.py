@@ -28,7 +28,7 @@ from tessera.plans.fixtures import (
     table,
     trade_graph,
 )
-from tessera.session import scratch_path
+from tessera.session import materialize, scratch_path
 from tessera.sources import convert, files
 from tessera.streaming.snapshots import edge_stream, run_once, windowed_counts
 
@@ -469,6 +469,8 @@ def rolling_window_graph(spark, d):
 )
 def create_patch_data(spark, d):
     graph = trade_graph(spark, d)
+    # Read several times from here on, so it is written once.
+    graph = PropertyGraph(materialize(graph.edges, "trade-edges"), materialize(graph.nodes, "trade-nodes"), directed=False)
     partition = graph.nodes.select(F.col("id").alias("node"), F.pmod("id", F.lit(10)).alias("cluster"))
     patches, edges = P.create_patch_data(graph, partition, min_overlap=10, target_overlap=20, mean_degree=4)
     a = patches.select(F.col("patch_id").alias("i"), "node")
@@ -520,6 +522,23 @@ def temporal_stats(spark, d):
     return convert.temporal_statistics(_edges(spark, d).where("src is not null and dst is not null"))
 
 
+@query(
+    "snapshots_to_frames",
+    f"""WITH {_DAYS}, e AS (SELECT DISTINCT "timestamp", src, dst FROM days WHERE src IS NOT NULL AND dst IS NOT NULL) SELECT "timestamp", src, dst FROM e""",
+)
+def snapshots_to_frames(spark, d):
+    edges, _ = convert.frames_from_snapshots(list(convert.snapshots(_edges(spark, d).select("timestamp", "src", "dst"))))
+    return edges.select("timestamp", "src", "dst")
+
+
+@query(
+    "previous_snapshot",
+    f"""WITH {_DAYS} SELECT "timestamp", lag("timestamp") OVER (ORDER BY "timestamp") AS previous FROM (SELECT DISTINCT "timestamp" FROM days)""",
+)
+def previous_snapshot(spark, d):
+    return convert.previous_snapshot(_edges(spark, d))
+
+
 @query(
     "snapshot_nodes",
     f"""WITH {_DAYS} SELECT DISTINCT "timestamp", src AS id FROM days""",
