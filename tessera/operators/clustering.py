@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.graph import PropertyGraph
@@ -24,43 +24,54 @@ MAX_CLUSTERS = 20_000
 _PARTITION = "node long, cluster long"
 
 
-def _in_one_task(graph: PropertyGraph, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Run a sequential kernel over sorted ids and edge arrays of a graph of checked size."""
+def _in_one_task(graph: PropertyGraph, kernel: Callable[..., np.ndarray], initial: DataFrame | None = None) -> DataFrame:
+    """Run a sequential kernel over sorted ids, edge arrays and initial labels of a graph of checked size.
+
+    Nodes without an initial label have -1.
+    """
     m = graph.num_edges
     if m > MAX_SEQUENTIAL_EDGES:
         raise ValueError(f"{m} edges are too many for a sequential method, at most {MAX_SEQUENTIAL_EDGES}; use modularity_clusters or label_spread")
-    rows = graph.weighted_edges.select("src", "dst", "weight").unionByName(
-        graph.nodes.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("weight"))
-    )
+    nodes = graph.nodes.select(F.col("id").alias("src"))
+    if initial is not None:
+        nodes = nodes.join(initial.select(F.col("node").alias("src"), F.col("cluster").cast("double").alias("weight")), "src", "left")
+    else:
+        nodes = nodes.withColumn("weight", F.lit(None).cast("double"))
+    rows = graph.weighted_edges.select("src", "dst", "weight").unionByName(nodes.select("src", F.lit(None).cast("long").alias("dst"), "weight"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         edges = pdf[pdf["dst"].notna()].sort_values(["src", "dst"], kind="stable")
-        ids = np.sort(pdf.loc[pdf["dst"].isna(), "src"].unique().astype(np.int64))
+        own = pdf[pdf["dst"].isna()].drop_duplicates("src").sort_values("src")
+        ids = own["src"].to_numpy(np.int64)
         u = np.searchsorted(ids, edges["src"].to_numpy(np.int64))
         v = np.searchsorted(ids, edges["dst"].to_numpy(np.int64))
-        labels = kernel(ids, u, v, edges["weight"].to_numpy(float)) if len(ids) else np.zeros(0, int)
+        start = own["weight"].fillna(-1).to_numpy(np.int64)
+        labels = kernel(ids, u, v, edges["weight"].to_numpy(float), start) if len(ids) else np.zeros(0, int)
         return pd.DataFrame({"node": ids, "cluster": labels.astype(np.int64)})
 
     return materialize(rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, _PARTITION), "partition")
 
 
-def fennel(graph: PropertyGraph, k: int, load_limit: float = 1.1, alpha: float | None = None, gamma: float = 1.5, num_iters: int = 1) -> DataFrame:
+def fennel(
+    graph: PropertyGraph, k: int, load_limit: float = 1.1, alpha: float | None = None, gamma: float = 1.5, num_iters: int = 1, initial: DataFrame | None = None
+) -> DataFrame:
     """Streaming partition: each node joins the cluster with most neighbours, less a price for its size.
 
     Nodes come in id order; further passes repeat until nobody moves.  The
     price of a cluster of size s is ``alpha gamma s^(gamma - 1)``, by default
     with ``alpha = m k^(gamma - 1) / n^gamma`` and m the stored edges.  No
-    cluster grows beyond ``load_limit n / k`` (rounded up).  Ties go to the
-    smaller cluster number.
+    cluster takes a node beyond ``load_limit n / k`` (rounded up).  Ties go to
+    the smaller cluster number.  ``initial(node, cluster)`` with clusters below
+    k is where the first pass starts from.
     """
     n, m = graph.num_nodes, graph.num_edges
     price = alpha if alpha is not None else (m * k ** (gamma - 1) / n**gamma if n else 0.0)
     cap = max(1, int(np.ceil(load_limit * n / k)))
 
-    def kernel(ids, u, v, w):
+    def kernel(ids, u, v, w, label):
         start = np.searchsorted(u, np.arange(len(ids) + 1))
-        label = np.full(len(ids), -1)
-        size = np.zeros(k, np.int64)
+        label = label.copy()
+        size = np.bincount(label[label >= 0], minlength=k)
         for _ in range(max(1, num_iters)):
             moved = False
             for node in range(len(ids)):
@@ -78,7 +89,7 @@ def fennel(graph: PropertyGraph, k: int, load_limit: float = 1.1, alpha: float |
                 break
         return label
 
-    return _in_one_task(graph, kernel)
+    return _in_one_task(graph, kernel, initial)
 
 
 def balanced_cut(graph: PropertyGraph, k: int, load_limit: float = 1.05, passes: int = 10) -> DataFrame:
@@ -87,16 +98,11 @@ def balanced_cut(graph: PropertyGraph, k: int, load_limit: float = 1.05, passes:
     Restreamed :func:`fennel` and then boundary refinement: a node moves to the
     part that holds most of its neighbours if that part has room.
     """
-    n = graph.num_nodes
-    cap = max(1, int(np.ceil(load_limit * n / k)))
-    first = fennel(graph, k, load_limit, num_iters=passes)
-    seeded = {r["node"]: r["cluster"] for r in first.collect()} if n <= 1_000_000 else None
-    if seeded is None:
-        return first
+    cap = max(1, int(np.ceil(load_limit * graph.num_nodes / k)))
 
-    def kernel(ids, u, v, w):
+    def kernel(ids, u, v, w, label):
         start = np.searchsorted(u, np.arange(len(ids) + 1))
-        label = np.array([seeded[i] for i in ids.tolist()])
+        label = label.copy()
         size = np.bincount(label, minlength=k)
         for _ in range(passes):
             moved = 0
@@ -115,7 +121,7 @@ def balanced_cut(graph: PropertyGraph, k: int, load_limit: float = 1.05, passes:
                 break
         return label
 
-    return _in_one_task(graph, kernel)
+    return _in_one_task(graph, kernel, fennel(graph, k, load_limit, num_iters=passes))
 
 
 def spread(graph: PropertyGraph, k: int, seed: int | None = None) -> DataFrame:
@@ -127,7 +133,7 @@ def spread(graph: PropertyGraph, k: int, seed: int | None = None) -> DataFrame:
     opens at the unassigned node of highest degree.  Ties go to the lower id.
     """
 
-    def kernel(ids, u, v, w):
+    def kernel(ids, u, v, w, _):
         n = len(ids)
         start = np.searchsorted(u, np.arange(n + 1))
         degree = np.diff(start)

@@ -101,6 +101,36 @@ def bfs_order(graph: PropertyGraph, start: int | None = None) -> DataFrame:
     return placed.select("id", F.col("row_no").alias("position"), "level")
 
 
+def directed_bfs_order(graph: PropertyGraph, start: int | None = None) -> DataFrame:
+    """``id, position, level`` of the same search along edge directions.
+
+    What a restart can reach depends on all searches before it, so searches run
+    one after another, each level a round; meant for graphs with few restarts.
+    """
+    spark = graph.edges.sparkSession
+    out = materialize(graph.edges.select("src", "dst").where("src <> dst").distinct(), "out-edges")
+    left = materialize(graph.nodes.select("id").distinct(), "unvisited")
+    visited, search = spark.createDataFrame([], "id long, group long, level long, rank long"), 0
+    first = start if start is not None else left.agg(F.min("id")).first()[0]
+    while first is not None:
+        frontier = _ranked(spark.createDataFrame([(first, search, 0)], "id long, group long, parent long"), 0)
+        level = 0
+        while not frontier.isEmpty():
+            visited, level = visited.unionByName(frontier), level + 1
+            met = (
+                out.join(frontier.select(F.col("id").alias("src"), "group", "rank"), "src")
+                .groupBy(F.col("dst").alias("id"), "group")
+                .agg(F.min("rank").alias("parent"))
+                .join(visited.select("id"), "id", "left_anti")
+            )
+            frontier = _ranked(met, level)
+        search += 1
+        first = left.join(visited.select("id"), "id", "left_anti").agg(F.min("id")).first()[0]
+    order = ["group", "level", "rank"]
+    placed = number_rows(materialize(visited.select("id", *order).repartitionByRange(*order).sortWithinPartitions(*order), "bfs"))
+    return placed.select("id", F.col("row_no").alias("position"), "level")
+
+
 def _ranked(met: DataFrame, level: int) -> DataFrame:
     order = ["group", "parent", "id"]
     rows = number_rows(materialize(met.select("id", "group", "parent").repartitionByRange(*order).sortWithinPartitions(*order), "level"))

@@ -37,6 +37,12 @@ def test_fennel_respects_its_cap(spark):
     assert sorted(found) == list(range(36)) and sizes.max() <= int(np.ceil(1.1 * 36 / 3))
 
 
+def test_fennel_starts_from_given_clusters(spark):
+    g, label = communities(spark, between=0.0)
+    truth = spark.createDataFrame(list(enumerate(label)), "node long, cluster long")
+    assert by_node(C.fennel(g, 3, alpha=0.0, initial=truth)) == dict(enumerate(label))
+
+
 def test_balanced_cut_beats_an_arbitrary_one(spark):
     g, label = communities(spark)
     found = by_node(C.balanced_cut(g, 3))

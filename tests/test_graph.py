@@ -152,6 +152,12 @@ def test_bfs_order_equals_a_queue(spark, start):
     assert got == bfs_by_hand([e for e in edges if e[0] != e[1]], range(40), start)
 
 
+def test_directed_bfs_order(spark):
+    edges = [(2, 0), (2, 5), (0, 3), (5, 3), (3, 2), (4, 2), (1, 4)]
+    got = [r.id for r in K.directed_bfs_order(graph(spark, edges, directed=True), 2).orderBy("position").collect()]
+    assert got == [2, 0, 5, 3, 1, 4]
+
+
 @pytest.mark.parametrize("limit", [0, 1000])
 @pytest.mark.parametrize("maximise", [False, True])
 def test_spanning_forest_equals_kruskal(spark, monkeypatch, maximise, limit):
