@@ -1,5 +1,3 @@
-import pytest
-
 from tessera.llm.residue import find_residue, without_residue
 
 SCHEMA = "doc_id long, title string, text string, source string, item_id string"
@@ -22,10 +20,10 @@ SLOTS = [
 ]
 
 
-@pytest.mark.parametrize("text", SLOTS)
-def test_slots(spark, text):
+def test_slots(spark):
     long_review = "It arrived in time and works well. " * 40
-    assert found(spark, [text, long_review + text]) == [0, 1]
+    assert found(spark, SLOTS) == list(range(len(SLOTS)))
+    assert found(spark, [long_review + s for s in SLOTS]) == list(range(len(SLOTS)))
 
 
 MENTIONS = [
