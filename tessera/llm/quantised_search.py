@@ -268,7 +268,12 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, p: SearchParameters = Sea
     spark = vectors.sparkSession
     if n == 0:
         return spark.createDataFrame([], "node long, neighbour long, d double, rank int")
-    sample = points.orderBy(F.xxhash64("node"), "node").limit(p.train_rows).select("vector").toArrow()
+    # The rows with the smallest hashes; those far above can't be among them and aren't sorted.
+    low = F.lit(-(1 << 63) + int(min(1.0, 1.5 * p.train_rows / n) * (1 << 53)) * (1 << 11) - 1)
+    hashed = points.where(F.xxhash64("node") <= low)
+    sample = hashed.orderBy(F.xxhash64("node"), "node").limit(p.train_rows).select("vector").toArrow()
+    if not sample.num_rows:
+        sample = points.limit(1).select("vector").toArrow()
     train = sample["vector"].combine_chunks().flatten().to_numpy().reshape(sample.num_rows, -1)
     n_cells = int(max(1, min(p.max_cells, len(train), p.cells_per_root * np.sqrt(n))))
     books = fit_codebooks(train, n_cells, p)
