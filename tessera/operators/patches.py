@@ -280,7 +280,9 @@ def _to_centres(points: DataFrame, centres: np.ndarray, dim: int) -> DataFrame:
 
 def kmeans_centres(points: DataFrame, dim: int, k: int, seed: int = 1, rounds: int = 10, sample_rows: int = 20_000) -> np.ndarray:
     """k-means over all points, started from a farthest-first choice in a bounded sample."""
-    sample = points.orderBy(uniform(seed, F.col("node")), "node").limit(sample_rows).select("coords").collect()
+    u = uniform(seed, F.col("node"))
+    share = min(1.0, 1.5 * sample_rows / max(1, points.count()))
+    sample = points.where(u <= share).orderBy(u, "node").limit(sample_rows).select("coords").collect()
     x = np.array([r["coords"] for r in sample], float).reshape(-1, dim)
     centres = x[farthest_first(x, min(k, len(x)), seed)]
     for _ in range(rounds):
