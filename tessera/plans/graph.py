@@ -281,24 +281,25 @@ def non_edge_sample(spark, d):
 # -- spanning trees and sparsification ------------------------------------------------------------------
 
 # Minimax paths over the 25 nations: an edge is in the tree iff no path of earlier edges joins its ends.
-_TREE_SQL = f"""WITH RECURSIVE {NATIONS}, ranked AS MATERIALIZED (
-  SELECT src AS u, dst AS v, weight, row_number() OVER (ORDER BY weight DESC, src, dst) AS r FROM nations WHERE src < dst
+def _tree_sql(order: str) -> str:
+    return f"""WITH RECURSIVE {NATIONS}, ranked AS MATERIALIZED (
+  SELECT src AS u, dst AS v, weight, row_number() OVER (ORDER BY weight {order}, src, dst) AS r FROM nations WHERE src < dst
 ), both_ways AS MATERIALIZED (SELECT u, v, r FROM ranked UNION ALL SELECT v, u, r FROM ranked),
-ids AS (SELECT DISTINCT u AS id FROM both_ways),
 reach(a, b, top) USING KEY (a, b) AS (
   SELECT u, v, r FROM both_ways
   UNION
   SELECT x.a, e.v, min(greatest(x.top, e.r)) FROM reach x JOIN both_ways e ON e.u = x.b JOIN recurring.reach k ON k.a = x.a AND k.b = e.v
   WHERE greatest(x.top, e.r) < k.top AND x.a <> e.v GROUP BY x.a, e.v
-) SELECT t.u, t.v, t.weight FROM ranked t JOIN reach x ON x.a = t.u AND x.b = t.v WHERE x.top = t.r"""
+), tree AS (SELECT t.u, t.v, t.weight FROM ranked t JOIN reach x ON x.a = t.u AND x.b = t.v WHERE x.top = t.r)
+"""
 
 
-@query("spanning_tree", _TREE_SQL)
+@query("spanning_tree", _tree_sql("DESC") + "SELECT u, v, weight FROM tree")
 def spanning_tree(spark, d):
     return spanning_forest(nation_graph(spark, d), maximise=True)
 
 
-@query("spanning_tree_edges")
+@query("spanning_tree_edges", _tree_sql("ASC") + "SELECT u AS src, v AS dst, weight FROM tree UNION ALL SELECT v, u, weight FROM tree")
 def spanning_edges(spark, d):
     return spanning_tree_edges(nation_graph(spark, d))
 
