@@ -4,8 +4,8 @@ Every snapshot is reduced to one state per key.  A state enters the comparison
 with its own date as new (+1) and with the following date as old (-1); the
 signed sum over all columns is EXCEPT ALL in both directions at once and leaves
 only the rows that differ.  The residues are full-joined by key and labelled.
-States are partitioned by key alone, so both the difference and the grouping
-of its residues happen where the states already are.
+States are partitioned by key alone, so the difference is taken where the
+states already are; only its residues move again, for the join.
 """
 
 from __future__ import annotations
