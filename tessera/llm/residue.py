@@ -8,10 +8,12 @@ Two kinds of detector look at every whole text, in the JVM:
   of notices or of filler.  What is left of the text besides such sentences,
   navigation and mark-up is its own content.
 
-Evidence about the answer as a whole decides the doubtful ones: how little of
-title and address slug comes back in the body, how many other records with
-another slug have the same body, and how often the source (host) gives
-responses that the detectors are sure of.
+Evidence about the answer as a whole decides the others: how little of title
+and address slug comes back in the body, how many other records with another
+slug have the same body, and how often the source (host) gives responses that
+the detectors are sure of.  Reviews are copied as well, so a body in other words
+than the fixed ones also has to be foreign to the corpus: most of its words are
+hardly used by any other record.
 """
 
 from __future__ import annotations
@@ -181,6 +183,10 @@ class ResidueRules:
     few_words: int = 4  # own words a text may have beside its notices
     min_copies: int = 3  # records with other slugs and the same body
     min_host_rate: float = 0.001  # share of sure cases among a source's records
+    low_information: int = 60  # distinct words of a body that only the evidence about the answer convicts
+    foreign_rate: float = 0.0005  # share of the records outside a body that may use a word foreign to them
+    foreign_share: float = 0.5  # of a body's words that are foreign to the other records
+    foreign_words: int = 2  # the same, as a number
 
 
 def notice_vocabulary() -> list[str]:
@@ -214,6 +220,27 @@ def _has_slot(sentence: Column) -> Column:
     return code | worded | single | sentence.rlike(OPEN_SLOT)
 
 
+def _body(plain: Column) -> Column:
+    """Plain text without navigation, blanks reduced."""
+    body = F.regexp_replace(plain, r"[ \t\u00a0]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(body, NAVIGATION, "\n"), r"(?u)\s*\n\s*", "\n"))
+
+
+def _fingerprint(body: Column) -> Column:
+    return F.xxhash64(F.regexp_replace(F.lower(body), r"[\d\s]+", " "))
+
+
+def _mismatch(title: Column, slug: Column, body: Column) -> Column:
+    """Share of title and slug words that the body lacks (1 without any such word)."""
+    terms = F.array_distinct(_words(F.concat_ws(" ", title, slug)))
+    return F.when(F.size(terms) == 0, 1.0).otherwise(F.size(F.array_except(terms, _words(body))) / F.size(terms))
+
+
+def _terms(text: Column) -> Column:
+    """The distinct words of a text without those with digits."""
+    return F.array_distinct(F.filter(_words(text), lambda w: ~w.rlike(r"\d")))
+
+
 def _words(sentence: Column) -> Column:
     return F.filter(F.split(F.lower(sentence), r"(?u)[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -226,6 +253,17 @@ def _member(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def _records(documents: DataFrame, text: str = "text", title: str = "title", slug: str = "item_id", host: str = "source", key: str = "doc_id") -> DataFrame:
+    """``key, text, title, slug, host`` of every record."""
+    return pick(documents, key, text, title, slug, host).select(
+        F.col(key).alias("key"),
+        F.col(text).alias("text"),
+        F.coalesce(F.col(title), F.lit("")).alias("title"),
+        F.coalesce(F.col(slug).cast("string"), F.lit("")).alias("slug"),
+        F.lower(F.trim(F.coalesce(F.col(host), F.lit("")))).alias("host"),
+    )
+
+
 def residue_evidence(
     documents: DataFrame,
     text: str = "text",
@@ -235,30 +273,22 @@ def residue_evidence(
     key: str = "doc_id",
     rules: ResidueRules = ResidueRules(),
 ) -> DataFrame:
-    """Evidence per record that could be a case: ``key, has_slot, n_notice, own_words, doubtful_words, mismatch, body, host, slug``.
+    """Evidence per record that could be a case: ``key, has_slot, n_notice, own_words, doubtful_words, mismatch, body, host, slug, terms``.
 
     ``own_words`` counts the words outside notice and filler sentences,
     ``doubtful_words`` the same at the lower share; ``mismatch`` is the share
-    of title and slug words that the body lacks (1 without any such word).
+    of title and slug words that the body lacks (1 without any such word);
+    ``terms`` has the words of title and text of a record with notice sentences.
     """
     notice = _member(notice_vocabulary())
     filler = _member(FILLER_WORDS)
-    base = pick(documents, key, text, title, slug, host).select(
-        F.col(key).alias("key"),
-        F.col(text).alias("text"),
-        F.coalesce(F.col(title), F.lit("")).alias("title"),
-        F.coalesce(F.col(slug).cast("string"), F.lit("")).alias("slug"),
-        F.lower(F.trim(F.coalesce(F.col(host), F.lit("")))).alias("host"),
-    )
+    base = _records(documents, text, title, slug, host, key)
     # A text without any bracket, cue or filler word holds no case: only the others are taken apart.
     one_space = F.regexp_replace("text", r"\s+", " ")
     suspect = base.where(F.col("text").rlike(r"[\[\]{}<>%#@$«_|*&]") | one_space.rlike(CUES) | F.col("text").rlike(_any_word([w for w in FILLER_WORDS if len(w) > 4] + STAND_INS)))
     slots = F.exists(
         F.filter(F.split("plain", SENTENCE_END), lambda s: s.rlike(r"[\[\]{}<>%#@$«_|*]")), lambda s: _has_slot(s) & ~s.rlike(MENTION)
     )
-    body = F.regexp_replace(F.col("plain"), r"[ \t\u00a0]+", " ")
-    body = F.trim(F.regexp_replace(F.regexp_replace(body, NAVIGATION, "\n"), r"(?u)\s*\n\s*", "\n"))
-
     stand_in = _member(STAND_INS)
 
     def judged(sentence: Column) -> Column:
@@ -296,11 +326,10 @@ def residue_evidence(
     def count(share: float) -> Column:
         return F.coalesce(F.size(F.filter("sentences", lambda s: is_notice(s, share))), F.lit(0))
 
-    terms = F.array_distinct(_words(F.concat_ws(" ", "title", "slug")))
     return (
         suspect.withColumn("plain", _plain(F.col("text")))
         .withColumn("has_slot", slots)
-        .withColumn("body", body)
+        .withColumn("body", _body(F.col("plain")))
         .withColumn("sentences", sentences)
         .select(
             "key",
@@ -309,16 +338,51 @@ def residue_evidence(
             count(rules.doubtful_share).alias("n_doubtful"),
             F.coalesce(rest(rules.sentence_share), F.lit(0)).alias("own_words"),
             F.coalesce(rest(rules.doubtful_share), F.lit(0)).alias("doubtful_words"),
-            F.when(F.size(terms) == 0, 1.0)
-            .otherwise(F.size(F.array_except(terms, _words(F.col("body")))) / F.size(terms))
-            .alias("mismatch"),
-            F.xxhash64(F.regexp_replace(F.lower("body"), r"[\d\s]+", " ")).alias("body"),
+            _mismatch(F.col("title"), F.col("slug"), F.col("body")).alias("mismatch"),
+            _fingerprint(F.col("body")).alias("body"),
             "host",
             "slug",
+            F.when(count(rules.sentence_share) > 0, _terms(F.concat_ws(" ", "title", "text"))).alias("terms"),
         )
     )
 
 
+def _copied_answers(documents: DataFrame, rules: ResidueRules, columns: dict[str, str]) -> DataFrame:
+    """``key, body, mismatch, host, own`` of all records whose body stands under several slugs.
+
+    ``own`` has the words of a body of low information, null if its writer tells of themselves.
+    """
+    plain = _records(documents, **columns).where("text is not null").withColumn("content", _body(_plain(F.col("text"))))
+    answers = plain.select(
+        "key",
+        "slug",
+        "host",
+        _fingerprint(F.col("content")).alias("body"),
+        _mismatch(F.col("title"), F.col("slug"), F.col("content")).alias("mismatch"),
+        F.when(~F.col("content").rlike(TELLING), _terms(F.col("content"))).alias("own"),
+    )
+    answers = materialize(answers.withColumn("own", F.when(F.size("own") <= rules.low_information, F.col("own"))), "residue-answers")
+    copies = answers.groupBy("body", "slug").agg(F.count(F.lit(1)).alias("n")).groupBy("body").agg(F.count(F.lit(1)).alias("n_slugs"))
+    return answers.join(copies.where(F.col("n_slugs") >= rules.min_copies), "body")
+
+
+def _foreign_bodies(copied: DataFrame, documents: DataFrame, sure: DataFrame, rules: ResidueRules, columns: dict[str, str]) -> DataFrame:
+    """``body`` of the copied answers most of whose words hardly any other record uses in title or text.
+
+    Uses in sure notices don't count, as they are no reviews.
+    """
+    own = copied.where("own is not null").groupBy("body").agg(F.first("own").alias("own"), F.count(F.lit(1)).alias("n_own"))
+    words = own.select("body", "n_own", F.explode("own").alias("word"))
+    records = _records(documents, **columns)
+    used = records.select(F.explode(_terms(F.concat_ws(" ", "title", "text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    noticed = sure.where("terms is not null").select(F.explode("terms").alias("word")).groupBy("word").agg((-F.count(F.lit(1))).alias("n"))
+    outside = used.unionByName(noticed).groupBy("word").agg(F.sum("n").alias("n"))
+    total = records.agg(F.count(F.lit(1)).alias("n_records"))
+    rare = F.col("n") - F.col("n_own") <= F.col("n_records") * F.lit(rules.foreign_rate)
+    shares = words.join(outside, "word").crossJoin(F.broadcast(total)).groupBy("body").agg(F.sum(rare.cast("int")).alias("foreign"), F.count(F.lit(1)).alias("n"))
+    return shares.where((F.col("foreign") >= rules.foreign_words) & (F.col("foreign") / F.col("n") >= rules.foreign_share)).select("body")
+
+
 def find_residue(documents: DataFrame, rules: ResidueRules = ResidueRules(), **columns: str) -> DataFrame:
     """Records whose text is template residue, filler, an error page or a script notice.
 
@@ -329,7 +393,9 @@ def find_residue(documents: DataFrame, rules: ResidueRules = ResidueRules(), **c
 
     Null, empty and merely short texts are no cases.  Titles only serve as
     evidence.  Repeated keys are judged one by one.  Texts are read whole, and
-    copies are counted over all records; extra columns are ignored.
+    copies and words are counted over all records; extra columns are ignored.
+    An answer in other words than the fixed notices is only found if it stands
+    under ``min_copies`` slugs.
     """
     seen = residue_evidence(documents, rules=rules, **columns).where("has_slot or n_notice > 0 or n_doubtful > 0")
     # Only records with a slot or a notice sentence are kept, so the texts are taken apart once.
@@ -338,23 +404,23 @@ def find_residue(documents: DataFrame, rules: ResidueRules = ResidueRules(), **c
     doubtful = ~sure & (F.col("n_doubtful") > 0) & (F.col("doubtful_words") <= rules.few_words)
     judged = seen.withColumn("sure", sure).withColumn("doubtful", doubtful)
     # Counting by body and by host is combined before the shuffle: a body or host with most records is no single task's load.
-    copies = (
-        judged.where("sure or doubtful")
-        .groupBy("body", "slug")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("body")
-        .agg(F.count(F.lit(1)).alias("n_slugs"))
-    )
     host = columns.get("host", "source")
     source = F.lower(F.trim(F.coalesce(F.col(host), F.lit(""))))
     sizes = pick(documents, host).groupBy(source.alias("host")).agg(F.count(F.lit(1)).alias("n_host"))
     hits = judged.groupBy("host").agg(F.sum(F.col("sure").cast("long")).alias("n_sure"))
     hosts = hits.join(sizes, "host").select("host", (F.col("n_sure") / F.col("n_host")).alias("host_rate"))
+    copied = _copied_answers(documents, rules, columns)
+    foreign = _foreign_bodies(copied, documents, judged.where("sure"), rules, columns)
+    doubted = judged.where("doubtful").select("key", "body")
+    convicted = copied.join(foreign, "body", "left_semi").select("key", "body", "mismatch", "host").withColumn("worded", F.lit(False))
+    worded = judged.where("doubtful").join(copied.select("body").distinct(), "body", "left_semi").select("key", "body", "mismatch", "host", F.lit(True).alias("worded"))
+    # A record that the fixed notices have already decided or put in doubt is not judged again.
+    known = judged.where("sure").select("key", "body").unionByName(doubted).select(F.col("key").alias("_key"), F.col("body").alias("_body"))
+    convicted = convicted.join(known, F.col("key").eqNullSafe(F.col("_key")) & (F.col("body") == F.col("_body")), "left_anti")
     open_cases = (
-        judged.where("doubtful")
-        .join(copies, "body")
+        convicted.unionByName(worded)
         .join(hosts, "host")
-        .where((F.col("mismatch") > 0.5) & (F.col("n_slugs") >= rules.min_copies) & (F.col("host_rate") >= rules.min_host_rate))
+        .where((F.col("mismatch") > 0.5) & (F.col("host_rate") >= rules.min_host_rate))
         .select("key", F.lit("response").alias("kind"))
     )
     return judged.where("sure").select("key", F.when(F.col("has_slot"), "slot").otherwise("notice").alias("kind")).unionByName(open_cases)

@@ -88,3 +88,20 @@ def test_doubtful_responses_need_evidence(spark):
     alone = found(spark, [text], title="Fine desk lamp")
     many = found(spark, [text] * 4 + ["502 Bad Gateway"], title="Fine desk lamp")
     assert alone == [] and 4 in many
+
+
+OTHER_WORDS = ["Servicio no disponible temporalmente.", "Der Server ist überlastet.", "Backend returned an empty payload."]
+ORDINARY = ["The lamp gives warm light.", "Die Lampe ist hell.", "No es cara.", "The box was dented.", "An empty shelf got a lamp.", "Very happy"]
+
+
+def test_copied_answers_in_other_words_are_found_by_evidence(spark):
+    texts = [t for t in OTHER_WORDS for _ in range(3)] + [t for t in ORDINARY for _ in range(3)] + ["502 Bad Gateway"]
+    # Ordinary words stand in other reviews as well, copies or not.
+    texts += [f"{a} {b}" for a in ORDINARY for b in ORDINARY if a != b] + [f"Lamp {i}, no empty box: {t}" for i, t in enumerate(ORDINARY)]
+    result = {r.key: r.kind for r in find_residue(docs(spark, texts, title="Great desk")).collect()}
+    assert result == {**{k: "response" for k in range(9)}, 27: "notice"}
+
+
+def test_answers_in_other_words_need_copies_and_a_host_with_notices(spark):
+    assert found(spark, OTHER_WORDS + ["502 Bad Gateway"]) == [3]
+    assert found(spark, [OTHER_WORDS[0]] * 3 + ORDINARY) == []
