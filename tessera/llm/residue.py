@@ -3,7 +3,8 @@
 Two kinds of detector look at every whole text, in the JVM:
 
 * Slot detectors know the placeholder syntaxes of template languages and of
-  hand-written forms.  A sentence that talks about such a syntax is a mention.
+  hand-written forms.  A slot that its sentence talks about is a mention; it
+  doesn't excuse other slots.
 * Sentence detectors measure how much of a sentence is made of the vocabulary
   of notices or of filler.  What is left of the text besides such sentences,
   navigation and mark-up is its own content.
@@ -165,6 +166,33 @@ MENTION = (
     r"prints? the real|richtig ein|ajustes|réglages|paramètres|instellingen|definições|configurações|fusion|combinar|"
     r"correspondencia|champs?|campos?|velden|felder|seriebrief\w*|editor|script language|programming|source code)\b"
 )
+# A placeholder of any syntax, and several in a row.
+_ANY_SLOT = (
+    r"(?:\{\{[^{}]*\}\}|[$#]\{[^{}]*\}|<%[^%]*%>|\{%[^%]*%\}|<\?[^?]*\?>|%\([^()]*\)[sd]|%(?:\d{1,2}\$)?s\b|\[\[[^\[\]]*\]\]|<<[^<>]*>>|"
+    r"##[^#\n]*##|@@[^@\n]*@@|__\p{L}[\p{L}\p{N}_]*?__|\*\|[^|]*\|\*|\|[\p{Lu}_]+\||\$[\p{Lu}\p{N}_]+\$|%\p{L}[\p{L}\p{N}_-]*%|"
+    r"\[[^\[\]]{1,70}\]|\{[^{}]{1,70}\}|<[^<>]{1,70}>|«[^»]{1,60}»)"
+)
+_SLOT_RUN = _ANY_SLOT + r"(?:(?:\s*[,/]\s*|\s+)(?:(?:or|and|oder|und|ou|et|y|o|e|of|en)\s+)?" + _ANY_SLOT + ")*"
+_SUCH_AS = r"(?:\s+(?:such as|like|named|called|e\.g\.|for example|wie|namens|z\.\s?B\.|comme|tels que|telles que|como|zoals|genaamd|bijvoorbeeld))"
+_QUOTE = r"[\"'`„“”‘’]"
+# Nouns for placeholders that govern the slot after or before them.
+NAMED_SLOT = (
+    r"(?iu)\b(?:(?:merge fields?|merge tags?|array keys?|placeholders?|platzhalter\p{L}*|variables?|variablen?|variabelen|variáve(?:l|is)|shortcodes?|syntax|"
+    r"seriendruckfeld(?:er)?)" + _SUCH_AS + r"?|(?:fields?|keys?|tags?|feld(?:er)?|champs?|balises?|campos?|etiquetas?|veld(?:en)?)(?:\s+(?:de|del|da|do)\s+\p{L}+)?"
+    + _SUCH_AS + r")\s+" + _QUOTE + "?" + _SLOT_RUN + "|" + _SLOT_RUN + _QUOTE + r"?\s+(?:merge fields?|merge tags?|placeholders?|platzhalter|variables?|syntax)\b"
+)
+# Verbs of typing and of filling in that govern a slot, where the sentence has a word of MENTION.
+HANDLED_SLOT = (
+    r"(?iu)(?:(?<!\b(?:this|that|the|each)\s)\b(?:typ(?:e|es|ed|ing|t|en)|enter(?:s|ed|ing)?|insert(?:s|ed|ing)?|tipp\p{L}*|eingeben|gibt|gebe|tape[rz]?|saisi\p{L}*|"
+    r"teclea\p{L}*|escrib\p{L}+|digit\p{L}+)(?:\s+(?:man|ich|du|wir|je|ik|men|u))?|"
+    r"\b(?:setzt|fügt|füllt|ersetzt|fills|substitutes|replaces|remplace|insère|sustituye|inserta|vervangt|vult|substitui|insere)"
+    r"(?:\s+(?:(?:die|das|der|the|le|la|el|de|het|o)\s+)?\p{L}+)?)\s+" + _QUOTE + "?" + _SLOT_RUN + "|"
+    + _QUOTE + _SLOT_RUN + _QUOTE + "|"
+    + _SLOT_RUN + r"\s+(?:(?:was|were|is|are|gets?|got|wird|werden|wurden?)\s+)?(?:filled in|richtig ein|korrekt ein|"
+    r"(?:replaced|substituted) (?:by|with)|(?:ersetzt|remplacée?s?|sustituid[oa]s?|vervangen|substituíd[oa]s?) (?:durch|par|por|door))\b"
+)
+# Where a sentence or paragraph ends, without taking anything from the text.
+PASSAGE_END = r"(?<=[.!?…])(?=\s)|(?<=\n)(?=\s*\n)"
 # Words of a writer who tells of themselves.
 TELLING = (
     r"(?iu)\b(i|my|mine|me|ich|mein\w*|mich|mir|je|mon|ma|mes|moi|mi|mis|yo|ik|mijn|mij|eu|meu|minha|sister|brother|father|mother|"
@@ -220,6 +248,16 @@ def _has_slot(sentence: Column) -> Column:
     return code | worded | single | sentence.rlike(OPEN_SLOT)
 
 
+def _without_mentions(plain: Column) -> Column:
+    """Plain text without the slots that their sentence talks about; all other slots stay."""
+
+    def strip(s: Column) -> Column:
+        unnamed = F.regexp_replace(s, NAMED_SLOT, " ")
+        return F.when(s.rlike(MENTION), F.regexp_replace(unnamed, HANDLED_SLOT, " ")).otherwise(unnamed)
+
+    return F.array_join(F.transform(F.split(plain, PASSAGE_END), lambda s: F.when(s.rlike(r"[\[\]{}<>%#@$«_|*]"), strip(s)).otherwise(s)), "")
+
+
 def _body(plain: Column) -> Column:
     """Plain text without navigation, blanks reduced."""
     body = F.regexp_replace(plain, r"[ \t\u00a0]+", " ")
@@ -287,7 +325,7 @@ def residue_evidence(
     one_space = F.regexp_replace("text", r"\s+", " ")
     suspect = base.where(F.col("text").rlike(r"[\[\]{}<>%#@$«_|*&]") | one_space.rlike(CUES) | F.col("text").rlike(_any_word([w for w in FILLER_WORDS if len(w) > 4] + STAND_INS)))
     slots = F.exists(
-        F.filter(F.split("plain", SENTENCE_END), lambda s: s.rlike(r"[\[\]{}<>%#@$«_|*]")), lambda s: _has_slot(s) & ~s.rlike(MENTION)
+        F.filter(F.split(_without_mentions(F.col("plain")), SENTENCE_END), lambda s: s.rlike(r"[\[\]{}<>%#@$«_|*]")), _has_slot
     )
     stand_in = _member(STAND_INS)
 

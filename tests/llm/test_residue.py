@@ -105,3 +105,17 @@ def test_copied_answers_in_other_words_are_found_by_evidence(spark):
 def test_answers_in_other_words_need_copies_and_a_host_with_notices(spark):
     assert found(spark, OTHER_WORDS + ["502 Bad Gateway"]) == [3]
     assert found(spark, [OTHER_WORDS[0]] * 3 + ORDINARY) == []
+
+
+BESIDE_MENTIONS = [
+    "I bought this editor from {{store_name}} and use it daily.", "The settings of {{product_name}} are easy.", "The software was a gift for %BRAND% fans.",
+    "The label software takes merge fields such as {{first_name}}, and the ${item.color} one is mine.", "Los campos de {{ciudad}} son bonitos.", "The import by [store name] took a week.",
+]
+GOVERNED = [
+    "Array keys like [name] or\n[color] in the CSV import work as described.", "The placeholder {{name}} shows up in the preview.", "Les champs de fusion comme {{prenom}} marchent.",
+    "The template replaces {{first_name}} with my name.", "In den Einstellungen tippt man %NAME% ein.", 'My template showed "{{name}}" once, support fixed it.',
+]
+
+
+def test_only_slots_that_the_sentence_talks_about_are_mentions(spark):
+    assert found(spark, BESIDE_MENTIONS + GOVERNED) == list(range(len(BESIDE_MENTIONS)))
