@@ -114,22 +114,28 @@ MARKUP = r"(?iu)</?(?:h\d|p|br|hr|div|span|noscript|b|i|u|em|strong|a|ul|ol|li|b
 # Placeholder syntaxes that are never prose.
 _NAME = r"[\p{L}_][\p{L}\p{N}_.]*"
 CODE_SLOTS = [
-    r"\{\{\{?\s*" + _NAME + r"(?:\s*\|\s*[\p{L}_]+)?\s*\}?\}\}",
-    r"[$#]\{\s*" + _NAME + r"\s*\}",
+    # Delimiter pairs with any content: helpers, filters, indexes, defaults, blocks.
+    r"\{\{(?=[^{}]*[\p{L}_])(?:[^{}]++|\{[^{}]*+\})++\}\}",
+    r"[$#]\{(?=[^{}]*[\p{L}_])(?:[^{}]++|\{[^{}]*+\})++\}",
+    r"(?s)<%(?=[^<>]*[\p{L}_]).+?%>",
     r"<%=?\s*[^<>%]{1,60}%>",
-    r"<\?(?:php|=)?\s*[^<>?]{1,60}\?>",
-    r"\{%\s*[^{}%]{1,60}%\}",
-    r"%\(\s*" + _NAME + r"\s*\)[sd]",
+    r"(?s)<\?(?=php|=|\s*[\p{L}_$]).+?\?>",
+    r"(?s)\{%[-+]?\s*\p{L}.*?%\}",
+    r"(?s)\{#\s*\p{L}.*?#\}",
+    r"%\(\s*[\p{L}_][^()\s]*\s*\)[-+# 0]?\d*(?:[sd]|\.\d+f)",
+    # Dotted, hyphenated, indexed or filtered names in single braces.
+    r"\{\s*" + _NAME + r"(?:\[[^\[\]{}]*\]|[-.][\p{L}_][\p{L}\p{N}_]*)+\s*(?:\|[^{}]*)?\}",
+    r"\{\s*[\p{L}_][\p{L}\p{N}_]*\s*\|\s*[\p{L}_]+(?:[:(][^{}]*)?\s*\}",
     r"%(?:\d{1,2}\$)?s\b",
     r"\[\[\s*[\p{L}_][^\[\]]{0,60}\]\]",
     r"<<\s*[\p{L}_][^<>]{0,60}>>",
-    r"##\s*[\p{L}_][\p{L}\p{N}_ ]{1,60}##",
-    r"@@\s*[\p{L}_][\p{L}\p{N}_ ]{1,60}@@",
+    r"##\s*[\p{L}_][\p{L}\p{N}_. -]{1,60}##",
+    r"@@\s*[\p{L}_][\p{L}\p{N}_. -]{1,60}@@",
     r"__[\p{L}][\p{L}\p{N}_]{1,60}?__",
-    r"\*\|[\p{L}_][\p{L}\p{N}_ ]{1,60}\|\*",
+    r"\*\|[\p{L}_][^|*\n]*\|\*",
     r"\|[\p{Lu}_][\p{Lu}\p{N}_]{2,60}\|",
     r"\$[\p{Lu}_][\p{Lu}\p{N}_]{2,60}\$",
-    r"%[\p{L}_][\p{L}\p{N}_]{2,60}%",
+    r"%[\p{L}_][\p{L}\p{N}_-]{2,60}%",
     r"\{\d{1,2}\}",
     r"«[\p{L}_][\p{L}\p{N}_]*(?: [\p{L}\p{N}_]+){0,3}»",
 ]
@@ -149,6 +155,8 @@ FIELD_WORDS = (
     r"voornaam|naam|productnaam|merk|kleur|winkel|stad|"
     r"nome|do|produto|cor|loja|cidade)(?:\s+|$)){1,4}\d*$"
 )
+# Field names joined by hyphens in square brackets; other hyphenated words there are asides.
+HYPHENATED = FIELD_WORDS.replace("(?:\\s+|$)", "(?:-|$)").replace("customer|", "customer|user|email|delivery|shipping|phone|model|")
 # An opening bracket before a request to fill in, even if it is never closed.
 OPEN_SLOT = (
     r"(?iu)[\[{]\s*(?:insert|enter|add|your|hier\s+\p{L}+(?:\s+\p{L}+)?\s+ein\w+|ihre?|insertar|inserir|insérer|votre|su|seu|uw)\s+\p{L}{3,}|"
@@ -239,13 +247,15 @@ def _has_slot(sentence: Column) -> Column:
         lambda x: x.rlike(FILL_IN)
         | x.rlike(r"(?u)^[\p{L}\p{N}]+(?:_[\p{L}\p{N}]+)+$")
         | x.rlike(r"(?u)^\p{Lu}\p{Ll}+(?:\p{Lu}[\p{Ll}\p{N}]+)+$")
-        | x.rlike(FIELD_WORDS),
+        | x.rlike(FIELD_WORDS)
+        | (x.contains("-") & x.rlike(HYPHENATED)),
     )
+    angled = sentence.rlike(r"(?u)<\s*[\p{L}_][\p{L}\p{N}_]*(?:-[\p{L}\p{N}_]+)+\s*>")
     single = F.exists(
         F.regexp_extract_all(sentence, F.lit(r"(?u)[\[{<]\s*(\p{L}{3,}|\p{Lu}[\p{Lu}\p{N} _]{2,60})\s*[\]}>]"), 1),
         lambda x: ~x.rlike(ASIDES),
     )
-    return code | worded | single | sentence.rlike(OPEN_SLOT)
+    return code | worded | angled | single | sentence.rlike(OPEN_SLOT)
 
 
 def _without_mentions(plain: Column) -> Column:

@@ -119,3 +119,16 @@ GOVERNED = [
 
 def test_only_slots_that_the_sentence_talks_about_are_mentions(spark):
     assert found(spark, BESIDE_MENTIONS + GOVERNED) == list(range(len(BESIDE_MENTIONS)))
+
+
+WIDE_SLOTS = [
+    "Dear {{user-name}}, thanks.", "Dear {{#if name}}friend, thanks.", "Dear {{ name | default('friend') }}, thanks.", "The {{ product.name | upcase | strip }} works.",
+    "The {{ order_items[0].name }} works.", "Dear ${user.name:-friend}, thanks.", "The <product-name> works.", "The [product-name] works.", "The {product-name} works.",
+    "It came {% if order.shipping_method == 'express' and order.country in ['de', 'fr', 'nl'] %} fast.", "The {items[0]} works.", "The {name|upper} works.",
+    "It cost <%= number_to_currency(order.total, unit: 'EUR', precision: 2, delimiter: '.', separator: ',') %>.", "It cost %(price).2f euros.",
+]
+
+
+def test_slots_with_filters_indexes_helpers_and_hyphens(spark):
+    asides = ["My [brand-new] tent works.", "I paid {just kidding, more like 8}.", "Was 20%-off, now 30% less.", "A [well-made] bag.", "It is 5 <6 and 7-8 > 4."]
+    assert found(spark, WIDE_SLOTS + asides) == list(range(len(WIDE_SLOTS)))
