@@ -113,7 +113,7 @@ MARKUP = r"(?iu)</?(?:h\d|p|br|hr|div|span|noscript|b|i|u|em|strong|a|ul|ol|li|b
 
 # Placeholder syntaxes that are never prose.
 _NAME = r"[\p{L}_][\p{L}\p{N}_.]*"
-CODE_SLOTS = [
+PAIRED_SLOTS = [
     # Delimiter pairs with any content: helpers, filters, indexes, defaults, blocks.
     r"\{\{(?=[^{}]*[\p{L}_])(?:[^{}]++|\{[^{}]*+\})++\}\}",
     r"[$#]\{(?=[^{}]*[\p{L}_])(?:[^{}]++|\{[^{}]*+\})++\}",
@@ -122,6 +122,8 @@ CODE_SLOTS = [
     r"(?s)<\?(?=php|=|\s*[\p{L}_$]).+?\?>",
     r"(?s)\{%[-+]?\s*\p{L}.*?%\}",
     r"(?s)\{#\s*\p{L}.*?#\}",
+]
+CODE_SLOTS = PAIRED_SLOTS + [
     r"%\(\s*[\p{L}_][^()\s]*\s*\)[-+# 0]?\d*(?:[sd]|\.\d+f)",
     # Dotted, hyphenated, indexed or filtered names in single braces.
     r"\{\s*" + _NAME + r"(?:\[[^\[\]{}]*\]|[-.][\p{L}_][\p{L}\p{N}_]*)+\s*(?:\|[^{}]*)?\}",
@@ -231,17 +233,30 @@ def notice_vocabulary() -> list[str]:
     return sorted(w for w in words if not w.isdigit())
 
 
+def _restored(text: Column) -> Column:
+    """Text with its escaped angle brackets restored."""
+    return F.regexp_replace(F.regexp_replace(text, "(?i)&lt;", "<"), "(?i)&gt;", ">")
+
+
 def _plain(text: Column) -> Column:
     """Text without mark-up, escaped angle brackets restored."""
-    restored = F.regexp_replace(F.regexp_replace(text, "(?i)&lt;", "<"), "(?i)&gt;", ">")
-    return F.regexp_replace(restored, MARKUP, "\n")
+    return F.regexp_replace(_restored(text), MARKUP, "\n")
+
+
+def _any_of(text: Column, patterns: list[str]) -> Column:
+    hit = F.lit(False)
+    for pattern in patterns:
+        hit = hit | text.rlike("(?u)" + pattern)
+    return hit
 
 
-def _has_slot(sentence: Column) -> Column:
-    code = F.lit(False)
-    for pattern in CODE_SLOTS:
-        code = code | sentence.rlike("(?u)" + pattern)
-    inner = F.regexp_extract_all(sentence, F.lit(r"(?u)[\[{<*]\s*([\p{L}_][^\[\]{}<>*]{0,70}?)\s*[\]}>*]"), 1)
+def _has_slot(text: Column) -> Column:
+    """Whether a whole text has a slot; slots may span lines, but asterisks begin list items as well and only pair up on one line."""
+    code = _any_of(text, CODE_SLOTS)
+    # A bracket may be wrapped, but doesn't go on in another paragraph.
+    paired = F.regexp_extract_all(text, F.lit(r"(?u)[\[{<]\s*([\p{L}_][^\[\]{}<>*]{0,70}?)\s*[\]}>]"), 1)
+    starred = F.regexp_extract_all(text, F.lit(r"(?u)[\[{<*][ \t]*([\p{L}_][^\[\]{}<>*\r\n]{0,70}?)[ \t]*[\]}>*]"), 1)
+    inner = F.transform(F.filter(F.concat(paired, starred), lambda x: ~x.rlike(r"\n\s*\n")), lambda x: F.regexp_replace(x, r"\s+", " "))
     worded = F.exists(
         inner,
         lambda x: x.rlike(FILL_IN)
@@ -250,12 +265,12 @@ def _has_slot(sentence: Column) -> Column:
         | x.rlike(FIELD_WORDS)
         | (x.contains("-") & x.rlike(HYPHENATED)),
     )
-    angled = sentence.rlike(r"(?u)<\s*[\p{L}_][\p{L}\p{N}_]*(?:-[\p{L}\p{N}_]+)+\s*>")
+    angled = text.rlike(r"(?u)<\s*[\p{L}_][\p{L}\p{N}_]*(?:-[\p{L}\p{N}_]+)+\s*>")
     single = F.exists(
-        F.regexp_extract_all(sentence, F.lit(r"(?u)[\[{<]\s*(\p{L}{3,}|\p{Lu}[\p{Lu}\p{N} _]{2,60})\s*[\]}>]"), 1),
+        F.regexp_extract_all(text, F.lit(r"(?u)[\[{<]\s*(\p{L}{3,}|\p{Lu}[\p{Lu}\p{N} _]{2,60})\s*[\]}>]"), 1),
         lambda x: ~x.rlike(ASIDES),
     )
-    return code | worded | angled | single | sentence.rlike(OPEN_SLOT)
+    return code | worded | angled | single | text.rlike(OPEN_SLOT)
 
 
 def _without_mentions(plain: Column) -> Column:
@@ -334,8 +349,10 @@ def residue_evidence(
     # A text without any bracket, cue or filler word holds no case: only the others are taken apart.
     one_space = F.regexp_replace("text", r"\s+", " ")
     suspect = base.where(F.col("text").rlike(r"[\[\]{}<>%#@$«_|*&]") | one_space.rlike(CUES) | F.col("text").rlike(_any_word([w for w in FILLER_WORDS if len(w) > 4] + STAND_INS)))
-    slots = F.exists(
-        F.filter(F.split(_without_mentions(F.col("plain")), SENTENCE_END), lambda s: s.rlike(r"[\[\]{}<>%#@$«_|*]")), _has_slot
+    # Slots are sought in the whole text, as they may hold line breaks and ends of sentences; those of mark-up in the text with it.
+    marked = F.col("plain") != F.col("restored")
+    slots = F.col("restored").rlike(r"[\[\]{}<>%#@$«_|*]") & (
+        _has_slot(F.col("talked")) | (marked & _any_of(_without_mentions(F.col("restored")), PAIRED_SLOTS))
     )
     stand_in = _member(STAND_INS)
 
@@ -375,7 +392,9 @@ def residue_evidence(
         return F.coalesce(F.size(F.filter("sentences", lambda s: is_notice(s, share))), F.lit(0))
 
     return (
-        suspect.withColumn("plain", _plain(F.col("text")))
+        suspect.withColumn("restored", _restored(F.col("text")))
+        .withColumn("plain", _plain(F.col("text")))
+        .withColumn("talked", _without_mentions(F.col("plain")))
         .withColumn("has_slot", slots)
         .withColumn("body", _body(F.col("plain")))
         .withColumn("sentences", sentences)

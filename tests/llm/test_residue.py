@@ -132,3 +132,16 @@ WIDE_SLOTS = [
 def test_slots_with_filters_indexes_helpers_and_hyphens(spark):
     asides = ["My [brand-new] tent works.", "I paid {just kidding, more like 8}.", "Was 20%-off, now 30% less.", "A [well-made] bag.", "It is 5 <6 and 7-8 > 4."]
     assert found(spark, WIDE_SLOTS + asides) == list(range(len(WIDE_SLOTS)))
+
+
+WRAPPED = [
+    "Dear {{\n product_name\n}}, thanks.", "Dear <? echo $name ?>, thanks.", "Dear {% if a %}\nyou! {{ b }}\n{% endif %}", "Hello [insert your\nname], hi.",
+    "The {{ name | default('you. Yes') }} works.", "See <a href=\"{{ shop_url }}\">the shop</a>.", "Order <%=\r\n order_id\r\n%> came.", "The <first\nname> is fine.",
+]
+LISTS = [
+    "* Add more colours\n* Better box", "Pros [light\n\nCons: heavy] anyway.", "<ul><li>Works</li>\n<li class=\"a\">Cheap</li></ul>", "Width <\n 5 and more > 4.",
+]
+
+
+def test_slots_span_lines_and_sentence_ends(spark):
+    assert found(spark, WRAPPED + LISTS) == list(range(len(WRAPPED)))
