@@ -8,6 +8,7 @@ DataFrames.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -146,6 +147,8 @@ def spread(graph: PropertyGraph, k: int, seed: int | None = None) -> DataFrame:
             seeds = np.argsort(-draw, kind="stable")[: min(k, n)]
         label = np.full(n, -1)
         ties: list[dict[int, float]] = []
+        # Strongest ties first; an entry counts only while it has the current tie of its node.
+        queues: list[list[tuple[float, int]]] = []
 
         def take(node: int, cluster: int) -> None:
             label[node] = cluster
@@ -155,11 +158,13 @@ def spread(graph: PropertyGraph, k: int, seed: int | None = None) -> DataFrame:
                 other = int(v[e])
                 if label[other] < 0:
                     ties[cluster][other] = ties[cluster].get(other, 0.0) + w[e] / strength[other]
+                    heapq.heappush(queues[cluster], (-ties[cluster][other], other))
 
         for c, node in enumerate(seeds):
             label[node] = c
         for c, node in enumerate(seeds):
             ties.append({})
+            queues.append([])
         for c, node in enumerate(seeds):
             take(int(node), c)
         left = int((label < 0).sum())
@@ -167,13 +172,16 @@ def spread(graph: PropertyGraph, k: int, seed: int | None = None) -> DataFrame:
             grew = False
             for c in range(len(ties)):
                 if ties[c] and left:
-                    node = min(ties[c], key=lambda x, t=ties[c]: (-t[x], x))
+                    tie, node = heapq.heappop(queues[c])
+                    while ties[c].get(node) != -tie:
+                        tie, node = heapq.heappop(queues[c])
                     take(node, c)
                     left -= 1
                     grew = True
             if not grew and left:
                 free = np.flatnonzero(label < 0)
                 ties.append({})
+                queues.append([])
                 take(int(free[np.lexsort((ids[free], -degree[free]))[0]]), len(ties) - 1)
                 left -= 1
         return label

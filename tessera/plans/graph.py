@@ -446,6 +446,28 @@ def hierarchical_divisive(spark, d):
     return C.hierarchical_divisive(nation_graph(spark, d), C.fennel, 8)
 
 
+# The same three over the part-supplier graph, where their size matters.
+
+
+@query("spread_clustering_trade", _COVER_SQL)
+def spread_clustering_trade(spark, d):
+    graph = trade_graph(spark, d)
+    return _covers(graph, C.spread(graph, 8))
+
+
+@query("hierarchical_agglomerative_trade", _COVER_SQL)
+def hierarchical_agglomerative_trade(spark, d):
+    graph = trade_graph(spark, d)
+    return _covers(graph, C.compose_hierarchy(C.hierarchical_agglomerative(graph, C.fennel, [4, 8])))
+
+
+@query("hierarchical_divisive_trade", _COVER_SQL)
+def hierarchical_divisive_trade(spark, d):
+    graph = trade_graph(spark, d)
+    graph = PropertyGraph(materialize(graph.edges, "trade-edges"), materialize(graph.nodes, "trade-nodes"), directed=False)
+    return _covers(graph, C.hierarchical_divisive(graph, C.fennel, 3000))
+
+
 @query("merge_small_clusters")
 def merge_small_clusters(spark, d):
     graph = nation_graph(spark, d)

@@ -35,3 +35,12 @@ def test_query_equals_sql(spark, name):
     columns = sorted(df.columns)
     got = sorted(repr([r[c] for c in columns]) for r in df.collect())
     assert (columns, got) == oracle(__spark_entry__.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name", ["spread_clustering_trade", "hierarchical_agglomerative_trade", "hierarchical_divisive_trade"])
+def test_clusterings_cover_the_large_graph(spark, name):
+    df = __spark_entry__.queries()[name](spark, str(DATA))
+    columns = sorted(df.columns)
+    got = df.collect()
+    assert got[0].n_nodes > 25
+    assert (columns, [repr([r[c] for c in columns]) for r in got]) == oracle(__spark_entry__.oracle_sql()[name])
