@@ -263,14 +263,16 @@ def _local_moves(graph: PropertyGraph, rounds: int) -> tuple[DataFrame, bool]:
     return labels, improved
 
 
-def label_spread(graph: PropertyGraph, seeds: DataFrame, rounds: int = 50) -> DataFrame:
+def label_spread(graph: PropertyGraph, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """Clusters grow from ``seeds(node, cluster)`` a neighbourhood a round; unreached nodes form clusters of one.
 
     Each unassigned node joins the cluster to which most of its weight goes,
-    the smaller one at a tie.
+    the smaller one at a tie.  It goes on until no node is reached; if a number
+    of ``rounds`` is given and doesn't suffice, it raises.
     """
     labels = materialize(seeds.select("node", "cluster"), "spread")
-    for _ in range(rounds):
+    step = 0
+    while True:
         met = (
             graph.weighted_edges.join(labels.select(F.col("node").alias("src"), "cluster"), "src")
             .groupBy(F.col("dst").alias("node"), "cluster")
@@ -281,7 +283,13 @@ def label_spread(graph: PropertyGraph, seeds: DataFrame, rounds: int = 50) -> Da
         first = materialize(first, "spread-step")
         if first.isEmpty():
             break
+        if step == rounds:
+            raise RuntimeError(f"nodes are still reached after {rounds} rounds")
+        step += 1
         labels = labels.unionByName(first)
+        # The plan would grow by a union a round.
+        if step % 20 == 0:
+            labels = materialize(labels, "spread")
     top = labels.agg(F.max("cluster")).first()[0]
     alone = graph.nodes.select(F.col("id").alias("node")).join(labels, "node", "left_anti")
     ordered = number_rows(materialize(alone.repartitionByRange("node").sortWithinPartitions("node"), "alone"))

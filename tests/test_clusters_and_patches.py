@@ -195,3 +195,11 @@ def test_patch_subgraphs(spark, rows):
     patches = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 2)], "patch_id int, node long")
     edges, nodes = P.patch_subgraphs(g, patches)
     assert rows(edges) == [(0, 0, 1), (0, 1, 0), (1, 1, 2), (1, 2, 1)] and nodes.count() == 4
+
+
+def test_label_spread_reaches_the_end_of_a_long_chain(spark):
+    chain = PropertyGraph.from_edges(spark.range(60).selectExpr("id AS src", "id + 1 AS dst"), spark.range(61), False)
+    seed = spark.createDataFrame([(0, 7)], "node long, cluster long")
+    assert by_node(C.label_spread(chain, seed)) == {n: 7 for n in range(61)}
+    with pytest.raises(RuntimeError):
+        C.label_spread(chain, seed, rounds=3)
