@@ -327,27 +327,35 @@ def compose_hierarchy(hierarchy: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def hierarchical_divisive(graph: PropertyGraph, cluster: ClusterFunction, max_size: int, branches: int = 2, max_depth: int = 20) -> DataFrame:
+def hierarchical_divisive(graph: PropertyGraph, cluster: ClusterFunction, max_size: int, branches: int = 2, max_depth: int | None = None) -> DataFrame:
     """``node, path``: clusters are divided until none has more than ``max_size`` nodes.
 
     The path names a cluster by its choices from the top, as ``0/1/0``.  A
-    cluster that its method doesn't divide stays as it is.
+    cluster that its method doesn't divide stays as it is.  If ``max_depth`` is
+    given and larger clusters could still be divided there, it raises.
     """
     state = materialize(cluster(graph, branches).select("node", F.col("cluster").cast("string").alias("path")), "divisive")
-    for _ in range(max_depth):
+    depth = 0
+    undivided: set[str] = set()
+    while True:
         # Only clusters above max_size come to the driver: at most nodes / max_size.
         large = [r["path"] for r in state.groupBy("path").count().where(F.col("count") > max_size).select("path").orderBy("path").collect()]
+        large = [path for path in large if path not in undivided]
         changed = False
         for path in large:
             part = graph.induced(state.where(F.col("path") == path).select(F.col("node").alias("id")))
             divided = cluster(part, branches)
             if divided.select("cluster").distinct().count() < 2:
+                undivided.add(path)
                 continue
+            if depth == max_depth:
+                raise RuntimeError(f"clusters above {max_size} nodes are left at depth {max_depth}")
             changed = True
             renamed = divided.select("node", F.concat(F.lit(path + "/"), F.col("cluster").cast("string")).alias("new"))
             state = materialize(state.join(renamed, "node", "left").select("node", F.coalesce("new", "path").alias("path")), "divisive")
         if not changed:
             break
+        depth += 1
     return state
 
 

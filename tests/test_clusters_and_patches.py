@@ -203,3 +203,17 @@ def test_label_spread_reaches_the_end_of_a_long_chain(spark):
     assert by_node(C.label_spread(chain, seed)) == {n: 7 for n in range(61)}
     with pytest.raises(RuntimeError):
         C.label_spread(chain, seed, rounds=3)
+
+
+def test_division_has_no_silent_depth(spark):
+    g = PropertyGraph.from_edges(spark.createDataFrame([(0, 1)], "src long, dst long"), spark.range(24), False)
+
+    def peel(part, branches):
+        # The smallest node leaves: as deep as there are nodes.
+        first = part.nodes.agg({"id": "min"}).first()[0]
+        return part.nodes.selectExpr("id AS node", f"cast(id > {first} AS long) AS cluster")
+
+    sizes = [r["count"] for r in C.hierarchical_divisive(g, peel, 1).groupBy("path").count().collect()]
+    assert sizes == [1] * 24
+    with pytest.raises(RuntimeError):
+        C.hierarchical_divisive(g, peel, 1, max_depth=2)
