@@ -15,10 +15,10 @@ from tessera.operators.affine import Frames, apply_frames, mean_patches
 from tessera.operators.alignment import get_aligner
 from tessera.operators.embedding import AutoEncoder, bipartite_svd, distance_scores, patch_embeddings
 from tessera.operators.pair_stats import node_multiplicity, pair_coordinates, patch_coordinates, node_patches, overlap_counts, pair_statistics, patch_degrees
-from tessera.operators.patches import patch_subgraphs, voronoi_patches
+from tessera.operators.patches import create_patch_data, patch_subgraphs, voronoi_patches
 from tessera.operators.synchronise import relative_scale
 from tessera.operators.synthetic import add_noise
-from tessera.plans.fixtures import DIM, NATIONS, POINTS, RING_SQL, USABLE, flat, flat_sql, nation_graph, points, ring_frames, ring_members, ring_patches, trade_graph, usable_patches
+from tessera.plans.fixtures import DIM, NATIONS, POINTS, RING_SQL, TRADE, USABLE, flat, flat_sql, nation_graph, points, ring_frames, ring_members, ring_patches, trade_graph, usable_patches
 from tessera.session import materialize, scratch_path
 from tessera.sources import files
 
@@ -353,6 +353,23 @@ def gae_patch_embedding(spark, d):
     )
 
 
+@query("gae_patch_embedding_trade", f"WITH {TRADE}, n AS (SELECT count(DISTINCT src) AS n FROM trade) SELECT n AS n_nodes, 10 AS n_patches, 2 AS dim, TRUE AS loss_fell FROM n")
+def gae_patch_embedding_trade(spark, d):
+    """One model per patch of the part-supplier graph."""
+    graph = trade_graph(spark, d)
+    graph = PropertyGraph(materialize(graph.edges, "trade-edges"), materialize(graph.nodes, "trade-nodes"), directed=False)
+    partition = graph.nodes.select(F.col("id").alias("node"), F.pmod("id", F.lit(10)).alias("cluster"))
+    patches, _ = create_patch_data(graph, partition, min_overlap=10, target_overlap=20, mean_degree=4)
+    edges, nodes = patch_subgraphs(graph, patches)
+    z = patch_embeddings(edges.drop("weight"), nodes, AutoEncoder(model="VGAE", dim=2, hidden=16, epochs=120, rate=0.02, patience=200))
+    return z.agg(
+        F.countDistinct("node").alias("n_nodes"),
+        F.countDistinct("patch_id").cast("int").alias("n_patches"),
+        F.max(F.size("coords")).alias("dim"),
+        F.min(F.col("loss_last") < F.col("loss_first")).alias("loss_fell"),
+    )
+
+
 @query("bipartite_svd", "SELECT 4 AS k, TRUE AS ascending, TRUE AS below_one")
 def spectral(spark, d):
     graph = trade_graph(spark, d)

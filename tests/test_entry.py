@@ -44,3 +44,12 @@ def test_clusterings_cover_the_large_graph(spark, name):
     got = df.collect()
     assert got[0].n_nodes > 25
     assert (columns, [repr([r[c] for c in columns]) for r in got]) == oracle(__spark_entry__.oracle_sql()[name])
+
+
+def test_models_are_trained_on_many_patches(spark):
+    name = "gae_patch_embedding_trade"
+    df = __spark_entry__.queries()[name](spark, str(DATA))
+    columns = sorted(df.columns)
+    got = df.collect()
+    assert got[0].n_patches == 10
+    assert (columns, [repr([r[c] for c in columns]) for r in got]) == oracle(__spark_entry__.oracle_sql()[name])
