@@ -2,16 +2,21 @@
 
 A coarse codebook routes every vector to a cell.  What the cell centre leaves
 over is encoded as a sum of entries of full-dimensional codebooks, one per
-level, found by beam search; the squared norm of each reconstruction is stored.
-A query's inner products with all codebook entries are one lookup table, so a
-candidate costs a few lookups.  The best of each list are reranked with their
-exact vectors.
+level, found by beam search.  Stored with the codes are the squared norm of the
+reconstruction and its error.  A query's inner products with all codebook
+entries are one lookup table, so the distance to a reconstruction costs a few
+lookups and the stored norm; no vector is decoded.  That distance and the
+stored error give a lower and an upper bound of the true distance.  A row whose
+lower bound is within the k-th smallest upper bound is reranked with its exact
+vector, so the number of reranked rows follows the list and has no cap.
 
 Each query first searches its own cell.  The k-th distance found there bounds
 which other cells can hold anything closer: by the radius of a cell, and by the
-hyperplane between its centre and the query's nearest centre.  Only those are
-searched, and none of them is left out.  Codebooks are fitted on a bounded
-sample; every vector is encoded and searched.
+hyperplane between its centre and the query's nearest centre.  In many
+dimensions these bounds exclude little; so the cells are also taken in the
+order of their centres' distance, and only as many of them as hold the wanted
+share of the true neighbours of sampled queries, which are searched exactly.
+Codebooks are fitted on a bounded sample; every vector is encoded and searched.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +36,17 @@ from tessera.session import materialize
 
 @dataclass(frozen=True)
 class SearchParameters:
-    """Sizes of the index; none of them limits which rows are indexed or searched."""
+    """Sizes of the index and the accepted loss; every row is indexed and is a query."""
 
     train_rows: int = 65_536  # rows the codebooks are fitted on
     cells_per_root: float = 4.0  # coarse cells per square root of the number of vectors
-    max_cells: int = 65_536
+    codebook_bytes: int = 64 << 20  # of the coarse codebook, which every task reads; fewer cells only mean longer lists
     levels: int = 4
     entries: int = 256
     beam: int = 4
-    shortlist: int = 64  # candidates of each list that are reranked exactly
+    deviations: float = 3.0  # of a reconstruction's error that the bounds allow for; from the root of the dimension on they are exact
+    recall: float = 0.9995  # share of the sampled queries' true neighbours that the probed cells hold; 1.0 probes by the exact bounds alone
+    probe_queries: int = 1_024  # sampled queries
     block_rows: int = 2_048  # rows of a list that are scored together
     query_rows: int = 8_192  # queries that are scored together
     train_rounds: int = 8
@@ -75,8 +83,8 @@ class Codebooks:
     coarse: np.ndarray  # cells x dim
     levels: list[np.ndarray]  # each entries x dim
 
-    def encode(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cell, codes and squared norm of the reconstruction, by beam search over the levels."""
+    def encode(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, codes, squared norm of the reconstruction from the cell's centre and its error, by beam search over the levels."""
         n = len(x)
         cell = _nearest(x, self.coarse)
         rest = (x - self.coarse[cell])[:, None, :]
@@ -93,8 +101,8 @@ class Codebooks:
             codes = np.concatenate([codes[rows, parent], entry[:, :, None].astype(np.int16)], 2)
         first = (rest**2).sum(2).argmin(1)
         rows = np.arange(n)
-        rebuilt = x - rest[rows, first]
-        return cell, codes[rows, first], (rebuilt**2).sum(1)
+        rebuilt = x - self.coarse[cell] - rest[rows, first]
+        return cell, codes[rows, first], (rebuilt**2).sum(1), np.sqrt((rest[rows, first] ** 2).sum(1))
 
 
 def fit_codebooks(sample: np.ndarray, n_cells: int, p: SearchParameters) -> Codebooks:
@@ -109,21 +117,22 @@ def fit_codebooks(sample: np.ndarray, n_cells: int, p: SearchParameters) -> Code
     return Codebooks(coarse, levels)
 
 
-_INDEX_SCHEMA = "node long, vector array<double>, cell int, codes array<short>, norm double, off double"
+_INDEX_SCHEMA = "node long, vector array<double>, cell int, codes array<short>, norm double, error double, off double"
 
 
-def encode_index(points: DataFrame, books: Codebooks, p: SearchParameters) -> DataFrame:
-    """``node, vector, cell, codes, norm, off``; off is the distance from the cell's centre."""
+def encode_index(points: DataFrame, shared: Broadcast, p: SearchParameters) -> DataFrame:
+    """``node, vector, cell, codes, norm, error, off``; off is the distance from the cell's centre."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        books = Codebooks(*shared.value)
         for batch in batches:
             for s in range(0, len(batch), 2048):
                 part = batch.iloc[s : s + 2048]
                 x = np.array(part["vector"].tolist(), float)
-                cell, codes, norm = books.encode(x, p.beam)
+                cell, codes, norm, error = books.encode(x, p.beam)
                 off = np.sqrt(((x - books.coarse[cell]) ** 2).sum(1))
                 yield pd.DataFrame(
-                    {"node": part["node"].to_numpy(), "vector": part["vector"].to_numpy(), "cell": cell, "codes": list(codes), "norm": norm, "off": off}
+                    {"node": part["node"].to_numpy(), "vector": part["vector"].to_numpy(), "cell": cell, "codes": list(codes), "norm": norm, "error": error, "off": off}
                 )
 
     return points.select("node", "vector").mapInPandas(run, _INDEX_SCHEMA)
@@ -132,7 +141,7 @@ def encode_index(points: DataFrame, books: Codebooks, p: SearchParameters) -> Da
 _HIT_SCHEMA = "query long, node long, d double"
 
 
-def _score(queries: DataFrame, index: DataFrame, sizes: DataFrame, books: Codebooks, k: int, p: SearchParameters) -> DataFrame:
+def _score(queries: DataFrame, index: DataFrame, sizes: DataFrame, shared: Broadcast, k: int, p: SearchParameters) -> DataFrame:
     """The best k of each (query, list block) that are within the query's bound: ``query, node, d``.
 
     ``queries(query, qvector, bound, cell)``.  A list is scored in blocks of
@@ -149,7 +158,7 @@ def _score(queries: DataFrame, index: DataFrame, sizes: DataFrame, books: Codebo
         index.join(plan, "cell")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(*[F.col(c).alias(f"list_{c}") for c in ("cell", "block", "part")], "node", "vector", "codes", "norm")
+        .select(*[F.col(c).alias(f"list_{c}") for c in ("cell", "block", "part")], "node", "vector", "codes", "norm", "error")
     )
     asks = (
         queries.join(plan, "cell")
@@ -157,65 +166,117 @@ def _score(queries: DataFrame, index: DataFrame, sizes: DataFrame, books: Codebo
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("cell", "block", "part", "query", "qvector", "bound")
     )
-    dim = books.coarse.shape[1]
-    width = [len(b) for b in books.levels]
-    table_books = np.concatenate(books.levels).astype(np.float32)
-    starts = np.cumsum([0, *width[:-1]])
 
     def run(asking: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "d": np.zeros(0)})
         if not len(asking) or not len(listed):
-            return empty
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "d": np.zeros(0)})
+        books = Codebooks(*shared.value)
+        dim = books.coarse.shape[1]
         x = np.array(listed["vector"].tolist(), float).reshape(-1, dim)
         nodes = listed["node"].to_numpy()
-        codes = np.array(listed["codes"].tolist(), np.int64) + starts
-        # Scores are relative to the cell's centre, where 32 bits are precise enough.
-        centre = books.coarse[int(listed["list_cell"].iloc[0])]
-        rebuilt = table_books[codes].sum(1, dtype=np.float32)
-        norms = (rebuilt**2).sum(1)
-        short = min(p.shortlist, len(nodes))
+        quantised = QuantisedList(
+            books, int(listed["list_cell"].iloc[0]), np.array(listed["codes"].tolist(), np.int64), listed["norm"].to_numpy(), listed["error"].to_numpy()
+        )
+        q = np.array(asking["qvector"].tolist(), float).reshape(-1, dim)
+        ids, bounds = asking["query"].to_numpy(), asking["bound"].to_numpy()
         found = []
         step = max(1, 4_000_000 // len(nodes))
-        all_q = np.array(asking["qvector"].tolist(), float).reshape(-1, dim)
-        all_ids, all_bounds = asking["query"].to_numpy(), asking["bound"].to_numpy()
-        for s in range(0, len(all_q), step):
-            q, ids, bounds = all_q[s : s + step], all_ids[s : s + step], all_bounds[s : s + step]
-            table = (q - centre).astype(np.float32) @ table_books.T
-            score = np.repeat(norms[None, :], len(q), 0)
-            for level in range(codes.shape[1]):
-                score -= 2 * table[:, codes[:, level]]
-            if short < len(nodes):
-                best = np.argpartition(score, short - 1, axis=1)[:, :short]
-            else:
-                best = np.tile(np.arange(len(nodes)), (len(q), 1))
-            exact = np.sqrt(((x[best] - q[:, None, :]) ** 2).sum(2))
-            exact[nodes[best] == ids[:, None]] = np.inf
-            order = np.lexsort((nodes[best], exact), axis=1)[:, :k]
-            d = np.take_along_axis(exact, order, 1)
-            n = nodes[np.take_along_axis(best, order, 1)]
-            ok = np.isfinite(d) & (d <= bounds[:, None])
-            found.append((np.repeat(ids, ok.sum(1)), n[ok], d[ok]))
-        if not found:
-            return empty
+        for s in range(0, len(q), step):
+            near, at = quantised.candidates(q[s : s + step], ids[s : s + step, None] == nodes, bounds[s : s + step], k, p.deviations)
+            d = np.sqrt(((x[at] - q[near + s]) ** 2).sum(1))
+            order = np.lexsort((nodes[at], d, near))
+            near, at, d = near[order], at[order], d[order]
+            rank = np.arange(len(near)) - np.searchsorted(near, near)
+            ok = (rank < k) & (d <= bounds[near + s])
+            found.append((ids[near[ok] + s], nodes[at[ok]], d[ok]))
         return pd.DataFrame({"query": np.concatenate([f[0] for f in found]), "node": np.concatenate([f[1] for f in found]), "d": np.concatenate([f[2] for f in found])})
 
     listed_by = lists.groupBy("list_cell", "list_block", "list_part")
     return asks.groupBy("cell", "block", "part").cogroup(listed_by).applyInPandas(run, _HIT_SCHEMA)
 
 
+class QuantisedList:
+    """Rows of one cell, scored by lookup tables."""
+
+    def __init__(self, books: Codebooks, cell: int, codes: np.ndarray, norm: np.ndarray, error: np.ndarray):
+        # Distances are taken from the cell's centre, where 32 bits are precise enough.
+        self.centre = books.coarse[cell]
+        self.books = np.concatenate(books.levels).astype(np.float32)
+        self.codes = codes + np.cumsum([0, *[len(b) for b in books.levels[:-1]]])
+        self.norm, self.error = norm.astype(np.float32), error.astype(np.float32)
+
+    def candidates(self, q: np.ndarray, is_self: np.ndarray, bounds: np.ndarray, k: int, deviations: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, row) that may be among the query's k nearest within its bound.
+
+        The squared distance to a row is that to its reconstruction, plus the
+        squared error, plus or minus twice their product times the cosine
+        between both; the cosine is at most 1, and ``deviations`` times the
+        inverse root of the dimension but for rare directions.
+        """
+        moved = (q - self.centre).astype(np.float32)
+        table = moved @ self.books.T
+        own = (moved**2).sum(1)
+        d2 = own[:, None] + self.norm
+        slack = d2 * np.float32(1e-5)
+        for level in range(self.codes.shape[1]):
+            d2 -= 2 * table[:, self.codes[:, level]]
+        cosine = min(1.0, deviations / np.sqrt(q.shape[1]))
+        wide = np.sqrt(np.maximum(d2, 0)) * (2 * cosine * self.error) + slack
+        d2 += self.error**2
+        upper = np.where(is_self, np.inf, d2 + wide)
+        limit = bounds.astype(float) ** 2 * (1 + 1e-6)
+        if upper.shape[1] > k:
+            limit = np.minimum(limit, np.partition(upper, k - 1, axis=1)[:, k - 1])
+        return np.nonzero((d2 - wide <= limit[:, None]) & ~is_self)
+
+
+def _probes(index: DataFrame, sample: tuple[np.ndarray, np.ndarray], shared: Broadcast, k: int, p: SearchParameters) -> int:
+    """How many cells, in the order of their centres' distance, hold ``p.recall`` of the true neighbours of sampled queries."""
+    ids, q = sample
+    width = k + 1
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best_d, best_cell = np.full((len(q), width), np.inf), np.full((len(q), width), -1)
+        own = (q**2).sum(1)[:, None]
+        for batch in batches:
+            for s in range(0, len(batch), 8192):
+                part = batch.iloc[s : s + 8192]
+                x = np.array(part["vector"].tolist(), float)
+                d2 = own + (x**2).sum(1) - 2 * q @ x.T
+                d2[ids[:, None] == part["node"].to_numpy()] = np.inf
+                d = np.concatenate([best_d, d2], 1)
+                cell = np.concatenate([best_cell, np.broadcast_to(part["cell"].to_numpy(), d2.shape)], 1)
+                top = np.argpartition(d, width - 1, axis=1)[:, :width]
+                best_d, best_cell = np.take_along_axis(d, top, 1), np.take_along_axis(cell, top, 1)
+        row, col = np.nonzero(np.isfinite(best_d))
+        yield pd.DataFrame({"query": row.astype(np.int64), "node": best_cell[row, col].astype(np.int64), "d": best_d[row, col]})
+
+    hits = index.select("node", "vector", "cell").mapInPandas(nearest, _HIT_SCHEMA)
+    # At most probe_queries x k rows.
+    true = _top(hits, k).select("query", "node").toPandas()
+    if not len(true):
+        return 1
+    coarse, _ = shared.value
+    d2 = 0.5 * (coarse**2).sum(1) - q @ coarse.T
+    row, cell = true["query"].to_numpy(), true["node"].to_numpy()
+    rank = (d2[row] < d2[row, cell][:, None]).sum(1) + 1
+    return int(np.quantile(rank, p.recall, method="higher"))
+
+
 def _other_cells(
-    queries: DataFrame, books: Codebooks, counts: np.ndarray, radius: np.ndarray, k: int
+    queries: DataFrame, shared: Broadcast, counts: np.ndarray, radius: np.ndarray, k: int, probes: int | None
 ) -> DataFrame:
     """For each query every further cell that can hold something within its bound.
 
     ``queries(query, qvector, cell, bound)``; a bound may be null.  It is then,
     and wherever that is smaller, the distance within which the nearest cells
-    hold k rows for certain.
+    hold k rows for certain.  Only the ``probes`` nearest cells are asked if
+    that is given, and as many as are needed to find k rows.
     """
-    coarse = books.coarse
-    gaps_half = 0.5 * (coarse**2).sum(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coarse, _ = shared.value
+        gaps_half = 0.5 * (coarse**2).sum(1)
         step = max(1, 4_000_000 // len(coarse))
         for batch in batches:
             for s in range(0, len(batch), step):
@@ -233,13 +294,17 @@ def _other_cells(
                     sure = np.take_along_axis(reach, by_reach, 1)[np.arange(len(loose)), enough]
                     total = counts.sum() > k
                     bound[loose] = sure if total else np.inf
-                slack = 1e-9 * (1 + d)
-                low = d - radius
-                between = np.sqrt(np.maximum(2 * (gaps_half[home][:, None] + gaps_half - coarse[home] @ coarse.T), 1e-30))
-                plane = (d2 - d2[np.arange(len(q)), home][:, None]) / (2 * between)
-                possible = (np.maximum(low, plane) - slack <= bound[:, None]) & (counts > 0)
+                possible = (d - radius - 1e-9 * (1 + d) <= bound[:, None]) & (counts > 0)
+                if probes is not None and probes < len(coarse):
+                    near = d2 <= np.partition(d2, probes - 1, axis=1)[:, probes - 1 : probes]
+                    near[loose] = True
+                    possible &= near
                 possible[np.arange(len(q)), home] = False
                 row, cell = np.nonzero(possible)
+                between = np.sqrt(np.maximum(((coarse[home[row]] - coarse[cell]) ** 2).sum(1), 1e-30))
+                plane = (d2[row, cell] - d2[row, home[row]]) / (2 * between)
+                ok = plane - 1e-9 * (1 + d[row, cell]) <= bound[row]
+                row, cell = row[ok], cell[ok]
                 yield pd.DataFrame(
                     {"query": part["query"].to_numpy()[row], "qvector": part["qvector"].to_numpy()[row], "bound": bound[row], "cell": cell.astype(np.int32)}
                 )
@@ -257,6 +322,9 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, p: SearchParameters = Sea
 
     ``vectors(node, vector)`` with unique nodes and usable vectors of one
     length.  Distances are Euclidean and exact; ties go to the smaller node.
+    A true neighbour may be missed where the cells probed don't hold it
+    (``p.recall``) or, beyond ``p.deviations`` squared dimensions, where a
+    reconstruction errs in a rare direction.
     Nodes with the same vector are indexed once; each of them still gets the
     others as neighbours at distance 0, without the pairs of such a group
     being formed.  Fewer than k other nodes give fewer rows, no vectors none.
@@ -271,25 +339,31 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, p: SearchParameters = Sea
     # The rows with the smallest hashes; those far above can't be among them and aren't sorted.
     low = F.lit(-(1 << 63) + int(min(1.0, 1.5 * p.train_rows / n) * (1 << 53)) * (1 << 11) - 1)
     hashed = points.where(F.xxhash64("node") <= low)
-    sample = hashed.orderBy(F.xxhash64("node"), "node").limit(p.train_rows).select("vector").toArrow()
+    sample = hashed.orderBy(F.xxhash64("node"), "node").limit(p.train_rows).select("node", "vector").toArrow()
     if not sample.num_rows:
-        sample = points.limit(1).select("vector").toArrow()
+        sample = points.limit(1).select("node", "vector").toArrow()
     train = sample["vector"].combine_chunks().flatten().to_numpy().reshape(sample.num_rows, -1)
-    n_cells = int(max(1, min(p.max_cells, len(train), p.cells_per_root * np.sqrt(n))))
+    train_nodes = sample["node"].to_numpy()
+    most = max(1, p.codebook_bytes // (8 * train.shape[1]))
+    n_cells = int(max(1, min(most, len(train), p.cells_per_root * np.sqrt(n))))
     books = fit_codebooks(train, n_cells, p)
-    index = materialize(encode_index(points, books, p), "vector-index")
+    # The codebooks have at most codebook_bytes and levels x entries vectors more.
+    shared = spark.sparkContext.broadcast((books.coarse, books.levels))
+    index = materialize(encode_index(points, shared, p), "vector-index")
     sizes = materialize(index.groupBy("cell").agg(F.count(F.lit(1)).alias("n_rows"), F.max("off").alias("radius")), "cell-sizes")
-    # One row per coarse cell: bounded by max_cells.
+    # One row per coarse cell: bounded by codebook_bytes.
     stats = sizes.toPandas()
     counts, radius = np.zeros(len(books.coarse), np.int64), np.zeros(len(books.coarse))
     counts[stats["cell"]], radius[stats["cell"]] = stats["n_rows"], stats["radius"]
+    asking = slice(0, p.probe_queries)
+    probes = _probes(index, (train_nodes[asking], train[asking]), shared, k, p) if p.recall < 1 else None
 
     asked = index.select(F.col("node").alias("query"), F.col("vector").alias("qvector"), "cell")
-    home = materialize(_score(asked.withColumn("bound", F.lit(float("inf"))), index, sizes, books, k, p), "home-hits")
+    home = materialize(_score(asked.withColumn("bound", F.lit(float("inf"))), index, sizes, shared, k, p), "home-hits")
     bounds = _top(home, k).groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.max("d")).alias("bound"))
     bounded = asked.join(bounds, "query", "left")
-    probes = materialize(_other_cells(bounded, books, counts, radius, k), "probes")
-    hits = home.unionByName(_score(probes, index, sizes, books, k, p))
+    asked_cells = materialize(_other_cells(bounded, shared, counts, radius, k, probes), "probes")
+    hits = home.unionByName(_score(asked_cells, index, sizes, shared, k, p))
     return _top(_with_copies(vectors, points, hits, k), k).select(
         F.col("query").alias("node"), F.col("node").alias("neighbour"), "d", "rank"
     )

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tessera.llm.quantised_search import SearchParameters, fit_codebooks, nearest_neighbours, neighbour_pairs
+from tessera.llm.quantised_search import QuantisedList, SearchParameters, fit_codebooks, nearest_neighbours, neighbour_pairs
 
 VECTORS = "node long, vector array<double>"
 
@@ -27,10 +27,10 @@ def cloud(seed, n, dim=8):
 def test_recall_and_exact_distances(spark):
     rows = cloud(1, 1500)
     truth = brute(rows, 5)
-    got = nearest_neighbours(spark.createDataFrame(rows, VECTORS), 5, SearchParameters(block_rows=100, query_rows=64, shortlist=20)).collect()
+    got = nearest_neighbours(spark.createDataFrame(rows, VECTORS), 5, SearchParameters(block_rows=100, query_rows=64, recall=1.0)).collect()
     assert len(got) == 1500 * 5
     hits = sum((r.neighbour in {n for n, _ in truth[r.node]}) for r in got)
-    assert hits / len(got) >= 0.98
+    assert hits == len(got)
     x = dict(rows)
     for r in got[::50]:
         assert abs(r.d - np.linalg.norm(np.array(x[r.node]) - x[r.neighbour])) < 1e-9
@@ -72,9 +72,10 @@ def test_more_levels_leave_less_error():
     for levels in (1, 2, 4):
         p = SearchParameters(levels=levels, entries=64)
         books = fit_codebooks(x, 16, p)
-        cell, codes, norm = books.encode(x, p.beam)
+        cell, codes, norm, error = books.encode(x, p.beam)
         rebuilt = books.coarse[cell] + sum(b[codes[:, i]] for i, b in enumerate(books.levels))
-        assert np.allclose((rebuilt**2).sum(1), norm)
+        assert np.allclose(((rebuilt - books.coarse[cell]) ** 2).sum(1), norm)
+        assert np.allclose(((rebuilt - x) ** 2).sum(1), error**2)
         errors.append(((x - rebuilt) ** 2).sum(1).mean())
     assert errors[0] > errors[1] > errors[2]
 
@@ -84,7 +85,56 @@ def test_a_wider_beam_encodes_better():
     books = fit_codebooks(x, 8, SearchParameters(levels=4, entries=16))
 
     def error(beam):
-        cell, codes, _ = books.encode(x, beam)
+        cell, codes, _, _ = books.encode(x, beam)
         return ((x - books.coarse[cell] - sum(b[codes[:, i]] for i, b in enumerate(books.levels))) ** 2).sum()
 
     assert error(8) < error(1)
+
+
+def quantised(x, cells, p):
+    """The books and, per cell, its rows and their quantised list."""
+    books = fit_codebooks(x, cells, p)
+    cell, codes, norm, error = books.encode(x, p.beam)
+    return books, {c: (np.flatnonzero(cell == c), QuantisedList(books, c, codes[cell == c], norm[cell == c], error[cell == c])) for c in set(cell.tolist())}
+
+
+def test_stored_norms_and_tables_keep_every_neighbour_of_a_long_list():
+    x = np.random.default_rng(3).normal(size=(3000, 8))
+    _, lists = quantised(x, 1, SearchParameters(entries=64))
+    rows, listed = lists[0]
+    q = np.arange(200)
+    near, at = listed.candidates(x[q], q[:, None] == rows, np.full(len(q), np.inf), 5, 3.0)
+    d = ((x[q][:, None] - x) ** 2).sum(2)
+    d[q, q] = np.inf
+    kept = set(zip(near.tolist(), at.tolist()))
+    assert all((i, j) in kept for i in q for j in np.argsort(d[i])[:5])
+    # The tables exclude most of the list, so few rows are reranked.
+    assert len(kept) / len(q) < 0.1 * len(x)
+
+
+def test_long_vectors_in_long_lists(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(scale=3, size=(20, 64))
+    x = centres[rng.integers(20, size=2000)] + rng.normal(size=(2000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    truth = brute(rows, 5)
+    got = nearest_neighbours(spark.createDataFrame(rows, VECTORS), 5, SearchParameters(cells_per_root=0.5, entries=64)).collect()
+    assert sum(r.neighbour in {n for n, _ in truth[r.node]} for r in got) / (5 * len(x)) >= 0.99
+
+
+def test_probes_are_bounded_where_the_bounds_exclude_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.quantised_search import _other_cells, _probes, encode_index
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(scale=3, size=(40, 64))
+    x = centres[rng.integers(40, size=2000)] + rng.normal(size=(2000, 64))
+    p = SearchParameters(entries=32)
+    books = fit_codebooks(x, 40, p)
+    shared = spark.sparkContext.broadcast((books.coarse, books.levels))
+    index = encode_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS), shared, p)
+    probes = _probes(index, (np.arange(200), x[:200]), shared, 5, p)
+    asked = index.select(F.col("node").alias("query"), F.col("vector").alias("qvector"), "cell", F.lit(1e6).alias("bound"))
+    few = _other_cells(asked, shared, np.full(40, 50), np.full(40, 20.0), 5, probes).count()
+    assert few <= 2000 * (probes - 1) < 2000 * 39
