@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.packing import harmonic_bins, pack, packing_report
+from tessera.llm.packing import class_bounds, class_report, harmonic_bins, pack, packing_audit, packing_report
 from tessera.llm.tokens import encode, load_encoding, with_token_counts
 
 SIZED = "doc_id long, n_tokens long"
@@ -11,26 +11,44 @@ SIZED = "doc_id long, n_tokens long"
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 50), max_size=120), st.booleans())
-def test_bins_hold_their_items(sizes, fill):
+def test_bins_follow_their_patterns(sizes, refined):
     sizes = np.array(sizes, np.int64)
-    bins = harmonic_bins(sizes, 50, fill)
-    if len(sizes):
-        used = np.bincount(bins, sizes)
-        assert used.max() <= 50
-        assert sorted(set(bins.tolist())) == list(range(bins.max() + 1))
+    bins, pattern, bound = harmonic_bins(sizes, 50, refined)
+    assert (sizes <= bound).all()
+    if not len(sizes):
+        return
+    assert np.bincount(bins, bound).max() <= 50
+    assert sorted(set(bins.tolist())) == list(range(bins.max() + 1))
+    takes = {}
+    for b in set(bins.tolist()):
+        here = (bins == b) & (sizes > 0)
+        takes.setdefault(int(pattern[bins == b][0]), set()).add(tuple(sorted(bound[here].tolist())))
+        assert len(set(pattern[bins == b].tolist())) == 1
+    assert all(len(t) == 1 for t in takes.values())
 
 
 def test_plain_harmonic_counts_per_class():
     sizes = np.array([30] * 5 + [20] * 7 + [12] * 9)
-    bins = harmonic_bins(sizes, 60, fill_gaps=False)
+    bins, _, bound = harmonic_bins(sizes, 60, refined=False)
     assert [np.bincount(bins[sizes == s]).max() for s in (30, 20, 12)] == [2, 3, 5]
+    assert [len(set(bins[sizes == s])) for s in (30, 20, 12)] == [3, 3, 2]
+    assert set(bound.tolist()) == {30, 20, 12}
 
 
-def test_gaps_are_filled():
-    sizes = np.random.default_rng(0).integers(1, 513, 5000)
-    plain, filled = (len(set(harmonic_bins(sizes, 512, f).tolist())) for f in (False, True))
-    least = int(np.ceil(sizes.sum() / 512))
-    assert least <= filled < plain and filled <= 1.03 * least
+@pytest.mark.parametrize("capacity", [1, 2, 7, 512, 2048, 8192])
+def test_class_bounds_are_close_and_hold_the_reciprocals(capacity):
+    plain, fine = class_bounds(capacity, False), class_bounds(capacity)
+    assert {capacity // j for j in range(1, capacity + 1)} == set(plain.tolist()) <= set(fine.tolist())
+    steps = np.diff(fine)
+    assert (np.diff(plain) > 0).all() and ((steps == 1) | (steps <= fine[1:] / 64 + 1)).all()
+
+
+def test_refined_classes_leave_little_space():
+    rng = np.random.default_rng(0)
+    for sizes in (rng.integers(1, 513, 5000), rng.choice([260, 250, 130, 40], 4000), np.minimum(512, rng.lognormal(4, 1, 5000).astype(int) + 1)):
+        plain, fine = (len(set(harmonic_bins(sizes, 512, r)[0].tolist())) for r in (False, True))
+        least = int(np.ceil(sizes.sum() / 512))
+        assert least <= fine <= plain and fine <= 1.03 * least
 
 
 def check(df, sizes, capacity):
@@ -54,6 +72,17 @@ def test_every_text_once_and_split_only_if_too_large(spark):
     df = pack(spark.createDataFrame(list(sizes.items()), SIZED), [("a", 100), ("b", 7)], block_items=64)
     check(df.where("pack_name = 'a'"), sizes, 100)
     check(df.where("pack_name = 'b'"), sizes, 7)
+    audit = packing_audit(df, [("a", 100), ("b", 7)]).collect()
+    assert len(audit) == 2 and all(r.n_over == r.n_misfits == r.n_off_pattern == 0 for r in audit)
+
+
+def test_audit_sees_wrong_bins(spark):
+    rows = [("a", 0, 0, 60, 1, 0, 0, 55), ("a", 0, 0, 60, 2, 0, 0, 61), ("a", 1, 0, 60, 3, 0, 0, 10)]
+    df = spark.createDataFrame(rows, "pack_name string, bin long, pattern long, class_bound long, doc_id long, piece long, start long, n_tokens long")
+    r = packing_audit(df, [("a", 100)]).first()
+    assert (r.n_items, r.n_tokens, r.n_over, r.n_misfits, r.n_off_pattern) == (3, 126, 1, 2, 1)
+    c = class_report(df).first()
+    assert (c.n_items, c.n_bins, c.n_tokens) == (3, 2, 126)
 
 
 def test_report_empty_and_bad_capacities(spark):
