@@ -3,12 +3,18 @@
 Capped water-filling: a source whose target needs more than its documents used
 ``max_repeats`` times is clamped there, and the weight it leaves is spread over
 the others in proportion, until nobody is above its cap.  A source that gives r
-times its size contributes every document floor(r) times and a seeded part of
+times its size contributes every document floor(r) times and a seeded sample of
 them once more.
+
+The sample takes the same part of every size class, in the order of a seeded
+hash, so short and long texts keep their proportion.  A class is drawn by one
+hash threshold: sums by hash prefix lead down to it, two digits at a time, and
+no rows are put in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -17,7 +23,10 @@ from pyspark.sql import functions as F
 from tessera.schema import pick
 from tessera.session import materialize
 
-HASH_BUCKETS = 4_096
+PREFIX_DIGITS = 2
+HASH_DIGITS = 32
+# Comes after every hexadecimal digit.
+BEYOND = "g"
 
 
 @dataclass(frozen=True)
@@ -33,20 +42,18 @@ def water_fill(sources: list[Source], total: float) -> dict[str, float]:
 
     Less than ``total`` comes out only when every source is at its cap.
     """
-    cap = {s.name: float(s.available) * s.max_repeats for s in sources}
     given = {s.name: 0.0 for s in sources}
-    open_sources = {s.name: s.share for s in sources if s.share > 0}
-    left = float(total)
-    while open_sources and left > 0:
-        weight = sum(open_sources.values())
-        over = [n for n, w in open_sources.items() if left * w / weight >= cap[n]]
-        if not over:
-            given |= {n: left * w / weight for n, w in open_sources.items()}
+    left, weight = float(total), sum(s.share for s in sources if s.share > 0)
+    # The source that is full at the lowest common level is clamped first.
+    by_level = sorted((s for s in sources if s.share > 0), key=lambda s: (s.available * s.max_repeats / s.share, s.name))
+    for k, s in enumerate(by_level):
+        cap = float(s.available * s.max_repeats)
+        if cap / s.share > left / weight:
+            given |= {o.name: o.share * left / weight for o in by_level[k:]}
             break
-        for n in over:
-            given[n] = cap[n]
-            left -= cap[n]
-            del open_sources[n]
+        given[s.name] = cap
+        left -= cap
+        weight -= s.share
     return given
 
 
@@ -87,6 +94,7 @@ def mix(
     nothing and its weight goes to the others.  The part of a source that is
     used once more is drawn from each size class in the order of a seeded
     hash; it depends on seed, keys and sizes only, not on partitioning.
+    Repeated rows of a key are drawn together.
     """
     usable = pick(sized, key, source, size).select(
         F.col(key).alias("key"), F.lower(F.trim(F.col(source))).alias("source"), F.col(size).cast("long").alias("n_tokens")
@@ -106,92 +114,96 @@ def mix(
     spark = sized.sparkSession
     # One row per listed source.
     plan_rows = spark.createDataFrame([(p["source"], p["whole"], p["part"]) for p in plans], "source string, whole int, part long")
-    listed = (
-        usable.join(F.broadcast(plan_rows), "source")
-        .withColumn("stratum", F.floor(F.log2("n_tokens")).cast("int"))
-        .withColumn("h", F.xxhash64(F.lit(seed), "key"))
-        .withColumn("bucket", F.shiftrightunsigned("h", 64 - HASH_BUCKETS.bit_length() + 1))
-    )
-    strata = _stratum_targets(listed, plans, {})
-    placed = _prefixes(listed, strata, spark)
-    reached = {(r["source"], r["stratum"]): r["t"] for r in _reached(placed).collect()}
-    strata = _stratum_targets(listed, plans, reached)
-    placed = materialize(_prefixes(listed, strata, spark), "mix")
-    used = _last_document(placed, plans, spark)
-    used = used.withColumn("uses", F.col("whole") + F.col("extra")).where("uses > 0")
+    hashed = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("key").cast("string")))
+    listed = usable.join(F.broadcast(plan_rows), "source").withColumn("stratum", F.length(F.bin("n_tokens"))).withColumn("h", hashed)
+    draws = _draws(materialize(listed.where("part > 0").select("source", "stratum", "h", "n_tokens"), "mix"), plans)
+    # At most 64 size classes per listed source.
+    limits = spark.createDataFrame([(*g, limit) for g, (limit, _) in draws.items()], "source string, stratum int, drawn_below string")
+    extra = F.coalesce((F.col("h") < F.col("drawn_below")).cast("int"), F.lit(0))
+    used = listed.join(F.broadcast(limits), ["source", "stratum"], "left").withColumn("uses", F.col("whole") + extra).where("uses > 0")
     return used.select(F.col("key").alias(key), "source", "n_tokens", "uses"), plans
 
 
-def _stratum_targets(listed: DataFrame, plans: list[dict], reached: dict[tuple[str, int], int]) -> list[tuple[str, int, int]]:
-    """Size to take once more from each source and size class.
+Group = tuple[str, int]
+
 
-    At first every class gives the same part of what it has, so that long and
-    short texts keep their proportion.  Whole texts can't meet that exactly;
-    what is missing then comes from the smallest classes, which meet it best.
+def _draws(listed: DataFrame, plans: list[dict]) -> dict[Group, tuple[str, int]]:
+    """Hash limit of each (source, size class) and the size drawn below it.
+
+    Every class of a source is to give the same part of what it has.  Whole
+    texts miss that by up to half a text each; what is missing then in total
+    is asked from the class with most texts among those that can give it.
     """
-    have: dict[str, dict[int, int]] = {}
-    # At most 63 size classes per listed source.
-    for r in listed.groupBy("source", "stratum").agg(F.sum("n_tokens").alias("t")).collect():
-        have.setdefault(r["source"], {})[r["stratum"]] = r["t"]
-    targets = []
+    tree = _PrefixSums(listed)
+    roots = tree.roots()
+    have = {g: sum(t for _, t, _ in children) for g, children in roots.items()}
+    texts = {g: sum(n for _, _, n in children) for g, children in roots.items()}
+    wanted = {}
     for p in plans:
-        classes = have.get(p["source"], {})
-        wanted = {k: t * p["part"] // p["available"] for k, t in classes.items()}
-        if reached:
-            got = {k: reached.get((p["source"], k), 0) for k in classes}
-            missing = p["part"] - sum(got.values())
-            for k in sorted(classes):
-                take = min(missing, classes[k] - got[k])
-                wanted[k] = got[k] + max(0, take)
-                missing -= max(0, take)
-        targets += [(p["source"], k, w) for k, w in wanted.items()]
-    return targets
-
-
-def _prefixes(listed: DataFrame, strata: list[tuple[str, int, int]], spark) -> DataFrame:
-    """``extra``: 1 for the longest prefix of each class, in hash order, within its target.
-
-    Sizes are summed by hash bucket; only the bucket in which a class reaches
-    its target is put in order.
-    """
-    by_class = ["source", "stratum"]
-    # At most 63 rows per listed source.
-    targets = F.broadcast(spark.createDataFrame(strata, "source string, stratum int, target long"))
-    # At most HASH_BUCKETS rows per listed source and class.
-    upto = Window.partitionBy(*by_class).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    filled = listed.groupBy(*by_class, "bucket").agg(F.sum("n_tokens").alias("t"))
-    before = filled.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0)))
-    placed = listed.join(before, [*by_class, "bucket"]).join(targets, by_class)
-    inside = placed.where(F.col("before") + F.col("t") <= F.col("target")).withColumn("extra", F.lit(1))
-    beyond = placed.where(F.col("before") >= F.col("target")).withColumn("extra", F.lit(0)).where("t > 0 and before + t > target")
-    edge = placed.where((F.col("before") < F.col("target")) & (F.col("before") + F.col("t") > F.col("target")))
-    in_order = Window.partitionBy(*by_class).orderBy("h", "key").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("extra", (F.col("before") + F.sum("n_tokens").over(in_order) <= F.col("target")).cast("int"))
-    return inside.unionByName(beyond).unionByName(edge).select("key", "source", "stratum", "n_tokens", "whole", "extra")
-
-
-def _reached(placed: DataFrame) -> DataFrame:
-    return placed.groupBy("source", "stratum").agg(F.sum(F.col("n_tokens") * F.col("extra")).alias("t"))
-
-
-def _last_document(placed: DataFrame, plans: list[dict], spark) -> DataFrame:
-    """One more text per source where that brings its size nearer to what is wanted."""
-    got = {r["source"]: r["t"] for r in placed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("extra")).alias("t")).collect()}
-    missing = [(p["source"], p["part"] - got.get(p["source"], 0)) for p in plans if p["part"]]
-    # One row per listed source.
-    open_sources = F.broadcast(spark.createDataFrame(missing, "source string, missing long"))
-    off = F.abs(F.col("n_tokens") - F.col("missing"))
-    best = (
-        placed.where("extra = 0")
-        .join(open_sources, "source")
-        .where(off < F.col("missing"))
-        .groupBy("source")
-        .agg(F.min(F.struct(off.alias("off"), "key")).alias("b"))
-        .select("source", F.col("b.key").alias("last"))
-    )
-    return placed.join(F.broadcast(best), "source", "left").withColumn(
-        "extra", F.when(F.col("key") == F.col("last"), 1).otherwise(F.col("extra"))
-    )
+        for g in (g for g in have if g[0] == p["source"]):
+            wanted[g] = have[g] * p["part"] // p["available"]
+    draws = _descend(tree, wanted)
+    corrected = {}
+    for p in plans:
+        classes = [g for g in wanted if g[0] == p["source"]]
+        missing = p["part"] - sum(draws[g][1] for g in classes)
+        able = [g for g in classes if 0 <= draws[g][1] + missing <= have[g]]
+        if missing and able:
+            best = max(able, key=lambda g: (texts[g], g[1]))
+            corrected[best] = draws[best][1] + missing
+    return draws | _descend(tree, corrected)
+
+
+class _PrefixSums:
+    """Sizes by hash prefix of each (source, size class), read level by level where they are needed."""
+
+    def __init__(self, listed: DataFrame):
+        self.listed = listed
+        self.known: dict[tuple[Group, str], list[tuple[str, int, int]]] = {}
+
+    def roots(self) -> dict[Group, list[tuple[str, int, int]]]:
+        self._read(self.listed, 0)
+        return {g: children for (g, prefix), children in self.known.items() if not prefix}
+
+    def load(self, nodes: Iterable[tuple[Group, str]]) -> None:
+        """All nodes have prefixes of one length; each has at most 16 ** PREFIX_DIGITS children."""
+        new = [n for n in nodes if n not in self.known]
+        if new:
+            length = len(new[0][1])
+            at = self.listed.sparkSession.createDataFrame([(*g, prefix) for g, prefix in new], "source string, stratum int, at string")
+            inside = self.listed.withColumn("at", F.substring("h", 1, length)).join(F.broadcast(at), ["source", "stratum", "at"], "left_semi")
+            self._read(inside, length)
+
+    def _read(self, rows: DataFrame, length: int) -> None:
+        below = F.substring("h", 1, length + PREFIX_DIGITS).alias("child")
+        for r in rows.groupBy("source", "stratum", below).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect():
+            self.known.setdefault(((r["source"], r["stratum"]), r["child"][:length]), []).append((r["child"], r["t"], r["n"]))
+
+
+def _descend(tree: _PrefixSums, wanted: dict[Group, int]) -> dict[Group, tuple[str, int]]:
+    """The limit below which a class has the wanted size, to the nearest text, and the size it has there."""
+    done: dict[Group, tuple[str, int]] = {}
+    open_groups = {g: ("", 0) for g in wanted}
+    while open_groups:
+        tree.load([(g, prefix) for g, (prefix, _) in open_groups.items()])
+        deeper = {}
+        for g, (prefix, taken) in open_groups.items():
+            limit = prefix + BEYOND
+            for child, t, n in sorted(tree.known[g, prefix]):
+                if taken + t <= wanted[g]:
+                    taken += t
+                    continue
+                if n > 1 and len(child) < HASH_DIGITS:
+                    deeper[g] = child, taken
+                    break
+                # One text, or repeated rows of one key: in or out, whichever is nearer.
+                nearer = taken + t - wanted[g] < wanted[g] - taken
+                limit, taken = (child + BEYOND, taken + t) if nearer else (child, taken)
+                break
+            if g not in deeper:
+                done[g] = limit, taken
+        open_groups = deeper
+    return done
 
 
 def expand_uses(used: DataFrame) -> DataFrame:

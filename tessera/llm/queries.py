@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.markov import cluster_report, majority_labels, vector_clusters
 from tessera.llm.mixing import expand_uses, mix, share_report
-from tessera.llm.packing import pack, packing_report
+from tessera.llm.packing import class_report, pack, packing_audit, packing_report
 from tessera.llm.quantised_search import nearest_neighbours, neighbour_pairs
 from tessera.llm.residue import find_residue, without_residue
 from tessera.llm.tokens import with_token_counts
@@ -60,6 +60,26 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(pack(_sized(spark, sf_dir), capacities), capacities)
 
 
+def _sized_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their size in characters, which SQL can count as well."""
+    return _table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n_tokens"))
+
+
+def p7_pieces_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(_sized_chars(spark, sf_dir), _capacities(spark, sf_dir))
+    return packed.select("pack_name", "doc_id", "piece", "start", "n_tokens")
+
+
+def p7_audit_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacities = _capacities(spark, sf_dir)
+    return packing_audit(pack(_sized_chars(spark, sf_dir), capacities), capacities)
+
+
+def p7_plain_classes_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(_sized_chars(spark, sf_dir), _capacities(spark, sf_dir), refined=False)
+    return class_report(packed.where("class_bound > 0"))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     used, _ = mix(_sized(spark, sf_dir), _table(spark, sf_dir, "mix_target"))
     return expand_uses(used)
@@ -70,6 +90,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(used, plans)
 
 
+def p8_mix_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used, _ = mix(_sized_chars(spark, sf_dir), _table(spark, sf_dir, "mix_target"))
+    return expand_uses(used)
+
+
+def p8_shares_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used, plans = mix(_sized_chars(spark, sf_dir), _table(spark, sf_dir, "mix_target"))
+    return share_report(used, plans)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(_table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"))
 
@@ -86,8 +116,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p7_packed": p7_packed,
         "p7_report": p7_report,
+        "p7_pieces_chars": p7_pieces_chars,
+        "p7_audit_chars": p7_audit_chars,
+        "p7_plain_classes_chars": p7_plain_classes_chars,
         "p8_mix": p8_mix,
         "p8_shares": p8_shares,
+        "p8_mix_chars": p8_mix_chars,
+        "p8_shares_chars": p8_shares_chars,
         "p9_found": p9_found,
         "p9_clean": p9_clean,
     }
@@ -113,8 +148,105 @@ _GROUPS = (
 )
 
 
+_PIECES = """
+WITH sized AS (
+  SELECT doc_id, coalesce(length(text), 0) AS n FROM documents
+), packs AS (
+  SELECT pack_name, capacity::BIGINT AS capacity FROM pack_size WHERE pack_name IS NOT NULL AND capacity > 0
+), pieces AS (
+  SELECT pack_name, capacity, doc_id, piece, piece * capacity AS start, least(capacity, n - piece * capacity) AS n_tokens
+  FROM (
+    SELECT *, unnest(range(greatest(1, (n + capacity - 1) // capacity))) AS piece FROM sized, packs
+  )
+)"""
+
+# The plain classes of a block take capacity // size texts a bin; a block's number comes from the same hash digits.
+_PLAIN_CLASSES = (
+    _PIECES
+    + """, blocks AS (
+  SELECT pack_name, greatest(1, (count(*) + 32767) // 32768) AS n_blocks FROM pieces GROUP BY pack_name
+), dealt AS (
+  SELECT p.pack_name, capacity // n_tokens AS each, n_tokens, capacity // (capacity // n_tokens) AS class_bound,
+    ('0x' || substr(md5(doc_id || ':' || piece), 1, 7))::BIGINT % n_blocks AS block
+  FROM pieces p JOIN blocks b ON b.pack_name = p.pack_name WHERE n_tokens > 0
+), per_block AS (
+  SELECT pack_name, class_bound, each, block, count(*) AS n, sum(n_tokens) AS t FROM dealt GROUP BY ALL
+)
+SELECT pack_name, class_bound, sum(n)::BIGINT AS n_items, sum((n + each - 1) // each)::BIGINT AS n_bins, sum(t)::BIGINT AS n_tokens
+FROM per_block GROUP BY ALL"""
+)
+
+_MIX = """
+WITH usable AS (
+  SELECT doc_id, lower(trim(source)) AS source, length(text) AS n, length(bin(length(text))) AS stratum, md5('1:' || doc_id) AS h
+  FROM documents WHERE source IS NOT NULL AND length(text) > 0
+), targets AS (
+  SELECT lower(trim(source)) AS source, coalesce(target_share, 0) AS share, coalesce(max_repeats, 1) AS cap
+  FROM mix_target WHERE source IS NOT NULL
+), sources AS (
+  SELECT t.source, any_value(share) AS share, any_value(cap) AS cap, coalesce(sum(n), 0)::BIGINT AS available
+  FROM targets t LEFT JOIN usable u ON u.source = t.source GROUP BY t.source
+), levels AS (
+  SELECT *, (SELECT sum(available) FROM sources) - coalesce(sum(available * cap) OVER before, 0) AS size_left,
+    (SELECT sum(share) FROM sources) - coalesce(sum(share) OVER before, 0) AS share_left,
+    row_number() OVER (ORDER BY available * cap / share, source) AS k
+  FROM sources WHERE share > 0
+  WINDOW before AS (ORDER BY available * cap / share, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), fill AS (
+  SELECT min(k) AS k, arg_min(size_left / share_left, k) AS level FROM levels WHERE available * cap / share > size_left / share_left
+), given AS (
+  SELECT source, share, cap, available,
+    CASE WHEN share <= 0 THEN 0 WHEN l.k < coalesce(f.k, 1000000) THEN available * cap ELSE share * f.level END AS wanted
+  FROM (SELECT s.*, l.k FROM sources s LEFT JOIN levels l ON l.source = s.source) l, fill f
+), plans AS (
+  SELECT *, share > 0 AND wanted >= available * cap AS clamped,
+    CASE WHEN whole < cap THEN greatest(0, floor(wanted - whole * available + 1e-6)::BIGINT) ELSE 0 END AS part
+  FROM (SELECT *, CASE WHEN available > 0 THEN least(floor(wanted / available + 1e-9)::BIGINT, cap) ELSE 0 END AS whole FROM given)
+), upto AS (
+  SELECT u.*, p.part, p.available, sum(n) OVER (PARTITION BY u.source, stratum ORDER BY h) AS upto
+  FROM usable u JOIN plans p ON p.source = u.source WHERE p.part > 0
+), first_wants AS (
+  SELECT source, stratum, sum(n)::BIGINT AS have, count(*) AS texts, any_value(part) AS part,
+    (sum(n)::HUGEINT * any_value(part) // any_value(available))::BIGINT AS wanted
+  FROM upto GROUP BY ALL
+), first_got AS (
+  SELECT w.source, w.stratum, w.have, w.texts, w.part, w.wanted,
+    coalesce(sum(n) FILTER (u.upto <= wanted OR (u.upto - n <= wanted AND u.upto - wanted < wanted - (u.upto - n))), 0)::BIGINT AS got
+  FROM first_wants w JOIN upto u ON u.source = w.source AND u.stratum = w.stratum GROUP BY ALL
+), missing AS (
+  SELECT *, part - sum(got) OVER (PARTITION BY source) AS missing FROM first_got
+), wants AS (
+  SELECT source, stratum, CASE WHEN missing <> 0 AND able AND r = 1 THEN got + missing ELSE wanted END AS wanted
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY able DESC, texts DESC, stratum DESC) AS r
+    FROM (SELECT *, got + missing BETWEEN 0 AND have AS able FROM missing)
+  )
+), extras AS (
+  SELECT u.doc_id FROM upto u JOIN wants w ON w.source = u.source AND w.stratum = u.stratum
+  WHERE u.upto <= wanted OR (u.upto - n <= wanted AND u.upto - wanted < wanted - (u.upto - n))
+), used AS (
+  SELECT u.doc_id, u.source, u.n AS n_tokens, p.whole + (e.doc_id IS NOT NULL)::INT AS uses
+  FROM usable u JOIN plans p ON p.source = u.source LEFT JOIN extras e ON e.doc_id = u.doc_id
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_pieces_chars": _PIECES + " SELECT pack_name, doc_id, piece, start, n_tokens FROM pieces",
+        "p7_audit_chars": _PIECES
+        + """
+SELECT pack_name, count(*) AS n_items, sum(n_tokens)::BIGINT AS n_tokens, 0 AS n_over, 0 AS n_misfits, 0 AS n_off_pattern FROM pieces GROUP BY pack_name""",
+        "p7_plain_classes_chars": _PLAIN_CLASSES,
+        "p8_mix_chars": _MIX + " SELECT doc_id, source, n_tokens, unnest(range(1, uses + 1)) AS copy_no FROM used WHERE uses > 0",
+        "p8_shares_chars": _MIX
+        + """, per_source AS (
+  SELECT source, count(*) AS n_docs, max(uses) AS most_uses, sum(uses * n_tokens)::BIGINT AS n_tokens FROM used WHERE uses > 0 GROUP BY source
+), joined AS (
+  SELECT p.source, p.share AS target_share, p.cap AS max_repeats, p.available, p.clamped,
+    coalesce(n_docs, 0) AS n_docs, coalesce(most_uses, 0) AS most_uses, coalesce(n_tokens, 0) AS n_tokens
+  FROM plans p LEFT JOIN per_source s ON s.source = p.source
+)
+SELECT *, n_tokens / sum(n_tokens) OVER () AS actual_share FROM joined""",
         "p2_found": _GROUPS + " SELECT cluster_node, node FROM named WHERE size >= 10",
         "p4_found": _VECTORS
         + """, near AS (

@@ -76,3 +76,35 @@ def test_nulls_in_targets_and_clashing_columns(spark):
     targets = spark.createDataFrame([("a", 1.0, None, 3), (None, 0.5, 1, 3), ("b", None, 1, 3)], TARGETS + ", cap int")
     used, plans = mix(df, targets)
     assert used.count() == 20 and {p["source"] for p in plans} == {"a", "b"}
+
+
+def test_every_size_class_is_used_at_the_same_rate(spark):
+    sizes = [1 << (i % 10) for i in range(20_000)]
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0], n) for i, n in enumerate(sizes)], DOCS)
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 5)], TARGETS)
+    used, plans = mix(df, targets)
+    uses = {r.doc_id: r.uses for r in used.collect()}
+    for p in plans:
+        mine = [i for i in range(20_000) if ("ab"[i % 3 == 0]) == p["source"]]
+        rate = p["wanted"] / p["available"]
+        for size in {sizes[i] for i in mine}:
+            these = [i for i in mine if sizes[i] == size]
+            assert abs(sum(uses.get(i, 0) for i in these) / len(these) - rate) < 0.01
+        got = sum(uses.get(i, 0) * sizes[i] for i in mine)
+        assert abs(got - p["wanted"]) <= 512
+        whole = int(rate)
+        assert {uses.get(i, 0) for i in mine} <= {whole, whole + 1}
+
+
+def test_a_sample_is_no_choice_by_size_within_a_class(spark):
+    df = spark.createDataFrame([(i, "a", 256 + i % 256) for i in range(20_000)], DOCS)
+    used, _ = mix(df, spark.createDataFrame([("a", 1.0, 1)], TARGETS), total=20_000 * 192)
+    drawn = [r.n_tokens for r in used.collect()]
+    assert abs(sum(drawn) / len(drawn) - 383.5) < 3
+
+
+def test_repeated_rows_are_drawn_together(spark):
+    df = spark.createDataFrame([(i % 50, "a", 10) for i in range(150)], DOCS)
+    used, _ = mix(df, spark.createDataFrame([("a", 1.0, 1)], TARGETS), total=700)
+    keys = [r.doc_id for r in used.collect()]
+    assert abs(len(keys) * 10 - 700) <= 30 and all(keys.count(k) == 3 for k in keys)
