@@ -11,7 +11,7 @@ from tessera.llm.markov import cluster_report, majority_labels, vector_clusters
 from tessera.llm.mixing import expand_uses, mix, share_report
 from tessera.llm.packing import class_report, pack, packing_audit, packing_report
 from tessera.llm.quantised_search import nearest_neighbours, neighbour_pairs
-from tessera.llm.residue import find_residue, without_residue
+from tessera.llm.residue import answer_evidence, copied_bodies, find_residue, without_residue
 from tessera.llm.tokens import with_token_counts
 from tessera.llm.vectors import node_vectors
 from tessera.session import materialize
@@ -104,6 +104,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(_table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"))
 
 
+def p9_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counted evidence of every text; the grammar is tested on wordings."""
+    answers = materialize(answer_evidence(_table(spark, sf_dir, "documents")), "answers")
+    n_slugs = F.coalesce("n_slugs", F.lit(1)).alias("n_slugs")
+    return answers.join(copied_bodies(answers), "body", "left").select(F.col("key").alias("doc_id"), "n_words", "mismatch", n_slugs)
+
+
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_residue(_table(spark, sf_dir, "documents")).select("doc_id", "title", "text", "source", "item_id")
 
@@ -124,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_mix_chars": p8_mix_chars,
         "p8_shares_chars": p8_shares_chars,
         "p9_found": p9_found,
+        "p9_answers": p9_answers,
         "p9_clean": p9_clean,
     }
 
@@ -148,6 +156,24 @@ _GROUPS = (
 )
 
 
+_ANSWERS = r"""
+WITH forms AS (
+  SELECT doc_id, coalesce(item_id, '') AS slug,
+    trim(regexp_replace(regexp_replace(lower(text), '\p{L}*\p{N}[\p{L}\p{N}]*', ' ', 'g'), '[^\p{L}]+', ' ', 'g')) AS form,
+    trim(regexp_replace(regexp_replace(lower(concat_ws(' ', coalesce(title, ''), coalesce(item_id, ''))), '\p{L}*\p{N}[\p{L}\p{N}]*', ' ', 'g'), '[^\p{L}]+', ' ', 'g')) AS asked
+  FROM documents WHERE text IS NOT NULL
+), words AS (
+  SELECT doc_id, slug, form,
+    CASE WHEN form = '' THEN [] ELSE list_distinct(string_split(form, ' ')) END AS words,
+    CASE WHEN asked = '' THEN [] ELSE list_distinct(string_split(asked, ' ')) END AS asked
+  FROM forms
+), copies AS (
+  SELECT form, count(DISTINCT slug) AS n_slugs FROM words WHERE form <> '' GROUP BY form
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_slugs, 1) AS n_slugs,
+  CASE WHEN len(asked) = 0 THEN 1.0 ELSE (len(asked) - len(list_intersect(asked, words))) / len(asked) END::DOUBLE AS mismatch
+FROM words w LEFT JOIN copies c ON c.form = w.form"""
+
 _PIECES = """
 WITH sized AS (
   SELECT doc_id, coalesce(length(text), 0) AS n FROM documents
@@ -237,6 +263,7 @@ def oracle_sql() -> dict[str, str]:
         + """
 SELECT pack_name, count(*) AS n_items, sum(n_tokens)::BIGINT AS n_tokens, 0 AS n_over, 0 AS n_misfits, 0 AS n_off_pattern FROM pieces GROUP BY pack_name""",
         "p7_plain_classes_chars": _PLAIN_CLASSES,
+        "p9_answers": _ANSWERS,
         "p8_mix_chars": _MIX + " SELECT doc_id, source, n_tokens, unnest(range(1, uses + 1)) AS copy_no FROM used WHERE uses > 0",
         "p8_shares_chars": _MIX
         + """, per_source AS (

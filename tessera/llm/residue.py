@@ -1,20 +1,22 @@
 """Template residue, filler, error pages and script notices in a text column.
 
-Two kinds of detector look at every whole text, in the JVM:
-
-* Slot detectors know the placeholder syntaxes of template languages and of
-  hand-written forms.  A slot that its sentence talks about is a mention; it
-  doesn't excuse other slots.
-* Sentence detectors measure how much of a sentence is made of the vocabulary
-  of notices or of filler.  What is left of the text besides such sentences,
-  navigation and mark-up is its own content.
-
-Evidence about the answer as a whole decides the others: how little of title
-and address slug comes back in the body, how many other records with another
-slug have the same body, and how often the source (host) gives responses that
-the detectors are sure of.  Reviews are copied as well, so a body in other words
-than the fixed ones also has to be foreign to the corpus: most of its words are
-hardly used by any other record.
+Slot detectors know the placeholder syntaxes of template languages and of
+hand-written forms, and look at every whole text.  A slot that its sentence
+talks about is a mention; it doesn't excuse other slots.
+
+Every other answer is judged by a score of five kinds of evidence:
+
+* grammar: how far its sentences are explained by combinations of concepts
+  (a thing of the web that failed, scripts that are needed, text that stands in
+  for text), whatever their wording;
+* surprise: the share of its words that hardly any ordinary record uses;
+* mismatch: the share of title and address slug words that it lacks;
+* copies: the number of slugs under which the same body stands, if it is of low
+  information;
+* host: how often its source gives answers that the grammar explains wholly.
+
+No single kind convicts.  A body that the grammar does not know is found once
+it stands under several slugs in foreign words.
 """
 
 from __future__ import annotations
@@ -27,74 +29,88 @@ from pyspark.sql import functions as F
 from tessera.schema import column_position, numbered_columns, pick
 from tessera.session import materialize
 
-# Notices as servers, shops and templates print them.
-NOTICES = [
-    # English
-    "404 not found", "403 forbidden", "500 internal server error", "502 bad gateway", "503 service temporarily unavailable",
-    "504 gateway timeout", "the requested url was not found on this server",
-    "the server encountered an unexpected condition", "error establishing a database connection",
-    "access denied", "you don't have permission to view this resource", "you do not have permission to view this page", "reference",
-    "please try again in a few minutes", "try again later", "too many requests you have been rate limited slow down",
-    "sorry this content is not available in your region", "something went wrong on our end request id",
-    "your request could not be found code",
-    "unhandled exception in module reviews index out of range at line", "fatal error uncaught exception stack trace", "the review list failed to load",
-    "this page has moved or no longer exists", "oops we can't find the page you are looking for",
-    "your session has expired please sign in again to continue", "we are down for maintenance and will be back shortly",
-    "checking that you are not a robot please wait", "something went wrong", "service unavailable", "request blocked",
-    "the page failed to load", "the item record is temporarily unavailable", "this document was refused by the server",
-    "the service timed out", "the content could not be loaded",
-    "you need to enable javascript to run this app", "please enable javascript to view the comments",
-    "javascript is disabled in your browser turn it on and reload the page",
-    "this site requires scripts and cookies to work properly", "this content needs javascript",
-    "your browser does not support scripting so reviews cannot be shown",
-    "reviews could not be loaded because scripts are blocked",
-    "we noticed that active scripting is switched off switch it on to continue",
-    "this is sample text for the review body", "dummy text please do not publish", "this is a test review ignore",
-    "review body placeholder copy final text to follow", "description to be added later", "type your review in this box",
-    "replace this paragraph with your own words", "write your review here", "your text here", "text goes here", "coming soon",
-    # German
-    "seite nicht gefunden", "die angeforderte adresse existiert nicht fehler 404", "interner serverfehler",
-    "bitte versuchen sie es später erneut", "ihre sitzung ist abgelaufen bitte melden sie sich erneut an",
-    "wartungsarbeiten wir sind in kürze wieder da", "zugriff verweigert", "bitte aktivieren sie javascript um die bewertungen zu sehen",
-    "javascript ist in ihrem browser deaktiviert", "diese seite benötigt javascript und cookies",
-    "dies ist ein blindtext", "testbewertung bitte ignorieren", "schreiben sie hier ihre bewertung", "beispieltext für die bewertung", "vorgang", "hier steht später ihr text", "platzhaltertext bitte ersetzen", "referenz",
-    "bitte diesen absatz durch eigenen text ersetzen", "dieser inhalt ist in ihrer region nicht verfügbar",
-    # French
-    "page introuvable", "l'adresse demandée n'existe pas erreur 404", "erreur interne du serveur veuillez réessayer plus tard",
-    "votre session a expiré veuillez vous reconnecter", "site en maintenance", "accès refusé référence",
-    "veuillez activer javascript pour afficher les avis", "javascript est désactivé dans votre navigateur",
-    "ce site a besoin de javascript pour fonctionner", "ceci est un texte d'exemple", "écrivez votre avis ici", "votre texte ici",
-    "texte de remplissage à remplacer avant publication",
-    # Spanish
-    "página no encontrada", "la dirección solicitada no existe error 404", "error interno del servidor inténtelo más tarde",
-    "su sesión ha caducado vuelva a iniciar sesión inicie sesión de nuevo", "sitio en mantenimiento", "acceso denegado referencia",
-    "active javascript para ver las opiniones", "javascript está desactivado en su navegador",
-    "este sitio necesita javascript para funcionar", "este es un texto de ejemplo",
-    "texto de relleno sustituir antes de publicar", "su texto aquí", "escriba aquí su opinión",
-    # Dutch
-    "pagina niet gevonden fout 404", "interne serverfout probeer het later opnieuw", "toegang geweigerd referentie",
-    "schakel javascript in om de reviews te bekijken", "deze site heeft javascript nodig om te werken",
-    "hier komt uw tekst", "schrijf hier uw review", "dit is voorbeeldtekst", "uw sessie is verlopen log opnieuw in",
-    # Portuguese
-    "página não encontrada erro 404", "erro interno do servidor tente mais tarde", "acesso negado referência",
-    "ative o javascript para ver as avaliações", "este site precisa de javascript para funcionar",
-    "este é um texto de exemplo", "seu texto aqui", "escreva aqui a sua avaliação", "sua sessão expirou entre novamente",
-]
-# Words that make a sentence a notice; without one, shared small words prove nothing.
-CUES = (
-    r"(?iu)\b(javas\w{3,6}|scripts?|scripting|cookies|error|errors?|fehler|erreur|fout|erro|serverfehler|serverfout|gateway|forbidden|"
-    r"not found|nicht gefunden|introuvable|no encontrada|niet gevonden|não encontrada|unavailable|timed out|timeout|"
-    r"expired|abgelaufen|expiré|caducado|verlopen|expirou|maintenance|wartungsarbeiten|mantenimiento|onderhoud|manutenção|"
-    r"denied|verweigert|refusé|denegado|geweigerd|negado|refused|robot|"
-    r"find the page|no longer exists|existiert nicht|n'existe pas|no existe|failed to load|be loaded|went wrong|"
-    r"try again|réessayer|inténtelo|probeer|tente mais|erneut|reconnecter|sign in again|"
-    r"exception|stack trace|review here|escriba aquí|sie hier ihre|votre avis ici|hier uw review|escreva aqui|testbewertung|testrecensie|beispieltext|avis de test|reseña de prueba|avaliação de teste|"
-    r"too many requests|rate limited|not available in|nicht verfügbar|could not be found|eigenen text|sesión|"
-    r"sample text|dummy|placeholder|blindtext|platzhalter\w*|voorbeeldtekst|texte d'exemple|texto de ejemplo|texto de exemplo|"
-    r"remplissage|relleno|test review|added later|your review in|your own words|text to follow|text goes here|"
-    r"votre texte|su texto|uw tekst|seu texto|your text|ihr text|back shortly|in kürze)\b"
+
+def _stems(words: str) -> list[str]:
+    """Patterns of words: a trailing hyphen leaves the ending open, a low line stands for a blank."""
+    return [w[:-1].replace("_", r"\s+") + r"\p{L}*" if w.endswith("-") else w.replace("_", r"\s+") for w in words.split()]
+
+
+def _has(words: list[str]) -> str:
+    """One pattern for any of the words in a text in lower case; those with the same first letter share a branch, longer ones first."""
+    branches: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        branches.setdefault(w[0], []).append(w[1:])
+    return r"(?u)(?<!\p{L})(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in branches.items()) + r")(?!\p{L})"
+
+
+# The concepts of the notice grammar, as words of six languages.
+THING = _stems(
+    "page pages site website web_site webpage server host gateway service url link address content document file resource request session connection "
+    "database record entry list app application reviews comments region country access something module index line function robot captcha human "
+    "seite seiten webseite website dienst adresse inhalt- dokument datei ressource anfrage sitzung verbindung datenbank anwendung bewertungen zugriff zugang etwas server- "
+    "serveur lien contenu- fichier ressource requête demande connexion base_de_données avis région accès quelque_chose "
+    "página sitio servidor servicio enlace dirección contenido archivo recurso solicitud petición sesión conexión base_de_datos aplicación reseñas región acceso algo "
+    "serviço endereço conteúdo arquivo ficheiro pedido solicitação sessão conexão ligação aplicação avaliações região acesso "
+    "pagina dienst adres inhoud bestand bron verzoek aanvraag sessie verbinding databank toepassing recensies regio toegang iets serverfout artikel article item product artículo artigo produto produit produkt"
+)
+FAILURE = _stems(
+    "not_found can't_find cannot_find couldn't_find could_not_find unavailable not_available not_be_found no_longer not_exist moved removed deleted gone expired timed_out timeout time-out denied refused "
+    "forbidden blocked restricted failed failure error errors exception crashed could_not couldn't cannot can't unable down offline maintenance unexpected overloaded "
+    "too_many limit exceeded rate_limited unauthorized unauthorised went_wrong bad_request bad_gateway not_allowed not_have_permission don't_have_permission no_permission not_understand not_a_robot unreachable unhandled uncaught fatal out_of_range stack_trace checking verify verifying "
+    "nicht_gefunden nicht_verfügbar nicht_erreichbar existiert_nicht gelöscht entfernt verschoben abgelaufen verweigert gesperrt blockiert fehler serverfehler konnte_nicht konnten_nicht kann_nicht können_nicht "
+    "nicht_geladen fehlgeschlagen wartung wartungsarbeiten überlastet zeitüberschreitung nicht_mehr unbekannter ungültige- schiefgelaufen schief_gelaufen "
+    "introuvable- indisponible- n'existe_pas n'existe_plus supprimé- déplacé- expiré- refusé- interdit- bloqué- erreur erreurs échoué échec maintenance impossible surchargé- délai_dépassé pas_disponible n'a_pas_pu n'ont_pas_pu "
+    "no_encontrad- no_disponible- no_está_disponible no_existe eliminad- movid- caducad- caducó expirad- expiró denegad- rechazad- prohibid- bloquead- error errores fallo falló fallado mantenimiento sobrecargad- no_se_pudo no_se_ha_podido no_se_encuentra no_hemos_encontrado "
+    "não_encontrad- indisponíve- não_está_disponível não_disponível não_existe removid- expirou negado recusad- proibid- erro erros falha falhou manutenção não_foi_possível não_pôde sobrecarregad- "
+    "niet_gevonden niet_beschikbaar niet_bereikbaar bestaat_niet verwijderd verplaatst verlopen geweigerd verboden geblokkeerd fout fouten serverfout mislukt onderhoud overbelast kon_niet konden_niet kan_niet niet_meer tijdelijk_niet"
+)
+REMEDY = _stems(
+    "try_again try_later again_later later please_wait wait reload refresh retry sign_in log_in login back_shortly back_soon come_back slow_down contact administrator "
+    "versuchen_sie später erneut neu_laden warten melden_sie anmelden kürze gleich_zurück "
+    "réessaye- essayer ultérieurement plus_tard patienter recharge- reconnecter connecter bientôt "
+    "inténte- intente- vuelva_a más_tarde espere recargue actualice inicie_sesión pronto "
+    "tente_novamente tente mais_tarde aguarde recarregue atualize inicie_sessão novamente breve "
+    "probeer later opnieuw wacht even_geduld herlaad ververs log_in meld_u aan snel_terug"
+)
+SCRIPTS = _stems("java_script javasc- java-script js script scripts scripting skripte cookie cookies browser browser- navigateur navegador")
+NEED = _stems(
+    "enable- activate- turn_on turned_off turn_it_on switch_on switched_off switch_it_on allow disabled deactivated off blocked require- need needs must support supported "
+    "aktivier- deaktivier- einschalten erlauben benötigt erforderlich ausgeschaltet abgeschaltet unterstützt "
+    "activer activez désactivé- nécessaire nécessite besoin autoriser requis "
+    "active activar activado habilit- desactivad- necesita necesario requiere permita "
+    "ative ativar ativado desativad- desabilitad- precisa necessário requer permita "
+    "schakel inschakelen ingeschakeld uitgeschakeld activeer nodig vereist vereisen"
+)
+STAND_IN = _stems(
+    "placeholder dummy filler sample example test lorem blindtext platzhalter- beispiel- testbewertung testtext mustertext blind- füll- fülltext remplissage exemple essai ejemplo relleno prueba marcador_de "
+    "exemplo preenchimento teste voorbeeld- opvul- opvultekst testtekst testrecensie plaatshouder provisoire provisional provisório tijdelijke"
+)
+COPY = _stems(
+    "text copy content review description paragraph body words sentence text- inhalt bewertung beschreibung absatz texte avis contenu paragraphe description texto reseña contenido párrafo descripción opinión "
+    "avaliação conteúdo parágrafo descrição tekst recensie beoordeling inhoud alinea beschrijving blindtext beispieltext testbewertung testtext mustertext platzhaltertext fülltext voorbeeldtekst opvultekst testtekst testrecensie"
+)
+ASKS = _stems(
+    "write type enter insert replace add put goes_here follows follow comes_here be_added coming_soon publish ignore here hier ici aquí aqui schreib- eingeben einfüg- ersetz- folgt steht kommt ignorieren veröffentlichen "
+    "écri- saisi- insér- remplac- ajout- ignor- publi- escrib- introdu- insert- sustitu- reemplaz- añad- escrev- digit- insir- substitu- adicion- schrijf- typ voer vervang- voeg komt negeren publiceren"
+)
+# Words of the closed classes and of forms, which a notice may have besides its concepts.
+PLAIN_WORDS = _stems(
+    "a an the this that these it its is are was were be been being has have had do does did not no or and but of on in to for from by with at as if so we you your our us please sorry oops "
+    "unfortunately currently now again right temporarily permanently internal end id code number reference ref ticket incident http https status here there who what when which will would may might can should could than then "
+    "some something anything nothing all any only before after until while soon later soon moment moments minutes few valid access permission view see show shown look looking find found load loaded loading display displayed open read run sent send work works properly continue condition conditions exist exists trace moment "
+    "dies existiert der die das den dem des ein eine einen einem ist sind war wurde wurden wird werden und oder aber von im in zu zum zur für mit auf aus bei bitte leider derzeit momentan vorübergehend hier sie ihr ihre ihrem ihren ihrer diese dieser dieses diesen es wir nicht kein keine um sehen angezeigt angeforderte angeforderten geladen seite interner interne zugriff vorgang referenz als später wenigen minuten augenblick eigenen durch dort wieder da "
+    "ceci existe le la les l un une des du de d et ou mais est sont a été sera à au aux en pour par avec sur dans ce cet cette ces vous votre vos nous notre veuillez désolé désolée malheureusement actuellement momentanément ici ne n pas plus accès code référence afficher voir charger demandé- interne fonctionner qu que être avant c s y il elle "
+    "esto está están estamos el los las una unos y o pero es son fue ha han sido será al del en para por con sobre su sus este esta estos nuestra nuestro por_favor lo_sentimos lamentablemente actualmente temporalmente momento aquí no se le que acceso código referencia ver mostrar cargar solicitad- interno se_ha "
+    "isto está estão estamos o os as um uma e ou mas são foi será ao do da dos das no na nos nas em para por com sobre seu sua seus este esta por_favor desculpe infelizmente atualmente temporariamente aqui não se lhe que acesso código referência ver mostrar carregar solicitad- interno "
+    "dit bestaat het een de en of maar is zijn was werd wordt worden van in op te voor met aan bij door uw jouw deze dit wij we niet geen er helaas momenteel tijdelijk hier om toegang code referentie bekijken tonen laden opgevraagde interne gevraagde dat die u je alstublieft sorry"
+)
+# The classes of status codes as servers print them, and their standard short names.
+STATUS = r"(?:http|error|fehler|erreur|erro|fout|status|code)\W{0,3}(?:\d{1,2}\.\d\W+)?[45]\d\d|\b[45]\d\d\b\W{0,3}(?:error|fehler|erreur|erro|fout)|" + (
+    r"\b[45]\d\d\W{0,3}(?:bad|unauthori[sz]ed|payment|forbidden|not|method|proxy|request|conflict|gone|length|precondition|payload|uri|range|expectation|misdirected|"
+    r"unprocessable|locked|failed|too|upgrade|unavailable|internal|service|gateway|variant|insufficient|loop|network)\b"
 )
-# The vocabulary of filler text.
+EXPLAINED = _has(THING + FAILURE + REMEDY + SCRIPTS + NEED + STAND_IN + COPY + ASKS + PLAIN_WORDS)
+# The vocabulary of the usual filler text.
 FILLER_WORDS = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna "
     "aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute "
@@ -103,6 +119,14 @@ FILLER_WORDS = (
 ).split()
 # Stand-in words that fill a field when they are all it has.
 STAND_INS = "xxx xx x text texte texto tekst test teste testing foo bar baz qux blah bla asdf asdfgh qwerty qwertz lorem ipsum sample dummy filler abc".split()
+# What says that something is not needed.
+NEEDLESS = (
+    r"(?u)\b(?:not|n't|never)\s+(?:need|require)|(?<!\p{L})(?:ne nécessite pas|no necesita|no requiere|não precisa|não requer)(?!\p{L})|"
+    r"\b(?:benötigt|braucht|benötigen)\s+kein|\bgeen\b.*\bnodig\b"
+)
+# One pattern that any notice or filler has, and all words that both may have.
+CUES = _has(FAILURE + SCRIPTS + STAND_IN + ASKS + STAND_INS + [w for w in FILLER_WORDS if len(w) > 4]) + "|" + STATUS
+VOCABULARY = _has(THING + FAILURE + REMEDY + SCRIPTS + NEED + STAND_IN + COPY + ASKS + PLAIN_WORDS + STAND_INS + FILLER_WORDS)
 # Page navigation and labels around a body.
 NAVIGATION = (
     r"(?iu)(\b[\p{L}']+(?: [\p{L}']+)?(?:\s*[|›»>·]\s*[\p{L}']+(?: [\p{L}']+)?)+|\bback to (?:the )?home ?page\b|\bcontact support\b|"
@@ -117,18 +141,19 @@ PAIRED_SLOTS = [
     # Delimiter pairs with any content: helpers, filters, indexes, defaults, blocks.
     r"\{\{(?=[^{}]*[\p{L}_])(?:[^{}]++|\{[^{}]*+\})++\}\}",
     r"[$#]\{(?=[^{}]*[\p{L}_])(?:[^{}]++|\{[^{}]*+\})++\}",
-    r"(?s)<%(?=[^<>]*[\p{L}_]).+?%>",
+    r"<%(?=[^<>]*[\p{L}_])(?s:.)+?%>",
     r"<%=?\s*[^<>%]{1,60}%>",
-    r"(?s)<\?(?=php|=|\s*[\p{L}_$]).+?\?>",
-    r"(?s)\{%[-+]?\s*\p{L}.*?%\}",
-    r"(?s)\{#\s*\p{L}.*?#\}",
+    r"<\?(?=php|=|\s*[\p{L}_$])(?s:.)+?\?>",
+    r"\{%[-+]?\s*\p{L}(?s:.)*?%\}",
+    r"\{#\s*\p{L}(?s:.)*?#\}",
 ]
 CODE_SLOTS = PAIRED_SLOTS + [
     r"%\(\s*[\p{L}_][^()\s]*\s*\)[-+# 0]?\d*(?:[sd]|\.\d+f)",
     # Dotted, hyphenated, indexed or filtered names in single braces.
     r"\{\s*" + _NAME + r"(?:\[[^\[\]{}]*\]|[-.][\p{L}_][\p{L}\p{N}_]*)+\s*(?:\|[^{}]*)?\}",
     r"\{\s*[\p{L}_][\p{L}\p{N}_]*\s*\|\s*[\p{L}_]+(?:[:(][^{}]*)?\s*\}",
-    r"%(?:\d{1,2}\$)?s\b",
+    r"(?<![\p{L}\p{N}])%(?:\d{1,2}\$)?s\b",
+    r"(?<![\p{L}\p{N}:/]):[\p{Ll}]+(?:_[\p{Ll}\p{N}]+)+\b",
     r"\[\[\s*[\p{L}_][^\[\]]{0,60}\]\]",
     r"<<\s*[\p{L}_][^<>]{0,60}>>",
     r"##\s*[\p{L}_][\p{L}\p{N}_. -]{1,60}##",
@@ -205,32 +230,33 @@ HANDLED_SLOT = (
 PASSAGE_END = r"(?<=[.!?…])(?=\s)|(?<=\n)(?=\s*\n)"
 # Words of a writer who tells of themselves.
 TELLING = (
-    r"(?iu)\b(i|my|mine|me|ich|mein\w*|mich|mir|je|mon|ma|mes|moi|mi|mis|yo|ik|mijn|mij|eu|meu|minha|sister|brother|father|mother|"
+    r"(?iu)\b(i|i'm|my|mine|me|ich|mein\w*|mich|mir|je|mon|ma|mes|moi|mi|mis|yo|ik|mijn|mij|eu|meu|minha|sister|brother|father|mother|"
     r"colleague|neighbour|kids|flatmate)\b"
 )
 SENTENCE_END = r"(?<=[.!?…])\s+|\s*[\r\n]+\s*|(?<=\.\.\.)"
 
 
-@dataclass(frozen=True)
-class ResidueRules:
-    """Thresholds of the detectors."""
-
-    sentence_share: float = 0.75  # of a sentence's words that belong to a notice
-    doubtful_share: float = 0.6  # the same, where the evidence about the answer decides
-    filler_share: float = 0.75  # of a sentence's words that are filler
-    few_words: int = 4  # own words a text may have beside its notices
-    min_copies: int = 3  # records with other slugs and the same body
-    min_host_rate: float = 0.001  # share of sure cases among a source's records
-    low_information: int = 60  # distinct words of a body that only the evidence about the answer convicts
-    foreign_rate: float = 0.0005  # share of the records outside a body that may use a word foreign to them
-    foreign_share: float = 0.5  # of a body's words that are foreign to the other records
-    foreign_words: int = 2  # the same, as a number
+# Where a text may have a slot at all.
+SLOT_MARKS = r"[\[\]{}<>%#@$«|*]|__|!!|:\p{Ll}+_"
 
 
-def notice_vocabulary() -> list[str]:
-    """Every word of the fixed notices."""
-    words = {w for n in NOTICES for w in n.replace("'", " ").split()}
-    return sorted(w for w in words if not w.isdigit())
+@dataclass(frozen=True)
+class ResidueRules:
+    """Weights of the evidence and the bounds of its kinds."""
+
+    threshold: float = 3.0  # score that convicts
+    grammar_weight: float = 2.0
+    surprise_weight: float = 2.5
+    copies_weight: float = 1.0
+    mismatch_weight: float = 0.5
+    host_weight: float = 0.5
+    sentence_share: float = 0.8  # of a sentence's words that the grammar knows
+    few_words: int = 4  # own words a text may have beside its notices; twice as many leave no grammar evidence
+    full_copies: int = 3  # slugs with the same body that count in full; from two on they count
+    low_information: int = 60  # distinct words up to which copies count
+    short_words: int = 3  # distinct words from which they do: shorter texts are merely short
+    ordinary_rate: float = 0.0005  # share of the ordinary records that use a word, up to which it is foreign
+    host_rate: float = 0.001  # share of a source's records that the grammar explains, from which it counts
 
 
 def _restored(text: Column) -> Column:
@@ -244,10 +270,8 @@ def _plain(text: Column) -> Column:
 
 
 def _any_of(text: Column, patterns: list[str]) -> Column:
-    hit = F.lit(False)
-    for pattern in patterns:
-        hit = hit | text.rlike("(?u)" + pattern)
-    return hit
+    """Whether a text has any of the patterns, which all begin with a mark: places without one are passed over."""
+    return text.rlike(r"(?u)(?=[$#{<%\[@_*|:«])(?:" + "|".join(patterns) + ")")
 
 
 def _has_slot(text: Column) -> Column:
@@ -267,10 +291,11 @@ def _has_slot(text: Column) -> Column:
     )
     angled = text.rlike(r"(?u)<\s*[\p{L}_][\p{L}\p{N}_]*(?:-[\p{L}\p{N}_]+)+\s*>")
     single = F.exists(
-        F.regexp_extract_all(text, F.lit(r"(?u)[\[{<]\s*(\p{L}{3,}|\p{Lu}[\p{Lu}\p{N} _]{2,60})\s*[\]}>]"), 1),
+        F.regexp_extract_all(text, F.lit(r"(?u)[\[{<]\s*(\p{Lu}[\p{Lu}\p{N} _]{2,60})\s*[\]}>]"), 1),
         lambda x: ~x.rlike(ASIDES),
     )
-    return code | worded | angled | single | text.rlike(OPEN_SLOT)
+    shouted = F.exists(F.regexp_extract_all(text, F.lit(r"(?u)!!\s*([\p{Lu}_ ]{3,60}?)\s*!!"), 1), lambda x: F.regexp_replace(x, "_", " ").rlike(FIELD_WORDS))
+    return code | worded | angled | single | shouted | text.rlike(OPEN_SLOT)
 
 
 def _without_mentions(plain: Column) -> Column:
@@ -289,31 +314,14 @@ def _body(plain: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(body, NAVIGATION, "\n"), r"(?u)\s*\n\s*", "\n"))
 
 
-def _fingerprint(body: Column) -> Column:
-    return F.xxhash64(F.regexp_replace(F.lower(body), r"[\d\s]+", " "))
-
-
-def _mismatch(title: Column, slug: Column, body: Column) -> Column:
-    """Share of title and slug words that the body lacks (1 without any such word)."""
-    terms = F.array_distinct(_words(F.concat_ws(" ", title, slug)))
-    return F.when(F.size(terms) == 0, 1.0).otherwise(F.size(F.array_except(terms, _words(body))) / F.size(terms))
-
-
-def _terms(text: Column) -> Column:
-    """The distinct words of a text without those with digits."""
-    return F.array_distinct(F.filter(_words(text), lambda w: ~w.rlike(r"\d")))
-
-
-def _words(sentence: Column) -> Column:
-    return F.filter(F.split(F.lower(sentence), r"(?u)[^\p{L}\p{N}]+"), lambda w: w != "")
-
+def _form(text: Column) -> Column:
+    """A text's words in lower case, one blank between them, without those that have digits: numbers and codes don't part copies."""
+    lettered = F.regexp_replace(F.lower(text), r"(?<![\p{L}\p{N}])\p{L}*+\p{N}[\p{L}\p{N}]*+", " ")
+    return F.trim(F.regexp_replace(lettered, r"[^\p{L}]+", " "))
 
-def _any_word(words: list[str]) -> str:
-    return r"(?iu)\b(" + "|".join(sorted(set(words))) + r")\b"
 
-
-def _member(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def _words(form: Column) -> Column:
+    return F.when(form == "", F.array().cast("array<string>")).otherwise(F.split(form, " "))
 
 
 def _records(documents: DataFrame, text: str = "text", title: str = "title", slug: str = "item_id", host: str = "source", key: str = "doc_id") -> DataFrame:
@@ -327,170 +335,157 @@ def _records(documents: DataFrame, text: str = "text", title: str = "title", slu
     )
 
 
-def residue_evidence(
-    documents: DataFrame,
-    text: str = "text",
-    title: str = "title",
-    slug: str = "item_id",
-    host: str = "source",
-    key: str = "doc_id",
-    rules: ResidueRules = ResidueRules(),
-) -> DataFrame:
-    """Evidence per record that could be a case: ``key, has_slot, n_notice, own_words, doubtful_words, mismatch, body, host, slug, terms``.
-
-    ``own_words`` counts the words outside notice and filler sentences,
-    ``doubtful_words`` the same at the lower share; ``mismatch`` is the share
-    of title and slug words that the body lacks (1 without any such word);
-    ``terms`` has the words of title and text of a record with notice sentences.
-    """
-    notice = _member(notice_vocabulary())
-    filler = _member(FILLER_WORDS)
-    base = _records(documents, text, title, slug, host, key)
-    # A text without any bracket, cue or filler word holds no case: only the others are taken apart.
-    one_space = F.regexp_replace("text", r"\s+", " ")
-    suspect = base.where(F.col("text").rlike(r"[\[\]{}<>%#@$«_|*&]") | one_space.rlike(CUES) | F.col("text").rlike(_any_word([w for w in FILLER_WORDS if len(w) > 4] + STAND_INS)))
-    # Slots are sought in the whole text, as they may hold line breaks and ends of sentences; those of mark-up in the text with it.
-    marked = F.col("plain") != F.col("restored")
-    slots = F.col("restored").rlike(r"[\[\]{}<>%#@$«_|*]") & (
-        _has_slot(F.col("talked")) | (marked & _any_of(_without_mentions(F.col("restored")), PAIRED_SLOTS))
-    )
-    stand_in = _member(STAND_INS)
+def _count(text: Column) -> Column:
+    return F.size(_words(_form(text)))
+
+
+def _grammar(plain: Column, rules: ResidueRules) -> Column:
+    """How far a plain text in lower case is made of notice and filler sentences: 1 for wholly, but for a few words."""
 
     def judged(sentence: Column) -> Column:
-        # Words with digits are numbers, codes and ids.
-        counted = F.filter(_words(sentence), lambda w: ~w.rlike(r"\d"))
-        n = F.size(counted)
-        known = F.size(F.filter(counted, lambda w: F.array_contains(notice, w)))
-        filling = F.size(F.filter(counted, lambda w: F.array_contains(filler, w)))
-        repeated = (n >= 3) & (F.size(F.array_distinct(counted)) <= 2) & F.forall(counted, lambda w: F.array_contains(stand_in, w))
-        told = sentence.rlike(TELLING)
-        return F.struct(
-            n.alias("n"),
-            F.when((n == 0) | told, 0.0).otherwise(known / n).alias("notice"),
-            F.when(repeated, 1.0).when(n < 3, 0.0).otherwise(filling / n).alias("filler"),
-            sentence.rlike(CUES).alias("cue"),
+        thing, fails, remedy, needs, scripts, dummy, copy, asks = (sentence.rlike(_has(v)) for v in (THING, FAILURE, REMEDY, NEED, SCRIPTS, STAND_IN, COPY, ASKS))
+        combined = (
+            (fails & (thing | remedy)) | (scripts & (needs | fails)) | (dummy & (copy | asks)) | (copy & asks) | sentence.rlike("(?u)" + STATUS)
         )
+        words = _words(_form(sentence))
+        n = F.size(words)
+        unknown = _count(F.regexp_replace(sentence, EXPLAINED, " "))
+        filling = F.size(F.filter(words, lambda w: w.isin(FILLER_WORDS)))
+        repeated = (n >= 2) & (F.size(F.array_distinct(words)) <= 2) & F.forall(words, lambda w: w.isin(STAND_INS))
+        # Variants of the usual filler are named after it: "... ipsum ...".
+        named = sentence.rlike(r"(?u)^\W*(?:\p{L}+\W+)?ipsum\b")
+        told = sentence.rlike(TELLING)
+        filler = repeated | named | ((n >= 3) & (filling >= 0.75 * n))
+        known = (n > 0) & (unknown <= (1 - rules.sentence_share) * n + 1e-9)
+        return F.struct(n.alias("n"), (~told & (filler | (combined & known & ~sentence.rlike(NEEDLESS)))).alias("notice"), (~told & known).alias("known"))
 
-    has_words = r"(?u)[\p{L}\p{N}]"
-    sentences = F.when(
-        F.col("body").rlike(CUES) | F.col("body").rlike(_any_word(FILLER_WORDS + STAND_INS)),
-        F.transform(F.filter(F.split("body", SENTENCE_END), lambda s: s.rlike(has_words)), judged),
-    )
+    allowed = 2 * rules.few_words
+    sentences = F.transform(F.filter(F.split(_body(plain), SENTENCE_END), lambda s: s.rlike(r"(?u)[\p{L}\p{N}]")), judged)
 
-    def is_notice(s: Column, share: float) -> Column:
-        return (s["cue"] & (s["notice"] >= share)) | (s["filler"] >= rules.filler_share)
+    def weigh(judgement: Column) -> Column:
+        found = F.exists(judgement, lambda s: s["notice"])
+        # A sentence of known words need not be a notice itself beside one.
+        own = F.aggregate(judgement, F.lit(0), lambda total, s: total + F.when(s["notice"] | s["known"], 0).otherwise(s["n"]))
+        return F.when(found, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 - own / F.lit(float(rules.few_words))))).otherwise(0.0)
+
+    # Only texts with a cue, and with few enough words outside the whole vocabulary, can be more than 0: the others are not taken apart.
+    n, unknown = _count(plain), _count(F.regexp_replace(plain, VOCABULARY, " "))
+    possible = plain.rlike(CUES) & ((unknown <= allowed + (1 - rules.sentence_share) * n) | plain.rlike(r"(?u)(?<!\p{L})ipsum(?!\p{L})|[|›»>·]"))
+    return F.when(possible, F.element_at(F.transform(F.array(sentences), weigh), 1)).otherwise(0.0)
 
-    # A sentence of a notice need not have a cue of its own once another one has.
-    def rest(share: float) -> Column:
-        return F.aggregate(
-            "sentences",
-            F.lit(0),
-            lambda total, s: total + F.when(is_notice(s, share) | (s["notice"] >= 0.99), 0).otherwise(s["n"]),
-        )
 
-    def count(share: float) -> Column:
-        return F.coalesce(F.size(F.filter("sentences", lambda s: is_notice(s, share))), F.lit(0))
+def answer_evidence(documents: DataFrame, rules: ResidueRules = ResidueRules(), **columns: str) -> DataFrame:
+    """What each record with a text says of itself.
 
+    ``key, host, slug, has_slot, grammar, mismatch, body, n_words, terms``:
+    ``body`` is the hash of the text's form, ``n_words`` the number of its
+    distinct words; these are kept as ``terms`` for bodies of low information
+    and for those the grammar knows.
+    """
+    base = _records(documents, **columns).where("text is not null")
+    # Slots are sought in the whole text, as they may hold line breaks and ends of sentences; those of mark-up in the text with it.
+    marked = F.col("plain") != F.col("restored")
+    slots = F.col("restored").rlike(SLOT_MARKS) & (
+        _has_slot(F.col("talked")) | (marked & _any_of(_without_mentions(F.col("restored")), PAIRED_SLOTS))
+    )
+    asked = F.array_distinct(_words(_form(F.concat_ws(" ", "title", "slug"))))
+    lacking = F.size(F.array_except(F.col("asked"), F.col("words")))
     return (
-        suspect.withColumn("restored", _restored(F.col("text")))
-        .withColumn("plain", _plain(F.col("text")))
-        .withColumn("talked", _without_mentions(F.col("plain")))
+        base.withColumn("restored", F.when(F.col("text").contains("&"), _restored(F.col("text"))).otherwise(F.col("text")))
+        .withColumn("plain", F.when(F.col("restored").contains("<"), _plain(F.col("text"))).otherwise(F.col("restored")))
+        .withColumn("talked", F.when(F.col("plain").rlike(SLOT_MARKS), _without_mentions(F.col("plain"))).otherwise(""))
         .withColumn("has_slot", slots)
-        .withColumn("body", _body(F.col("plain")))
-        .withColumn("sentences", sentences)
+        .withColumn("form", _form(F.col("text")))
+        .withColumn("words", F.array_distinct(_words(F.col("form"))))
+        .withColumn("asked", asked)
+        .withColumn("grammar", _grammar(F.lower(F.col("plain")), rules))
+        .withColumn("n_words", F.size("words"))
         .select(
             "key",
-            "has_slot",
-            count(rules.sentence_share).alias("n_notice"),
-            count(rules.doubtful_share).alias("n_doubtful"),
-            F.coalesce(rest(rules.sentence_share), F.lit(0)).alias("own_words"),
-            F.coalesce(rest(rules.doubtful_share), F.lit(0)).alias("doubtful_words"),
-            _mismatch(F.col("title"), F.col("slug"), F.col("body")).alias("mismatch"),
-            _fingerprint(F.col("body")).alias("body"),
             "host",
             "slug",
-            F.when(count(rules.sentence_share) > 0, _terms(F.concat_ws(" ", "title", "text"))).alias("terms"),
+            "has_slot",
+            "grammar",
+            F.when(F.size("asked") == 0, 1.0).otherwise(lacking / F.size("asked")).alias("mismatch"),
+            F.xxhash64("form").alias("body"),
+            "n_words",
+            F.when((F.col("n_words") <= rules.low_information) | (F.col("grammar") > 0), F.col("words")).alias("terms"),
         )
     )
 
 
-def _copied_answers(documents: DataFrame, rules: ResidueRules, columns: dict[str, str]) -> DataFrame:
-    """``key, body, mismatch, host, own`` of all records whose body stands under several slugs.
-
-    ``own`` has the words of a body of low information, null if its writer tells of themselves.
-    """
-    plain = _records(documents, **columns).where("text is not null").withColumn("content", _body(_plain(F.col("text"))))
-    answers = plain.select(
-        "key",
-        "slug",
-        "host",
-        _fingerprint(F.col("content")).alias("body"),
-        _mismatch(F.col("title"), F.col("slug"), F.col("content")).alias("mismatch"),
-        F.when(~F.col("content").rlike(TELLING), _terms(F.col("content"))).alias("own"),
-    )
-    answers = materialize(answers.withColumn("own", F.when(F.size("own") <= rules.low_information, F.col("own"))), "residue-answers")
-    copies = answers.groupBy("body", "slug").agg(F.count(F.lit(1)).alias("n")).groupBy("body").agg(F.count(F.lit(1)).alias("n_slugs"))
-    return answers.join(copies.where(F.col("n_slugs") >= rules.min_copies), "body")
+def copied_bodies(answers: DataFrame) -> DataFrame:
+    """``body, n_slugs, n_records`` of the bodies that stand under several slugs; those without words aside."""
+    per_slug = answers.where("n_words > 0").groupBy("body", "slug").agg(F.count(F.lit(1)).alias("n"))
+    return per_slug.groupBy("body").agg(F.count(F.lit(1)).alias("n_slugs"), F.sum("n").alias("n_records")).where("n_slugs > 1")
 
 
-def _foreign_bodies(copied: DataFrame, documents: DataFrame, sure: DataFrame, rules: ResidueRules, columns: dict[str, str]) -> DataFrame:
-    """``body`` of the copied answers most of whose words hardly any other record uses in title or text.
+def foreign_words(bodies: DataFrame, answers: DataFrame, documents: DataFrame, rules: ResidueRules, **columns: str) -> DataFrame:
+    """``body, surprise``: the share of a body's words that hardly any ordinary record uses in title or text.
 
-    Uses in sure notices don't count, as they are no reviews.
+    ``bodies(body, terms, n_records)``.  Ordinary are the records in which the
+    grammar sees nothing; the body's own records don't count either.
     """
-    own = copied.where("own is not null").groupBy("body").agg(F.first("own").alias("own"), F.count(F.lit(1)).alias("n_own"))
-    words = own.select("body", "n_own", F.explode("own").alias("word"))
     records = _records(documents, **columns)
-    used = records.select(F.explode(_terms(F.concat_ws(" ", "title", "text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    noticed = sure.where("terms is not null").select(F.explode("terms").alias("word")).groupBy("word").agg((-F.count(F.lit(1))).alias("n"))
-    outside = used.unionByName(noticed).groupBy("word").agg(F.sum("n").alias("n"))
-    total = records.agg(F.count(F.lit(1)).alias("n_records"))
-    rare = F.col("n") - F.col("n_own") <= F.col("n_records") * F.lit(rules.foreign_rate)
-    shares = words.join(outside, "word").crossJoin(F.broadcast(total)).groupBy("body").agg(F.sum(rare.cast("int")).alias("foreign"), F.count(F.lit(1)).alias("n"))
-    return shares.where((F.col("foreign") >= rules.foreign_words) & (F.col("foreign") / F.col("n") >= rules.foreign_share)).select("body")
+    used = records.select(F.explode(F.array_distinct(_words(_form(F.concat_ws(" ", "title", "text"))))).alias("word"))
+    noticed = answers.where("grammar > 0").select(F.explode("terms").alias("word"))
+    # Counts are combined before the shuffle; a word of every record is one row a task.
+    uses = used.groupBy("word").agg(F.count(F.lit(1)).alias("n")).unionByName(noticed.groupBy("word").agg((-F.count(F.lit(1))).alias("n")))
+    uses = uses.groupBy("word").agg(F.sum("n").alias("n"))
+    total = records.agg(F.count(F.lit(1)).alias("total"))
+    words = bodies.select("body", "n_own", F.explode("terms").alias("word"))
+    foreign = F.col("n") - F.col("n_own") <= F.col("total") * F.lit(rules.ordinary_rate)
+    # The total is one row.
+    return words.join(uses, "word").join(F.broadcast(total)).groupBy("body").agg(F.avg(foreign.cast("int")).alias("surprise"))
+
+
+def residue_scores(documents: DataFrame, rules: ResidueRules = ResidueRules(), **columns: str) -> DataFrame:
+    """``key, has_slot, grammar, surprise, mismatch, n_slugs, host_rate, score`` of the records that could be cases.
+
+    These have a slot, a sentence that the grammar knows, or a body of low
+    information that stands under several slugs.
+    """
+    answers = materialize(answer_evidence(documents, rules, **columns), "residue-answers")
+    copies = copied_bodies(answers)
+    low = F.col("n_words").between(rules.short_words, rules.low_information)
+    # Counting by host is combined before the shuffle, too.
+    hosts = answers.groupBy("host").agg(F.avg((F.col("grammar") == 1).cast("int")).alias("host_rate"))
+    seen = answers.join(copies, "body", "left").where((F.col("has_slot")) | (F.col("grammar") > 0) | (F.col("n_slugs").isNotNull() & low))
+    seen = materialize(seen.join(hosts, "host"), "residue-candidates")
+    # Records that the grammar knows are no ordinary ones: only of the others the own ones are taken off.
+    own = F.when(F.first("grammar") > 0, F.lit(0)).otherwise(F.coalesce(F.first("n_records"), F.lit(1)))
+    bodies = seen.where("terms is not null").groupBy("body").agg(F.first("terms").alias("terms"), own.alias("n_own"))
+    surprise = foreign_words(bodies, answers, documents, rules, **columns)
+    copied = F.when(low, F.least(F.lit(1.0), (F.coalesce("n_slugs", F.lit(1)) - 1) / F.lit(rules.full_copies - 1))).otherwise(0.0)
+    score = (
+        rules.grammar_weight * F.col("grammar")
+        + rules.surprise_weight * F.col("surprise")
+        + rules.copies_weight * copied
+        + rules.mismatch_weight * F.col("mismatch")
+        + rules.host_weight * (F.col("host_rate") >= rules.host_rate).cast("int")
+    )
+    scored = seen.join(surprise, "body", "left").withColumn("surprise", F.coalesce("surprise", F.lit(0.0)))
+    return scored.select("key", "has_slot", "grammar", "surprise", "mismatch", F.coalesce("n_slugs", F.lit(1)).alias("n_slugs"), "host_rate", score.alias("score"))
 
 
 def find_residue(documents: DataFrame, rules: ResidueRules = ResidueRules(), **columns: str) -> DataFrame:
     """Records whose text is template residue, filler, an error page or a script notice.
 
-    Returns ``key, kind``: ``slot`` for unfilled template slots anywhere in the
-    text, ``notice`` for texts that are, apart from ``few_words`` words and
-    navigation, notices or filler, ``response`` for doubtful ones that the
-    evidence about the whole answer convicts.
+    Returns ``key, kind`` and the evidence ``grammar, surprise, mismatch,
+    n_slugs, host_rate, score``; ``kind`` is ``slot`` for unfilled template
+    slots anywhere in the text, else ``notice`` where the grammar knows a
+    sentence and ``response`` where the other evidence convicts alone.
 
     Null, empty and merely short texts are no cases.  Titles only serve as
     evidence.  Repeated keys are judged one by one.  Texts are read whole, and
     copies and words are counted over all records; extra columns are ignored.
-    An answer in other words than the fixed notices is only found if it stands
-    under ``min_copies`` slugs.
+    An answer that the grammar does not know is only found if it stands under
+    several slugs of a source that gives notices.
     """
-    seen = residue_evidence(documents, rules=rules, **columns).where("has_slot or n_notice > 0 or n_doubtful > 0")
-    # Only records with a slot or a notice sentence are kept, so the texts are taken apart once.
-    seen = materialize(seen, "residue-evidence")
-    sure = F.col("has_slot") | ((F.col("n_notice") > 0) & (F.col("own_words") <= rules.few_words))
-    doubtful = ~sure & (F.col("n_doubtful") > 0) & (F.col("doubtful_words") <= rules.few_words)
-    judged = seen.withColumn("sure", sure).withColumn("doubtful", doubtful)
-    # Counting by body and by host is combined before the shuffle: a body or host with most records is no single task's load.
-    host = columns.get("host", "source")
-    source = F.lower(F.trim(F.coalesce(F.col(host), F.lit(""))))
-    sizes = pick(documents, host).groupBy(source.alias("host")).agg(F.count(F.lit(1)).alias("n_host"))
-    hits = judged.groupBy("host").agg(F.sum(F.col("sure").cast("long")).alias("n_sure"))
-    hosts = hits.join(sizes, "host").select("host", (F.col("n_sure") / F.col("n_host")).alias("host_rate"))
-    copied = _copied_answers(documents, rules, columns)
-    foreign = _foreign_bodies(copied, documents, judged.where("sure"), rules, columns)
-    doubted = judged.where("doubtful").select("key", "body")
-    convicted = copied.join(foreign, "body", "left_semi").select("key", "body", "mismatch", "host").withColumn("worded", F.lit(False))
-    worded = judged.where("doubtful").join(copied.select("body").distinct(), "body", "left_semi").select("key", "body", "mismatch", "host", F.lit(True).alias("worded"))
-    # A record that the fixed notices have already decided or put in doubt is not judged again.
-    known = judged.where("sure").select("key", "body").unionByName(doubted).select(F.col("key").alias("_key"), F.col("body").alias("_body"))
-    convicted = convicted.join(known, F.col("key").eqNullSafe(F.col("_key")) & (F.col("body") == F.col("_body")), "left_anti")
-    open_cases = (
-        convicted.unionByName(worded)
-        .join(hosts, "host")
-        .where((F.col("mismatch") > 0.5) & (F.col("host_rate") >= rules.min_host_rate))
-        .select("key", F.lit("response").alias("kind"))
-    )
-    return judged.where("sure").select("key", F.when(F.col("has_slot"), "slot").otherwise("notice").alias("kind")).unionByName(open_cases)
+    host = (F.col("grammar") > 0) | (F.col("host_rate") >= rules.host_rate)
+    scored = residue_scores(documents, rules, **columns).where(F.col("has_slot") | ((F.col("score") >= rules.threshold) & host))
+    kind = F.when(F.col("has_slot"), "slot").when(F.col("grammar") > 0, "notice").otherwise("response")
+    return scored.select("key", kind.alias("kind"), "grammar", "surprise", "mismatch", "n_slugs", "host_rate", "score")
 
 
 def without_residue(documents: DataFrame, key: str = "doc_id", **kwargs) -> DataFrame:

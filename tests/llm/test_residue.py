@@ -1,4 +1,4 @@
-from tessera.llm.residue import find_residue, without_residue
+from tessera.llm.residue import answer_evidence, copied_bodies, find_residue, without_residue
 
 SCHEMA = "doc_id long, title string, text string, source string, item_id string"
 
@@ -38,11 +38,16 @@ def test_mentions_are_no_slots(spark):
 
 
 NOTICES = [
-    "404 Not Found. The requested URL /review/12 was not found on this server.", "<h1>502 Bad Gateway</h1>", "Home | Shop | Cart | Help\nYou need to enable JavaScript to run this app.",
-    "JAVASCRIPT IST IN IHREM BROWSER DEAKTIVIERT.", "Votre session a expiré, veuillez vous reconnecter.", "Página no encontrada. La dirección solicitada no existe (error 404).",
-    "Dit is voorbeeldtekst. Hier komt uw tekst.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit sed do.", "asdf asdf asdf asdf", "blah blah blah!",
-    "The item record failed to load (code 403).", "Something went wrong on our end. Request id 9f9c", "<noscript>This content needs JavaScript.</noscript>",
-    "  Too  many  requests.  You  have  been  rate  limited,  slow  down. ", "You need to enable JavaScrpt to run this app.", "Review: 503 Service Temporarily Unavailable",
+    # Wordings of error pages, script notices and filler that were written for this test.
+    "HTTP 410 Gone. The resource has been permanently deleted.", "Bad Request (400). Your browser sent a request that this server could not understand.", "Turn on JS to see this page.",
+    "Bacon ipsum brisket ham hock pork loin.", "Die Seite konnte nicht geladen werden.", "Esta página no está disponible en este momento", "Dit artikel is tijdelijk niet beschikbaar",
+    "The gateway timed out. Reload the page in a moment.", "Your session is no longer valid, please log in again.", "Access to this document is restricted in your country.",
+    "Error 418: the server refused the connection", "Der Dienst ist derzeit überlastet. Bitte versuchen Sie es in wenigen Minuten erneut.", "Ihre Anfrage wurde vom Server blockiert.",
+    "Le serveur est momentanément surchargé, veuillez réessayer plus tard.", "Ce contenu n'existe plus.", "No se pudo cargar el contenido. Inténtelo de nuevo más tarde.",
+    "O serviço está indisponível. Tente novamente mais tarde.", "De pagina is verplaatst of verwijderd.", "Bitte schalten Sie Cookies und JavaScript in Ihrem Browser ein, aktivieren erforderlich.",
+    "Este site precisa de JavaScript para funcionar.", "Cookies are disabled. Allow cookies and scripts to continue.", "Placeholder content, replace before you publish.",
+    "Hier steht später ein Beispieltext.", "Insert the description here.", "Texte de remplissage provisoire.", "Dit is een testtekst, vervang deze tekst.",
+    "Home | Shop | Cart\nThis content failed to load.", "<div>Access denied</div>", "qwerty qwerty qwerty", "Lorem ipsum dolor sit amet, consectetur elit.",
 ]
 
 
@@ -83,14 +88,25 @@ def test_remaining_records_keep_all_columns(spark):
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [2, 2]
 
 
-def test_doubtful_responses_need_evidence(spark):
-    text = "Unfortunately the seller page could not be loaded right now."
-    alone = found(spark, [text], title="Fine desk lamp")
-    many = found(spark, [text] * 4 + ["502 Bad Gateway"], title="Fine desk lamp")
-    assert alone == [] and 4 in many
+NO_RESIDUE = ["Great case. It does not need scripts or cookies.", "Very good [great] item", "Works with 100%s battery", "Call at 10:30_ish, worth 5:1_odds.", "Wow!!GREAT!!", "The error was in the manual, the page with the sizes is wrong."]
 
 
-OTHER_WORDS = ["Servicio no disponible temporalmente.", "Der Server ist überlastet.", "Backend returned an empty payload."]
+def test_reviews_near_the_grammar_are_no_cases(spark):
+    assert found(spark, NO_RESIDUE) == []
+    assert found(spark, ["Hello :first_name, great product", "Hi !!NAME!!, love it"]) == [0, 1]
+
+
+def test_evidence_comes_with_every_row(spark):
+    texts = ["Der Server antwortet nicht mehr."] * 3 + ["This page has expired."] + ["The lamp is fine, we use it daily."] * 2
+    by_key = {r.key: r for r in find_residue(docs(spark, texts, title="Fine lamp")).collect()}
+    assert set(by_key) == {0, 1, 2, 3}
+    r = by_key[3]
+    assert (r.kind, r.grammar, r.n_slugs, r.mismatch) == ("notice", 1.0, 1, 1.0) and r.score >= 3
+    assert by_key[0].n_slugs == 3 and 0 < r.host_rate < 1
+
+
+# The grammar knows none of these.
+OTHER_WORDS = ["Backend returned an empty payload.", "Kein Zutritt ohne Ausweis.", "Kindly upgrade the wallet balance."]
 ORDINARY = ["The lamp gives warm light.", "Die Lampe ist hell.", "No es cara.", "The box was dented.", "An empty shelf got a lamp.", "Very happy"]
 
 
@@ -102,6 +118,15 @@ def test_copied_answers_in_other_words_are_found_by_evidence(spark):
     assert result == {**{k: "response" for k in range(9)}, 27: "notice"}
 
 
+def test_evidence_of_answers_equals_a_plain_count(spark):
+    rows = [(1, "Red lamp", "The LAMP, 12 b3 is red!", "s", "X-1"), (2, "Blue", "the lamp is red", "s", "X-2"), (3, None, "The lamp  is red.", "s", "X-2"), (4, "Ok", "12 34", "s", None)]
+    answers = answer_evidence(spark.createDataFrame(rows, SCHEMA))
+    got = {r.key: r for r in answers.collect()}
+    assert got[1].body == got[2].body == got[3].body != got[4].body
+    assert [round(got[k].mismatch, 3) for k in (1, 2, 3, 4)] == [0.333, 1.0, 1.0, 1.0]
+    assert [tuple(r)[1:] for r in copied_bodies(answers).collect()] == [(2, 3)]
+
+
 def test_answers_in_other_words_need_copies_and_a_host_with_notices(spark):
     assert found(spark, OTHER_WORDS + ["502 Bad Gateway"]) == [3]
     assert found(spark, [OTHER_WORDS[0]] * 3 + ORDINARY) == []
