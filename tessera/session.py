@@ -67,6 +67,18 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def replace_table(df: DataFrame, name: str, before: DataFrame | None) -> DataFrame:
+    """Materialize the next state of a loop and delete the table of the state before, if that is given.
+
+    ``before`` is a table that ``materialize`` returned and that nothing else reads.
+    """
+    result = materialize(df, name)
+    if before is not None:
+        for path in {f.rsplit("/", 1)[0] for f in before.inputFiles()}:
+            delete_path(df.sparkSession, path)
+    return result
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table that nothing reads any more."""
     jvm = spark.sparkContext._jvm
