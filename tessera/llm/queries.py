@@ -30,6 +30,14 @@ def p2_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_report(clusters)
 
 
+def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = materialize(vector_clusters(node_vectors(_table(spark, sf_dir, "patch"))), "clusters")
+    typical = cluster_report(clusters).join(clusters.select("cluster_node", "node", F.lit(1).alias("inside")), ["cluster_node", "node"], "left")
+    return typical.groupBy("cluster_node", "size").agg(
+        F.count(F.lit(1)).alias("n_typical"), F.countDistinct("node").alias("n_nodes"), F.sum(F.coalesce("inside", F.lit(0))).alias("n_inside")
+    )
+
+
 def p2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = vector_clusters(node_vectors(_table(spark, sf_dir, "patch")))
     return majority_labels(clusters, _table(spark, sf_dir, "node_df"))
@@ -119,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p2_typical": p2_typical,
+        "p2_sizes": p2_sizes,
         "p2_labels": p2_labels,
         "p4_found": p4_found,
         "p7_packed": p7_packed,
@@ -274,6 +283,8 @@ SELECT pack_name, count(*) AS n_items, sum(n_tokens)::BIGINT AS n_tokens, 0 AS n
   FROM plans p LEFT JOIN per_source s ON s.source = p.source
 )
 SELECT *, n_tokens / sum(n_tokens) OVER () AS actual_share FROM joined""",
+        "p2_sizes": _GROUPS
+        + " SELECT DISTINCT cluster_node, size, 3 AS n_typical, 3 AS n_nodes, 3 AS n_inside FROM named WHERE size >= 10",
         "p2_found": _GROUPS + " SELECT cluster_node, node FROM named WHERE size >= 10",
         "p4_found": _VECTORS
         + """, near AS (
