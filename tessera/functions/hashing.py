@@ -14,10 +14,15 @@ def lcg(column: Column, seed: int) -> Column:
     return F.pmod(column.cast("long") * F.lit(MULTIPLIER) + F.lit(seed), F.lit(MODULUS))
 
 
+def digest(seed: int, *columns: Column, digits: int = 15) -> Column:
+    """The first hexadecimal digits of the MD5 of seed and ids, as a number: every SQL dialect has it."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
 def uniform(seed: int, *columns: Column) -> Column:
     """A number in (0, 1) for each combination of ids."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double")
-    return (bits + F.lit(0.5)) * F.lit(2.0**-53)
+    return (digest(seed, *columns, digits=13) + F.lit(0.5)) * F.lit(2.0**-52)
 
 
 def gaussian(seed: int, *columns: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import lcg
+from tessera.functions.hashing import digest, lcg
 from tessera.operators.hot_keys import number_rows
 from tessera.schema import require
 from tessera.session import materialize
@@ -227,7 +227,7 @@ class PropertyGraph:
         """``draw, src, dst``: k edges drawn uniformly with replacement."""
         numbered = number_rows(materialize(self.edges.select("src", "dst").repartitionByRange("src", "dst").sortWithinPartitions("src", "dst"), "edges"))
         m = self.num_edges
-        draws = self.edges.sparkSession.range(k).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(m, 1))).alias("row_no"))
+        draws = self.edges.sparkSession.range(k).select(F.col("id").alias("draw"), (digest(seed, F.col("id")) % F.lit(max(m, 1))).alias("row_no"))
         return draws.join(numbered, "row_no").select("draw", "src", "dst")
 
     def sample_non_edges(self, k: int, seed: int = 1) -> DataFrame:
@@ -247,8 +247,8 @@ class PropertyGraph:
             tries = min(int((k - have) * 1.2 * max(1.0, n * (n - 1) / free)) + 16, 1 << 40)
             drawn = spark.range(start, start + tries).select(
                 F.col("id").alias("draw"),
-                F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("a"),
-                F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(n)).alias("b"),
+                (digest(seed, F.col("id")) % F.lit(n)).alias("a"),
+                (digest(seed + 1, F.col("id")) % F.lit(n)).alias("b"),
             ).where("a <> b")
             pairs = (
                 drawn.join(numbered.select(F.col("new_id").alias("a"), F.col("id").alias("src")), "a")

@@ -189,30 +189,37 @@ def spread(graph: PropertyGraph, k: int, seed: int | None = None) -> DataFrame:
     return _in_one_task(graph, kernel)
 
 
-def modularity(graph: PropertyGraph, partition: DataFrame) -> float | None:
-    """Newman modularity of a partition over the stored edges; None without edges."""
+def modularity(graph: PropertyGraph, partition: DataFrame, resolution: float = 1.0) -> float | None:
+    """Newman modularity of a partition over the stored edges, with a resolution; None without edges."""
     a = partition.select(F.col("node").alias("src"), F.col("cluster").alias("ca"))
     b = partition.select(F.col("node").alias("dst"), F.col("cluster").alias("cb"))
     marked = graph.weighted_edges.join(a, "src").join(b, "dst")
     sides = marked.groupBy("ca").agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)).alias("inside"), F.sum("weight").alias("out"))
     row = sides.agg(F.sum("out").alias("m"), F.sum("inside").alias("i"), F.sum(F.col("out") * F.col("out")).alias("q")).first()
-    return None if not row["m"] else row["i"] / row["m"] - row["q"] / row["m"] ** 2
+    return None if not row["m"] else row["i"] / row["m"] - resolution * row["q"] / row["m"] ** 2
 
 
-def modularity_clusters(graph: PropertyGraph, max_levels: int = 10, rounds: int = 8) -> DataFrame:
+def modularity_clusters(
+    graph: PropertyGraph, max_levels: int = 64, rounds: int = 1_000, resolution: float = 1.0, initial: DataFrame | None = None, seed: int = 0
+) -> DataFrame:
     """Clusters of high modularity: local moves in rounds, then contraction, until nothing improves.
 
-    In a round the nodes of one parity of a hash may move to the neighbouring
-    cluster with the largest gain; a round that doesn't raise the modularity is
-    undone.  Clusters are named by their smallest node.
+    In a round one half of the nodes, by a seeded hash that changes every
+    other round, may move to the neighbouring cluster with the largest gain; a round that doesn't raise the
+    modularity is undone.  A larger ``resolution`` gives smaller clusters;
+    ``initial(node, cluster)`` is where the moves start from, by default every
+    node is a cluster.  Clusters are named by their smallest node.  Levels or
+    rounds that are used up before nothing improves are an error.
     """
     base = graph.weighted_edges
     current = PropertyGraph(base, graph.nodes, False)
     members = materialize(graph.nodes.select(F.col("id").alias("node"), F.col("id").alias("cluster")), "members")
-    for _ in range(max_levels):
-        labels, improved = _local_moves(current, rounds)
+    for level in range(max_levels + 1):
+        labels, improved = _local_moves(current, rounds, resolution, initial if level == 0 else None, seed)
         if not improved:
             break
+        if level == max_levels:
+            raise RuntimeError(f"the modularity still improves after {max_levels} levels")
         members = materialize(
             members.join(labels.select(F.col("node").alias("cluster"), F.col("cluster").alias("up")), "cluster").select("node", F.col("up").alias("cluster")), "members"
         )
@@ -224,16 +231,22 @@ def modularity_clusters(graph: PropertyGraph, max_levels: int = 10, rounds: int
     return members.join(names, "cluster").select("node", F.col("name").alias("cluster"))
 
 
-def _local_moves(graph: PropertyGraph, rounds: int) -> tuple[DataFrame, bool]:
+def _local_moves(graph: PropertyGraph, rounds: int, resolution: float, initial: DataFrame | None, seed: int) -> tuple[DataFrame, bool]:
     strength = materialize(graph.strength().withColumnRenamed("id", "node"), "strength")
     total = strength.agg(F.sum("strength")).first()[0] or 0.0
-    labels = materialize(graph.nodes.select(F.col("id").alias("node"), F.col("id").alias("cluster")), "labels")
+    alone = graph.nodes.select(F.col("id").alias("node"), F.col("id").alias("cluster"))
+    if initial is not None:
+        # Clusters are named by a member, so that a given number can't meet another node's own.
+        named = initial.groupBy("cluster").agg(F.min("node").alias("name"))
+        given = initial.join(named, "cluster").select("node", "name")
+        alone = alone.join(given, "node", "left").select("node", F.coalesce("name", "cluster").alias("cluster"))
+    labels = materialize(alone, "labels")
     if not total:
-        return labels, False
-    best = modularity(graph, labels)
-    improved, idle = False, 0
+        return labels, initial is not None
+    best = modularity(graph, labels, resolution)
+    improved, idle = initial is not None, 0
     for step in range(rounds * 2):
-        volume = labels.join(strength, "node").groupBy("cluster").agg(F.sum("strength").alias("volume"))
+        volume = labels.join(strength, "node").groupBy("cluster").agg(F.sum("strength").alias("volume"), F.count(F.lit(1)).alias("n"))
         pull = (
             graph.edges.where("src <> dst")
             .join(labels.select(F.col("node").alias("dst"), "cluster"), "dst")
@@ -243,23 +256,28 @@ def _local_moves(graph: PropertyGraph, rounds: int) -> tuple[DataFrame, bool]:
         own = labels.join(strength, "node").select("node", F.col("cluster").alias("own"), "strength")
         options = pull.join(own, "node").join(volume, "cluster")
         others = F.col("volume") - F.when(F.col("cluster") == F.col("own"), F.col("strength")).otherwise(0.0)
-        gain = F.col("pull") - F.col("strength") * others / F.lit(total)
-        scored = options.select("node", "cluster", "own", gain.alias("gain"))
+        gain = F.col("pull") - F.lit(resolution) * F.col("strength") * others / F.lit(total)
+        # Two clusters of one node each would only swap: the one with the larger name moves.
+        alone = volume.where("n = 1").select(F.col("cluster").alias("own"), F.lit(True).alias("alone"))
+        swaps = F.coalesce("alone", F.lit(False)) & (F.col("n") == 1) & (F.col("cluster") > F.col("own"))
+        scored = options.join(alone, "own", "left").where(~swaps).select("node", "cluster", "own", gain.alias("gain"))
         stay = scored.where("cluster = own").select("node", F.col("gain").alias("stay"))
         top = scored.groupBy("node", "own").agg(F.max(F.struct("gain", (-F.col("cluster")).alias("c"))).alias("b"))
         moves = (
             top.join(stay, "node", "left")
-            .where((F.col("b.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-12) & (F.pmod(F.xxhash64("node"), F.lit(2)) == step % 2))
+            .where((F.col("b.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-12) & (F.pmod(F.xxhash64(F.lit(seed + step // 2), "node"), F.lit(2)) == step % 2))
             .select("node", (-F.col("b.c")).alias("to"))
         )
         moved = materialize(labels.join(moves, "node", "left").select("node", F.coalesce("to", "cluster").alias("cluster")), "labels")
-        value = modularity(graph, moved)
+        value = modularity(graph, moved, resolution)
         if value > best + 1e-9:
             best, labels, improved, idle = value, moved, True, 0
         else:
             idle += 1
-            if idle >= 2:
+            if idle >= 4:
                 break
+    else:
+        raise RuntimeError(f"nodes still move after {rounds} rounds")
     return labels, improved
 
 

@@ -56,14 +56,14 @@ def kruskal(edges: list[tuple[int, int, float]], maximise: bool = False) -> set[
 KRUSKAL_EDGES = 100_000
 
 
-def spanning_forest(graph: PropertyGraph, maximise: bool = False, max_rounds: int = 64) -> DataFrame:
+def spanning_forest(graph: PropertyGraph, maximise: bool = False, max_rounds: int = 64, driver_edges: int | None = None) -> DataFrame:
     """``u, v, weight`` (u < v) of a minimum or maximum spanning forest, by rounds of Boruvka.
 
     In each round every component takes its best edge to another one, by
     ``(weight, u, v)``, and components so joined are contracted; the number of
     components at least halves.  The graph is taken as undirected, parallel
     edges count with their best weight, and loops are never chosen.  A graph of
-    at most ``KRUSKAL_EDGES`` edges, as patch graphs are, is solved on the
+    at most ``driver_edges`` edges (``KRUSKAL_EDGES``), as patch graphs are, is solved on the
     driver, with the same result.
     """
     sign = -1.0 if maximise else 1.0
@@ -73,8 +73,9 @@ def spanning_forest(graph: PropertyGraph, maximise: bool = False, max_rounds: in
         .groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
         .agg(F.min(F.col("weight") * sign).alias("cost"))
     )
-    few = candidates.limit(KRUSKAL_EDGES + 1).collect()
-    if len(few) <= KRUSKAL_EDGES:
+    driver_edges = KRUSKAL_EDGES if driver_edges is None else driver_edges
+    few = candidates.limit(driver_edges + 1).collect() if driver_edges > 0 else []
+    if driver_edges > 0 and len(few) <= driver_edges:
         cost = {(r["u"], r["v"]): r["cost"] for r in few}
         tree = sorted(kruskal([(u, v, c) for (u, v), c in cost.items()]))
         return spark.createDataFrame([(u, v, sign * cost[u, v]) for u, v in tree], "u long, v long, weight double")
@@ -98,6 +99,9 @@ def spanning_forest(graph: PropertyGraph, maximise: bool = False, max_rounds: in
             .where("cu <> cv"),
             "forest-edges",
         )
+    else:
+        if not open_edges.isEmpty():
+            raise RuntimeError(f"the forest is not complete after {max_rounds} rounds")
     if chosen is None:
         return spark.createDataFrame([], "u long, v long, weight double")
     return chosen.select("u", "v", (F.col("cost") * sign).alias("weight"))

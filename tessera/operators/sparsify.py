@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions.hashing import uniform
 from tessera.graph import PropertyGraph
 from tessera.operators.spanning import kruskal, spanning_forest
+from tessera.session import materialize
 
 MAX_DENSE_NODES = 4_000
 
@@ -40,7 +41,7 @@ def with_tree(graph: PropertyGraph, scored: DataFrame, target: int, seed: int =
     wanted number of directed edges.
     """
     tree = spanning_forest(PropertyGraph(scored, graph.nodes, False), maximise=True).select(F.col("u").alias("src"), F.col("v").alias("dst"))
-    tree = tree.persist()
+    tree = materialize(tree, "tree")
     extra = max(0, target // 2 - tree.count())
     rest = scored.where("src < dst and weight > 0").join(tree, ["src", "dst"], "left_anti")
     chosen = tree.unionByName(gumbel_top_k(rest, extra, seed).select("src", "dst")) if extra else tree

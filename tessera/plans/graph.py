@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import MODULUS, MULTIPLIER, lcg
@@ -268,12 +268,30 @@ def conductance_weights(spark, d):
     return S.conductance_weights(nation_graph(spark, d)).withColumn("weight", F.round("weight", 12))
 
 
-@query("edge_sample")
+# The engine's uniform numbers and draws in SQL: hexadecimal digits of an MD5.
+_U = "(('0x' || substr(md5('1:' || src || ':' || dst), 1, 13))::BIGINT + 0.5) * pow(2, -52)"
+
+
+def _draw(seed: int, column: str, n: str) -> str:
+    return f"('0x' || substr(md5('{seed}:' || {column}), 1, 15))::BIGINT % {n}"
+
+
+@query(
+    "edge_sample",
+    f"""WITH {TRADE}, numbered AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS row_no FROM trade)
+SELECT d.range AS draw, src, dst FROM range(1000) d JOIN numbered ON row_no = {_draw(1, "d.range", "(SELECT count(*) FROM trade)")}""",
+)
 def edge_sample(spark, d):
     return trade_graph(spark, d).sample_edges(1000)
 
 
-@query("non_edge_sample")
+@query(
+    "non_edge_sample",
+    f"""WITH {TRADE}, ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS no FROM (SELECT DISTINCT src AS id FROM trade)),
+n AS (SELECT count(*) AS n FROM ids), drawn AS (SELECT range AS draw, {_draw(1, "range", "n")} AS a, {_draw(2, "range", "n")} AS b FROM range(20000), n)
+SELECT draw, x.id AS src, y.id AS dst FROM drawn JOIN ids x ON x.no = a JOIN ids y ON y.no = b
+WHERE a <> b AND NOT EXISTS (SELECT 1 FROM trade t WHERE t.src = x.id AND t.dst = y.id) ORDER BY draw LIMIT 1000""",
+)
 def non_edge_sample(spark, d):
     return trade_graph(spark, d).sample_non_edges(1000)
 
@@ -281,9 +299,9 @@ def non_edge_sample(spark, d):
 # -- spanning trees and sparsification ------------------------------------------------------------------
 
 # Minimax paths over the 25 nations: an edge is in the tree iff no path of earlier edges joins its ends.
-def _tree_sql(order: str) -> str:
-    return f"""WITH RECURSIVE {NATIONS}, ranked AS MATERIALIZED (
-  SELECT src AS u, dst AS v, weight, row_number() OVER (ORDER BY weight {order}, src, dst) AS r FROM nations WHERE src < dst
+def _tree_sql(order: str, before: str = "", rows: str = "nations") -> str:
+    return f"""WITH RECURSIVE {NATIONS}, {before} ranked AS MATERIALIZED (
+  SELECT src AS u, dst AS v, weight, row_number() OVER (ORDER BY weight {order}, src, dst) AS r FROM {rows} WHERE src < dst
 ), both_ways AS MATERIALIZED (SELECT u, v, r FROM ranked UNION ALL SELECT v, u, r FROM ranked),
 reach(a, b, top) USING KEY (a, b) AS (
   SELECT u, v, r FROM both_ways
@@ -304,6 +322,12 @@ def spanning_edges(spark, d):
     return spanning_tree_edges(nation_graph(spark, d))
 
 
+@query("spanning_tree_rounds", _tree_sql("DESC") + "SELECT u, v, weight FROM tree")
+def spanning_tree_rounds(spark, d):
+    """The same forest by rounds of Boruvka on the executors."""
+    return spanning_forest(nation_graph(spark, d), maximise=True, driver_edges=0)
+
+
 @query(
     "topk_edges",
     f"""WITH {NATIONS}, r AS (SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS position FROM nations)
@@ -323,7 +347,14 @@ def gumbel_topk(spark, d):
     return S.gumbel_top_k(nation_graph(spark, d).edges.where("src < dst"), 40, u=u)
 
 
-@query("neighbour_sparsify")
+@query(
+    "neighbour_sparsify",
+    _tree_sql("DESC")
+    + """, kept AS (
+  SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM nations) WHERE k <= 3
+  UNION SELECT u, v FROM tree UNION SELECT v, u FROM tree
+) SELECT n.src, n.dst, n.weight FROM nations n JOIN kept a ON a.src = n.src AND a.dst = n.dst JOIN kept b ON b.src = n.dst AND b.dst = n.src""",
+)
 def neighbour_sparsify(spark, d):
     return S.neighbour_sparsify(nation_graph(spark, d), 3).edges
 
@@ -340,12 +371,35 @@ def resistance_sparsify(spark, d):
     return S.resistance_sparsify(nation_graph(spark, d), 6).edges
 
 
-@query("conductance_sparsify")
+@query(
+    "conductance_sparsify",
+    _tree_sql(
+        "DESC",
+        """strengths AS (SELECT src AS id, sum(weight) AS s FROM nations GROUP BY src), scored AS MATERIALIZED (
+  SELECT n.src, n.dst, n.weight / least(a.s, b.s) AS weight FROM nations n JOIN strengths a ON a.id = n.src JOIN strengths b ON b.id = n.dst
+),""",
+        "scored",
+    )
+    + f""", size AS (SELECT 3 * count(DISTINCT src) AS n FROM nations), others AS (
+  SELECT src, dst, row_number() OVER (ORDER BY ln(weight) - ln(-ln({_U})) DESC, src, dst) AS k FROM scored s
+  WHERE src < dst AND NOT EXISTS (SELECT 1 FROM tree t WHERE t.u = s.src AND t.v = s.dst)
+), chosen AS (
+  SELECT u, v FROM tree UNION ALL SELECT src, dst FROM others WHERE k <= (SELECT n FROM size) - (SELECT count(*) FROM tree)
+) SELECT n.src, n.dst, n.weight FROM nations n JOIN chosen c ON c.u = least(n.src, n.dst) AND c.v = greatest(n.src, n.dst)""",
+)
 def conductance_sparsify(spark, d):
     return S.conductance_sparsify(nation_graph(spark, d), 6).edges
 
 
-@query("relaxed_spanning_tree")
+@query(
+    "relaxed_spanning_tree",
+    _tree_sql("DESC")
+    + """, best AS (SELECT src AS id, max(weight) AS w FROM nations GROUP BY src), kept AS (
+  SELECT t.u, t.v FROM ranked t JOIN reach x ON x.a = t.u AND x.b = t.v JOIN ranked weakest ON weakest.r = x.top
+    JOIN best p ON p.id = t.u JOIN best q ON q.id = t.v
+  WHERE x.top = t.r OR weakest.weight - 0.1 * (p.w + q.w) < t.weight
+) SELECT n.src, n.dst, n.weight FROM nations n JOIN kept k ON k.u = least(n.src, n.dst) AND k.v = greatest(n.src, n.dst)""",
+)
 def relaxed_spanning_tree(spark, d):
     return S.relaxed_spanning_tree(nation_graph(spark, d), 0.1).edges
 
@@ -419,7 +473,8 @@ def spread_clustering(spark, d):
     return _covers(graph, C.spread(graph, 4))
 
 
-@query("modularity_clusters")
+# Every nation's customers and suppliers are a star, and stars are the clusters of highest modularity.
+@query("modularity_clusters", f"WITH {HOMES} SELECT id AS node, root AS cluster FROM home_components")
 def modularity_clusters(spark, d):
     return C.modularity_clusters(home_graph(spark, d))
 
@@ -441,6 +496,27 @@ def hierarchical_agglomerative(spark, d):
     return _covers(graph, C.compose_hierarchy(C.hierarchical_agglomerative(graph, C.fennel, [2, 3])))
 
 
+_HALF = "ntile(2) OVER (PARTITION BY path ORDER BY node) - 1"
+
+
+@query(
+    "hierarchical_divisive_halves",
+    f"""WITH {NATIONS}, one AS (SELECT node, CAST(ntile(2) OVER (ORDER BY node) - 1 AS VARCHAR) AS path FROM (SELECT DISTINCT src AS node FROM nations)),
+two AS (SELECT node, CASE WHEN n > 4 THEN path || '/' || half ELSE path END AS path FROM (SELECT *, count(*) OVER (PARTITION BY path) AS n, {_HALF} AS half FROM one)),
+three AS (SELECT node, CASE WHEN n > 4 THEN path || '/' || half ELSE path END AS path FROM (SELECT *, count(*) OVER (PARTITION BY path) AS n, {_HALF} AS half FROM two))
+SELECT node, path FROM three""",
+)
+def hierarchical_divisive_halves(spark, d):
+    """Division by a method that SQL has too: the lower and the upper half of the ids."""
+
+    def halves(graph: PropertyGraph, k: int) -> DataFrame:
+        # The ids of one small graph.
+        ids = Window.partitionBy().orderBy("id")
+        return graph.nodes.select(F.col("id").alias("node"), (F.ntile(k).over(ids) - 1).cast("long").alias("cluster"))
+
+    return C.hierarchical_divisive(nation_graph(spark, d), halves, 4)
+
+
 @query("hierarchical_divisive")
 def hierarchical_divisive(spark, d):
     return C.hierarchical_divisive(nation_graph(spark, d), C.fennel, 8)
@@ -550,7 +626,7 @@ def temporal_stats(spark, d):
     f"""WITH {_DAYS}, e AS (SELECT DISTINCT "timestamp", src, dst FROM days WHERE src IS NOT NULL AND dst IS NOT NULL) SELECT "timestamp", src, dst FROM e""",
 )
 def snapshots_to_frames(spark, d):
-    edges, _ = convert.frames_from_snapshots(list(convert.snapshots(_edges(spark, d).select("timestamp", "src", "dst"))))
+    edges, _ = convert.frames_by_date(_edges(spark, d).select("timestamp", "src", "dst"))
     return edges.select("timestamp", "src", "dst")
 
 
