@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.references import snapshot_number
 from tessera.schema import pick
+from tessera.session import materialize
 
 
 def latest_states(
@@ -84,6 +85,8 @@ def snapshot_changes(
         ).alias("e"),
     ).select(*names, "value", F.col("e.at").alias("at"), F.col("e.sign").alias("sign")).where("at is not null")
     residue = signed.groupBy(*names, "at", "value").agg(F.sum("sign").alias("sign")).where("sign <> 0")
+    # Both sides of the join read the residue; it is far smaller than the states it comes from.
+    residue = materialize(residue, "residue")
     new = residue.where("sign > 0").select(*names, "at", F.col("value").alias("new_value"), F.lit(True).alias("is_new"))
     old = residue.where("sign < 0").select(*names, "at", F.col("value").alias("old_value"), F.lit(True).alias("is_old"))
     joined = new.join(old, [*names, "at"], "full")
