@@ -244,6 +244,8 @@ def voronoi_patches(
         order = Window.partitionBy("patch_id").orderBy("d", "node")
         added = missing.withColumn("r", F.row_number().over(order)).where("r <= more").select("patch_id", "node")
         patches = materialize(patches.unionByName(added), "voronoi")
+    else:
+        raise RuntimeError(f"patches are still too small or too little connected after {max_rounds} rounds")
     return _connect_by_centres(patches, distances, centres, min_overlap)
 
 

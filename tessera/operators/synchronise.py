@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 DENSE_ROWS = 4_000
+# An iterative solution that still changes by more is an error.
+UNSETTLED = 1e-7
 
 
 def nearest_orthogonal(m: np.ndarray) -> np.ndarray:
@@ -56,14 +58,18 @@ def synchronise_rotations(n: int, i, j, blocks: np.ndarray, w: np.ndarray) -> np
 def _orthogonal_iteration(n, rows, cols, mats, d, rounds: int = 2_000, tol: float = 1e-12) -> np.ndarray:
     """The leading d-dimensional eigenspace of (M + I) / 2; the shift keeps eigenvalue -1 of bipartite graphs out."""
     q = np.linalg.qr(np.random.default_rng(0).normal(size=(n * d, d)))[0]
+    change = np.inf
     for _ in range(rounds):
         x = q.reshape(n, d, d)
         y = x.copy()
         np.add.at(y, rows, mats @ x[cols])
         new = np.linalg.qr(y.reshape(n * d, d))[0]
-        if np.linalg.norm(new - q @ (q.T @ new)) < tol:
-            return new.reshape(n, d, d)
+        change = np.linalg.norm(new - q @ (q.T @ new))
         q = new
+        if change < tol:
+            break
+    if change > UNSETTLED:
+        raise RuntimeError(f"rotations still change by {change:.1e} after {rounds} rounds")
     return q.reshape(n, d, d)
 
 
@@ -100,10 +106,12 @@ def synchronise_scales(n: int, i, j, ratio: np.ndarray, w: np.ndarray, clamp: fl
         for _ in range(10_000):
             new = (s + np.bincount(rows, values * s[cols], n)) / 2
             new /= new.mean()
-            done = np.abs(new - s).max() < 1e-14 * np.abs(s).max()
+            change = np.abs(new - s).max() / np.abs(s).max()
             s = new
-            if done:
+            if change < 1e-14:
                 break
+        if change > UNSETTLED:
+            raise RuntimeError(f"scales still change by {change:.1e}")
     s = np.abs(s) / np.abs(s).mean()
     return np.clip(s, 1 / clamp, clamp)
 
@@ -152,4 +160,6 @@ def _conjugate_gradients(n, i, j, rhs: np.ndarray, tol: float = 1e-13) -> np.nda
         new = (r * r).sum(0)
         p = r + np.where(rs > 0, new / np.maximum(rs, 1e-300), 0) * p
         rs = new
+    if (rs > UNSETTLED**2 * goal / tol**2).any():
+        raise RuntimeError("translations have not converged")
     return x - x.mean(0)
