@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from tessera.operators.references import orphan_cases, orphan_references, orphan_report
+from tessera.operators.references import Parent, orphan_cases, orphan_references, orphan_report, orphans_by_parent
 
 E = "timestamp timestamp_ntz, src long, dst long"
 N = "timestamp timestamp_ntz, id long"
@@ -48,3 +48,14 @@ def test_report_sums_cases(spark, rows):
     assert rows(report, "side", "snapshot", "reason", "n_ids", "n_refs") == [
         ("dst", 20210301, "missing", 1, 1), ("dst", 20210302, "deleted", 1, 1), ("src", 20210301, "missing", 1, 2), ("src", 20210302, "missing", 1, 1)
     ]
+
+
+def test_several_parent_tables_in_one_pass(spark, rows):
+    a, b = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    children = spark.createDataFrame([(a, 1, 1), (a, 2, 2), (b, 3, None), (None, 9, 9)], "timestamp timestamp_ntz, src long, dst long")
+    people = spark.createDataFrame([(1, a), (3, a)], "id long, timestamp timestamp_ntz")
+    places = spark.createDataFrame([(2, b, 0), (None, a, 0)], "place long, seen timestamp_ntz, id long")
+    got = orphans_by_parent(children, {"src": "people", "dst": "places"}, {"people": Parent(people), "places": Parent(places, "place", "seen")})
+    assert rows(got) == [
+        ("people", 20240101, 2, "missing", 1, 0), ("people", 20240102, 3, "deleted", 1, 0), ("places", 20240101, 1, "missing", 0, 1), ("places", 20240101, 2, "late", 0, 1)
+    ]
