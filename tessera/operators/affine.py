@@ -84,6 +84,17 @@ def apply_frames(patches: DataFrame, frames: Frames) -> DataFrame:
     return patches.join(table, "patch_id").select("patch_id", "node", F.array(*columns).alias("coords"))
 
 
+def stored_patches(spark: SparkSession, path: str, frames: Frames | None = None, patch_ids: list[int] | None = None) -> DataFrame:
+    """Patches of a parquet folder in their frames; nothing is read before the result is, and only the patches asked for.
+
+    Frames can be changed any number of times without touching the file.
+    """
+    patches = spark.read.parquet(path).select("patch_id", "node", "coords")
+    if patch_ids is not None:
+        patches = patches.where(F.col("patch_id").isin(patch_ids))
+    return patches if frames is None else apply_frames(patches, frames)
+
+
 def mean_patches(patches: DataFrame, grouping: DataFrame, dim: int) -> DataFrame:
     """Union patches whose coordinates are the mean over their members.
 

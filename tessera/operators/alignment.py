@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,11 +25,21 @@ class AlignmentProblem:
     are not used; if ``patch_edges(i, j)`` names such a pair, or the remaining
     patch graph does not connect all patches, ``RuntimeError`` is raised.
     Coordinates are never rewritten: results are frames, applied on reading.
+    ``pair_transform`` maps the statistics of all pairs to their relative
+    rotations, by default the orthogonal ones nearest to the covariances.
     """
 
     n_sync = 0
 
-    def __init__(self, patches: DataFrame, patch_edges: DataFrame | None = None, min_overlap: int | None = None, dim: int | None = None):
+    def __init__(
+        self,
+        patches: DataFrame,
+        patch_edges: DataFrame | None = None,
+        min_overlap: int | None = None,
+        dim: int | None = None,
+        pair_transform: Callable[[PairStats], np.ndarray] | None = None,
+    ):
+        self.pair_transform = pair_transform or (lambda stats: sync.relative_orthogonal(stats.cov))
         self.patches = require(patches, "patch_id", "node", "coords")
         if dim is None:
             first = patches.select(F.size("coords").alias("n")).first()
@@ -71,7 +82,7 @@ class AlignmentProblem:
         return sync.synchronise_scales(len(s.ids), s.i, s.j, ratio, self.weights(s), clamp)
 
     def synchronised_rotations(self) -> np.ndarray:
-        return self.solve_rotations(sync.relative_orthogonal(self.stats.cov))
+        return self.solve_rotations(self.pair_transform(self.stats))
 
     def synchronised_translations(self) -> np.ndarray:
         s = self.stats
@@ -101,6 +112,11 @@ class AlignmentProblem:
             self.scale_patches()
         return self.rotate_patches().translate_patches()
 
+    def copy(self) -> AlignmentProblem:
+        """A problem with the same state; what is done to one does not change the other."""
+        # Every step replaces frames and statistics, none changes them in place.
+        return copy(self)
+
     # -- results -------------------------------------------------------------------------
 
     def aligned_patches(self, frame_of: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -9,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import gaussian
 from tessera.graph import PropertyGraph
+from tessera.session import materialize
 
 
 @dataclass(frozen=True)
@@ -178,8 +181,20 @@ class GraphModel:
             got = np.concatenate([got, c])
         return got[:m] // n, got[:m] % n
 
-    def train(self) -> list[float]:
-        """Adam with early stopping; the loss of an epoch is that before its step."""
+    def train(
+        self,
+        loss: Callable[[GraphModel, tuple[np.ndarray, np.ndarray], np.ndarray | None], tuple[float, dict]] | None = None,
+        validation: Callable[[GraphModel], float] | None = None,
+        logger: Callable[[dict], None] | None = None,
+    ) -> list[float]:
+        """Adam with early stopping; the loss of an epoch is that before its step.
+
+        ``loss(model, negatives, noise)`` gives a loss and its gradients, by
+        default those of the model.  ``validation(model)`` gives what early
+        stopping looks at, by default the loss.  ``logger`` is told of every
+        epoch: ``epoch, loss`` and, if there is a validation, ``val_loss``.
+        """
+        loss_of = loss or GraphModel.loss
         c = self.config
         rng = np.random.default_rng(c.seed + 1)
         stop = EarlyStopping(c.patience, c.delta)
@@ -190,9 +205,12 @@ class GraphModel:
             return history
         for t in range(1, c.epochs + 1):
             noise = rng.normal(size=(self.n, c.dim)) if c.model == "VGAE" else None
-            loss, grads = self.loss(self.negatives(rng), noise)
-            history.append(loss)
-            if stop(loss, self.p):
+            value, grads = loss_of(self, self.negatives(rng), noise)
+            history.append(value)
+            checked = validation(self) if validation else value
+            if logger:
+                logger({"epoch": t, "loss": value} | ({"val_loss": checked} if validation else {}))
+            if stop(checked, self.p):
                 self.p = stop.state
                 break
             for k, g in grads.items():
@@ -203,12 +221,16 @@ class GraphModel:
         return history
 
 
-def patch_embeddings(edges: DataFrame, nodes: DataFrame, config: AutoEncoder = AutoEncoder(), features: str | None = None) -> DataFrame:
+def patch_embeddings(
+    edges: DataFrame, nodes: DataFrame, config: AutoEncoder = AutoEncoder(), features: str | None = None, **callbacks: Callable | None
+) -> DataFrame:
     """``patch_id, node, coords, loss_first, loss_last``: one model per patch, trained in parallel.
 
     ``edges(patch_id, src, dst)`` with both directions, ``nodes(patch_id, id)``
     with an optional array column of features; without it features are one-hot.
     A patch without edges keeps its initial weights and has null losses.
+    ``callbacks`` are those of :meth:`GraphModel.train`; they run where the
+    patch is trained.
     """
     left = edges.select("patch_id", "src", "dst", *([F.col("weight")] if "weight" in edges.columns else []))
     right = nodes.select(F.col("patch_id").alias("node_patch"), F.col("id").alias("node"), *([F.col(features).alias("x")] if features else []))
@@ -219,7 +241,7 @@ def patch_embeddings(edges: DataFrame, nodes: DataFrame, config: AutoEncoder = A
         x = np.array(v["x"].tolist(), float) if "x" in v else None
         src, dst = np.searchsorted(ids, e["src"].to_numpy(np.int64)), np.searchsorted(ids, e["dst"].to_numpy(np.int64))
         model = GraphModel(config, len(ids), src, dst, x, e["weight"].to_numpy(float) if "weight" in e else None)
-        history = model.train()
+        history = model.train(**callbacks)
         z = model.embed()
         return pd.DataFrame(
             {"patch_id": v["node_patch"].to_numpy(), "node": ids, "coords": list(z), "loss_first": history[0] if history else None, "loss_last": history[-1] if history else None}
@@ -262,8 +284,8 @@ def bipartite_svd(entries: DataFrame, k: int, seed: int = 1) -> tuple[DataFrame,
     its singular triplets the trivial first one is left out and the next k are
     kept, values ascending.  Coordinates are divided by the roots once more.
     Signs are fixed by making each row vector's largest entry positive; columns
-    for singular values that vanish are completed orthonormally.  The Gram
-    matrix of the smaller side is a self-join; it must have at most
+    for singular values that vanish are completed orthonormally on both sides.
+    The Gram matrix of the smaller side is a self-join; it must have at most
     ``MAX_GRAM_ROWS`` rows.
     """
     rows = entries.groupBy("row", "col").agg(F.sum("value").alias("value")).where("value <> 0")
@@ -290,7 +312,8 @@ def bipartite_svd(entries: DataFrame, k: int, seed: int = 1) -> tuple[DataFrame,
     trivial = np.sqrt(degrees["ds"].to_numpy(float))
     trivial /= np.linalg.norm(trivial)
     m = (m + m.T) / 2
-    m = m - np.outer(trivial, trivial) * (trivial @ m @ trivial)
+    # The trivial vector gets the eigenvalue -1, so it isn't among those of vanishing ones either.
+    m = m - np.outer(trivial, trivial) * (trivial @ m @ trivial + 1)
     eigenvalues, vectors = np.linalg.eigh(m)
     values, v = np.sqrt(np.maximum(eigenvalues[-k:], 0)), vectors[:, -k:]
     v = v * np.where(v[np.abs(v).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
@@ -301,10 +324,42 @@ def bipartite_svd(entries: DataFrame, k: int, seed: int = 1) -> tuple[DataFrame,
     inv = [0.0 if g else 1 / s for g, s in zip(gone, values)]
     sums = [F.sum(F.col("v") * F.get("vec", F.lit(c))) * F.lit(float(inv[c])) / F.sqrt(F.first("db")) for c in range(k)]
     other = unit.join(F.broadcast(side) if len(ids) * k <= 1 << 20 else side, "small").groupBy("big").agg(F.array(*sums).alias("coords"))
+    if any(gone):
+        other = _completed(other, big, gone, seed)
     small_side, big_side = side.select(F.col("small").alias("node"), "coords"), other.select(F.col("big").alias("node"), "coords")
     return (small_side, big_side, values) if flipped else (big_side, small_side, values)
 
 
+def _completed(sides: DataFrame, degrees: DataFrame, gone: np.ndarray, seed: int) -> DataFrame:
+    """``big, coords`` with the columns ``gone`` replaced by ones orthonormal to all others and to the trivial one.
+
+    Hashed normal numbers are taken through Gram-Schmidt twice; an aggregate
+    a column is all that is collected.
+    """
+    k = len(gone)
+    root = F.sqrt(F.col("db"))
+    names = [f"u{c}" for c in range(k)]
+    table = sides.join(degrees, "big").select("big", "db", root.alias("trivial"), *[(F.get("coords", F.lit(c)) * root).alias(n) for c, n in enumerate(names)])
+    length = table.agg(F.sqrt(F.sum("db"))).first()[0]
+    table = table.withColumn("trivial", F.col("trivial") / F.lit(length))
+    done = ["trivial", *[n for n, g in zip(names, gone) if not g]]
+    for c in np.flatnonzero(gone):
+        name = names[c]
+        table = table.withColumn(name, gaussian(seed + int(c), F.col("big")))
+        for _ in range(2):
+            row = table.agg(*[F.sum(F.col(name) * F.col(d)).alias(d) for d in done]).first()
+            rest = F.col(name)
+            for d in done:
+                rest = rest - F.lit(float(row[d])) * F.col(d)
+            table = materialize(table.withColumn(name, rest), "completed")
+        norm = table.agg(F.sqrt(F.sum(F.col(name) * F.col(name)))).first()[0]
+        if norm < 1e-8:
+            raise ValueError("there is no further direction to complete the coordinates with")
+        table = table.withColumn(name, F.col(name) / F.lit(norm))
+        done.append(name)
+    return table.select("big", F.array(*[F.col(n) / root for n in names]).alias("coords"))
+
+
 def orthonormal_completion(q: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """``q`` with further orthonormal columns up to k."""
     have = q.shape[1]

@@ -94,7 +94,7 @@ class VersionedTable:
         note = json.loads(self.spark.read.text(f"{self.path}/_versions/{last:012d}.json").first()[0])
         if note["operation"] != "compact":
             raise ConflictError(f"version {last} of {self.path} is an unfinished {note['operation']}")
-        self._replace(self._staged(note["schema"], note["staging"]))
+        self._replace(note["schema"], note["staging"])
         self.finish(last)
         delete_path(self.spark, note["staging"])
         return True
@@ -200,7 +200,7 @@ class VersionedTable:
         except BaseException:
             delete_path(self.spark, staging)
             raise
-        self._replace(staged)
+        self._replace(note["schema"], staging)
         self.finish(version)
         delete_path(self.spark, staging)
         files_after = self.files(plan).count()
@@ -239,23 +239,20 @@ class VersionedTable:
     def _staged(self, schema: str, path: str) -> DataFrame:
         return self.spark.read.schema(f"{schema}, {_SLOT} int").parquet(path).drop(_SLOT)
 
-    def _replace(self, staged: DataFrame) -> None:
+    def _replace(self, schema: str, path: str) -> None:
         """Dynamic overwrite: only partitions with staged rows are replaced.
 
         Every staged file is one read split and is written as one file.
         """
-        conf = self.spark.conf
-        keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
-        kept = {k: conf.get(k) for k in keys}
-        try:
-            for k in keys:
-                conf.set(k, str(1 << 40))
-            staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-                self.partition_column
-            ).parquet(self.path)
-        finally:
-            for k, v in kept.items():
-                conf.set(k, v)
+        # A session of its own, so that no other query sees these settings.
+        session = self.spark.newSession()
+        for k, v in self.spark.conf.getAll.items():
+            if session.conf.isModifiable(k):
+                session.conf.set(k, v)
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            session.conf.set(k, str(1 << 40))
+        staged = session.read.schema(f"{schema}, {_SLOT} int").parquet(path).drop(_SLOT)
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.partition_column).parquet(self.path)
 
     @staticmethod
     def _digest(rows: DataFrame) -> tuple:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,22 @@ def snapshots(edges: DataFrame, nodes: DataFrame | None = None) -> Iterator[tupl
         yield when, PropertyGraph(part, features if features is not None else PropertyGraph.from_edges(part).nodes)
 
 
+def frames_by_date(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(edges, nodes)`` of all snapshots at once, with their timestamps.
+
+    The same rows as the stacked graphs of :func:`snapshots`, from one scan and
+    one plan whatever the number of dates: the timestamp stays a column.
+    """
+    rows = coalesced_edges(edges)
+    if nodes is None:
+        ids = rows.select("timestamp", F.explode(F.array("src", "dst")).alias("id")).distinct()
+        return rows, ids
+    # One row per date comes to the driver.
+    dates = [r[0] for r in rows.select("timestamp").distinct().orderBy("timestamp").collect()]
+    stamps = F.array(*[F.lit(d) for d in dates]) if dates else F.array().cast("array<timestamp>")
+    return rows, first_node_features(nodes).select("*", F.explode(stamps).alias("timestamp"))
+
+
 def frames_from_snapshots(graphs: list[tuple[object, PropertyGraph]]) -> tuple[DataFrame, DataFrame]:
     """``(edges, nodes)`` stacked with their timestamps; a missing timestamp is 0."""
     edges = nodes = None
@@ -100,6 +118,24 @@ def to_edge_list(graph: PropertyGraph) -> list[tuple]:
     return [(r["src"], r["dst"], r["weight"]) for r in rows]
 
 
+def from_data(spark, data) -> PropertyGraph:
+    """A graph from an object with arrays: ``edge_index`` of two rows and, if it has them, ``edge_weight``, ``x``, ``y``, ``num_nodes``.
+
+    It is undirected if its edges equal their transpose.
+    """
+    src, dst = (np.asarray(end, np.int64) for end in data.edge_index)
+    weight, x, y = (getattr(data, name, None) for name in ("edge_weight", "x", "y"))
+    edges = pd.DataFrame({"src": src, "dst": dst} | ({} if weight is None else {"weight": np.asarray(weight, float)}))
+    n = getattr(data, "num_nodes", None)
+    n = int(n if n is not None else len(x) if x is not None else max(src.max(initial=-1), dst.max(initial=-1)) + 1)
+    nodes = pd.DataFrame({"id": np.arange(n)} | ({} if x is None else {"x": np.asarray(x, float).tolist()}) | ({} if y is None else {"y": np.asarray(y, np.int64)}))
+    node_schema = "id long" + ("" if x is None else ", x array<double>") + ("" if y is None else ", y long")
+    edge_rows = spark.createDataFrame(edges, "src long, dst long" + ("" if weight is None else ", weight double"))
+    node_rows = spark.createDataFrame(nodes, node_schema)
+    pairs = set(zip(src.tolist(), dst.tolist()))
+    return PropertyGraph(edge_rows, node_rows, directed=any((b, a) not in pairs for a, b in pairs))
+
+
 def from_networkx(spark, graph, weight: str | None = None) -> PropertyGraph:
     """A graph from an object with ``nodes``, ``edges(data=True)`` and ``is_directed()``."""
     rows = [(int(a), int(b), None if weight is None or data.get(weight) is None else float(data[weight])) for a, b, data in graph.edges(data=True)]

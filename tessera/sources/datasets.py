@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tessera.graph import PropertyGraph
-from tessera.schema import EDGE_KEYS, NODE_KEYS, require
+from tessera.schema import EDGE_KEYS, NODE_KEYS, feature_columns, require
 from tessera.sources.convert import coalesced_edges, first_node_features, snapshots
 from tessera.sources.files import ingest_snapshots, path_exists
 
@@ -80,7 +84,10 @@ class Dataset:
     def graph(self) -> PropertyGraph:
         """All snapshots as one directed graph with features of the earliest node rows."""
         edges, nodes = self.tables()
-        flat = coalesced_edges(edges).drop("timestamp").dropDuplicates(["src", "dst"])
+        # Of an edge on several dates the features of the first one stay.
+        features = feature_columns(edges, EDGE_KEYS)
+        first = F.min(F.struct("timestamp", *features)).alias("f")
+        flat = coalesced_edges(edges).groupBy("src", "dst").agg(first).select("src", "dst", *[F.col(f"f.{c}").alias(c) for c in features])
         return PropertyGraph(flat, first_node_features(nodes) if nodes is not None else PropertyGraph.from_edges(flat).nodes)
 
     def to(self, form: str):
@@ -105,7 +112,7 @@ class SnapshotDataset(Dataset):
     """Daily snapshots in raw files ``as<yyyymmdd>.txt``."""
 
     def process(self) -> None:
-        ingest_snapshots(self.spark, self.raw_dir, self.processed_dir)
+        ingest_snapshots(self.spark, self.raw_dir, self.processed_dir, pre_transform=self.pre_transform)
 
 
 class TableDataset(Dataset):
@@ -123,11 +130,88 @@ class TableDataset(Dataset):
             require(nodes, *NODE_KEYS).write.mode("overwrite").parquet(f"{self.processed_dir}/node_data.parquet")
 
 
+class RawTableDataset(TableDataset):
+    """Tables made from the published raw files, or given ready as parquet."""
+
+    def raw_tables(self) -> tuple[DataFrame, DataFrame]:
+        raise NotImplementedError
+
+    def process(self) -> None:
+        if path_exists(self.spark, f"{self.raw_dir}/edges"):
+            return super().process()
+        if path_exists(self.spark, f"{self.processed_dir}/edge_data.parquet"):
+            return
+        edges, nodes = self.raw_tables()
+        if self.pre_transform:
+            edges, nodes = self.pre_transform(edges, nodes)
+        edges.write.mode("overwrite").parquet(f"{self.processed_dir}/edge_data.parquet")
+        nodes.write.mode("overwrite").parquet(f"{self.processed_dir}/node_data.parquet")
+
+
 @register_dataset("Cora")
-class CitationDataset(TableDataset):
-    """A citation graph with word features and classes."""
+class CitationDataset(RawTableDataset):
+    """A citation graph with word features and classes.
+
+    Raw files are the published pair of tables: ``*.content`` with paper,
+    words as 0 or 1 and class, and ``*.cites`` with cited and citing paper.
+    Papers and classes get numbers in the order of their names; a citation is
+    an edge both ways.  ``x`` has the positions of a paper's words,
+    ``train_mask`` the first 20 papers of each class, ``val_mask`` the next
+    500 of all others and ``test_mask`` the 1,000 after these.
+    """
+
+    def raw_tables(self) -> tuple[DataFrame, DataFrame]:
+        lines = F.split(F.trim("value"), r"\s+")
+        content = self.spark.read.text(f"{self.raw_dir}/*.content").select(lines.alias("f")).where(F.size("f") > 2)
+        papers = content.select(F.get("f", F.lit(0)).alias("paper"), F.element_at("f", -1).alias("class"), F.slice("f", 2, F.size("f") - 2).alias("words"))
+        # A list of classes, and one row per paper: the published table has thousands.
+        by_class, order = Window.orderBy("class"), Window.orderBy("paper")
+        papers = papers.withColumn("id", (F.row_number().over(order) - 1).cast("long")).withColumn("y", (F.dense_rank().over(by_class) - 1).cast("long"))
+        in_class = Window.partitionBy("y").orderBy("id")
+        papers = papers.withColumn("train_mask", F.row_number().over(in_class) <= 20)
+        rest = F.sum((~F.col("train_mask")).cast("int")).over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+        papers = papers.withColumn("rest", rest).withColumn("val_mask", ~F.col("train_mask") & (F.col("rest") <= 500))
+        papers = papers.withColumn("test_mask", ~F.col("train_mask") & F.col("rest").between(501, 1_500))
+        marked = F.transform("words", lambda w, k: F.when(w == "1", k))
+        zero = F.timestamp_seconds(F.lit(0)).cast("timestamp_ntz").alias("timestamp")
+        nodes = papers.select(zero, "id", F.filter(marked, lambda k: k.isNotNull()).alias("x"), "y", "train_mask", "val_mask", "test_mask", F.col("paper").alias("label"))
+        cites = self.spark.read.text(f"{self.raw_dir}/*.cites").select(lines.alias("f")).where(F.size("f") == 2)
+        ids = nodes.select("id", "label")
+        pairs = (
+            cites.select(F.get("f", F.lit(0)).alias("cited"), F.get("f", F.lit(1)).alias("citing"))
+            .join(ids.select(F.col("label").alias("cited"), F.col("id").alias("a")), "cited")
+            .join(ids.select(F.col("label").alias("citing"), F.col("id").alias("b")), "citing")
+            .where("a <> b")
+        )
+        both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select("b", "a")).distinct()
+        return both.select(zero, "src", "dst"), nodes
 
 
 @register_dataset("DGraph")
-class FinancialDataset(TableDataset):
-    """A financial graph with timed edges."""
+class FinancialDataset(RawTableDataset):
+    """A financial graph with timed edges.
+
+    The raw file is the published archive of arrays: ``edge_index`` (two
+    columns), ``edge_type``, ``edge_timestamp`` (a day number), ``x``, ``y`` and
+    ``train_mask``, ``valid_mask``, ``test_mask`` as lists of ids.
+    ``source_file`` names it; else the only ``*.npz`` of the raw folder is read.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, source_file: str | None = None, **kwargs):
+        super().__init__(spark, root, **kwargs)
+        self.source_file = source_file
+
+    def raw_tables(self) -> tuple[DataFrame, DataFrame]:
+        path = self.source_file or next(iter(sorted(Path(self.raw_dir.removeprefix("file://")).glob("*.npz"))), None)
+        if path is None or not Path(path).is_file():
+            raise FileNotFoundError(f"there is no raw file {path or self.raw_dir}")
+        with np.load(path) as arrays:
+            ends = arrays["edge_index"]
+            edges = pd.DataFrame({"day": arrays["edge_timestamp"].astype(np.int64), "src": ends[:, 0].astype(np.int64), "dst": ends[:, 1].astype(np.int64), "edge_type": arrays["edge_type"].astype(np.int64)})
+            nodes = pd.DataFrame({"id": np.arange(len(arrays["x"])), "x": arrays["x"].astype(float).tolist(), "y": arrays["y"].astype(np.int64)})
+            for name, mask in (("train_mask", "train_mask"), ("val_mask", "valid_mask"), ("test_mask", "test_mask")):
+                nodes[name] = np.isin(nodes["id"], arrays[mask])
+        when = F.timestamp_seconds(F.col("day") * 86_400).cast("timestamp_ntz").alias("timestamp")
+        edge_rows = self.spark.createDataFrame(edges, "day long, src long, dst long, edge_type long").select(when, "src", "dst", "edge_type")
+        node_rows = self.spark.createDataFrame(nodes, "id long, x array<double>, y long, train_mask boolean, val_mask boolean, test_mask boolean")
+        return edge_rows, node_rows.select(F.timestamp_seconds(F.lit(0)).cast("timestamp_ntz").alias("timestamp"), "*")

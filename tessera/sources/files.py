@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,13 +57,21 @@ def snapshot_nodes(edges: DataFrame, ends: str = "src") -> DataFrame:
     return ids.distinct()
 
 
-def ingest_snapshots(spark: SparkSession, raw: str, processed: str, ends: str = "src", overwrite: bool = False) -> tuple[str, str]:
-    """Raw snapshot files to two sorted parquet tables; skipped if they exist."""
+def ingest_snapshots(
+    spark: SparkSession, raw: str, processed: str, ends: str = "src", overwrite: bool = False, pre_transform: Callable | None = None
+) -> tuple[str, str]:
+    """Raw snapshot files to two sorted parquet tables; skipped if they exist.
+
+    ``pre_transform`` maps edges and nodes before they are written.
+    """
     edge_path, node_path = f"{processed}/edge_data.parquet", f"{processed}/node_data.parquet"
     if overwrite or not (path_exists(spark, edge_path) and path_exists(spark, node_path)):
         edges = read_snapshots(spark, raw)
+        if pre_transform:
+            edges, nodes = pre_transform(edges, snapshot_nodes(edges, ends))
         edges.orderBy("timestamp", "src", "dst").write.mode("overwrite").parquet(edge_path)
-        snapshot_nodes(spark.read.parquet(edge_path), ends).orderBy("timestamp", "id").write.mode("overwrite").parquet(node_path)
+        nodes = nodes if pre_transform else snapshot_nodes(spark.read.parquet(edge_path), ends)
+        nodes.orderBy("timestamp", "id").write.mode("overwrite").parquet(node_path)
     return edge_path, node_path
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import metrics as M
 from tessera.operators import synchronise as sync
-from tessera.operators.affine import Frames, apply_frames, mean_patches
+from tessera.operators.affine import Frames, apply_frames, mean_patches, stored_patches
 from tessera.operators.alignment import (
     AlignmentProblem,
     SVDAlignmentProblem,
@@ -161,3 +161,33 @@ def test_measures(spark):
     assert M.transform_error(entries) == 0.5
     a = spark.createDataFrame([(0, [1.0, 0.0])], "node long, coords array<double>")
     assert M.procrustes_error(a, a, 2) is None
+
+
+def test_copies_are_independent_and_pair_transforms_are_asked(clouds):
+    truth, patches = clouds(2) if callable(clouds) else clouds[2]
+    asked = []
+
+    def transform(stats):
+        asked.append(len(stats.n))
+        return sync.relative_orthogonal(stats.cov)
+
+    problem = AlignmentProblem(patches, pair_transform=transform)
+    other = problem.copy()
+    problem.align_patches(scale=True)
+    assert asked == [len(problem.start.n)]
+    assert np.allclose(other.frames.rot, np.eye(2)) and not np.allclose(problem.frames.rot, np.eye(2))
+
+
+def test_unsettled_solvers_raise():
+    n = 40
+    i, j = np.arange(n - 1), np.arange(1, n)
+    with pytest.raises(RuntimeError):
+        sync._orthogonal_iteration(n, i, j, np.tile(np.eye(2), (n - 1, 1, 1)) * 0.5, 2, rounds=2)
+
+
+def test_stored_patches_are_read_in_any_frames(spark, tmp_path, rows):
+    path = str(tmp_path / "patches")
+    spark.createDataFrame([(0, 1, [1.0, 2.0]), (1, 1, [3.0, 4.0])], "patch_id int, node long, coords array<double>").write.parquet(path)
+    frames = Frames.identity([0, 1], 2).scaled(np.array([1.0, 2.0]))
+    assert rows(stored_patches(spark, path, frames)) == [(0, 1, [1.0, 2.0]), (1, 1, [6.0, 8.0])]
+    assert rows(stored_patches(spark, path, patch_ids=[1])) == [(1, 1, [3.0, 4.0])]

@@ -217,3 +217,17 @@ def test_division_has_no_silent_depth(spark):
     assert sizes == [1] * 24
     with pytest.raises(RuntimeError):
         C.hierarchical_divisive(g, peel, 1, max_depth=2)
+
+
+def test_modularity_arguments(spark):
+    ring = [(6 * c + a, 6 * c + b) for c in range(6) for a in range(6) for b in range(a + 1, 6)] + [(6 * c, (6 * c + 7) % 36) for c in range(6)]
+    graph = PropertyGraph.from_edges(spark.createDataFrame(ring, "src long, dst long"), directed=False)
+
+    def sizes(**kwargs):
+        return sorted(r.n for r in C.modularity_clusters(graph, **kwargs).groupBy("cluster").agg({"node": "count"}).toDF("cluster", "n").collect())
+
+    start = graph.nodes.selectExpr("id as node", "id div 6 as cluster")
+    assert sizes(initial=start, seed=5) == [6] * 6
+    assert len(sizes(initial=start, resolution=0.1)) < 6
+    with pytest.raises(RuntimeError):
+        C.modularity_clusters(graph, max_levels=0)

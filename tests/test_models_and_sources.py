@@ -200,3 +200,86 @@ def test_synthetic_points(spark):
     assert cluster_points(spark, 3, 2, 50).select("cluster").distinct().count() == 2
     with pytest.raises(ValueError):
         cluster_points(spark, 1)
+
+
+def test_vanishing_singular_values_are_completed(spark):
+    entries = spark.createDataFrame([(i, j, 1.0) for i in range(6) for j in range(100, 104)], "row long, col long, value double")
+    rows_, columns, values = bipartite_svd(entries, 2)
+    assert np.allclose(values, 0, atol=1e-7)
+    for side, degree in ((rows_, 4.0), (columns, 6.0)):
+        x = np.array([r.coords for r in side.orderBy("node").collect()]) * np.sqrt(degree)
+        assert np.allclose(x.T @ x, np.eye(2), atol=1e-8)
+        assert np.allclose(x.sum(0), 0, atol=1e-8)
+
+
+def test_training_callbacks():
+    src, dst = np.array([0, 1, 1, 2, 2, 3, 3, 0]), np.array([1, 0, 2, 1, 3, 2, 0, 3])
+    told, config = [], AutoEncoder(model="GAE", epochs=5, patience=1)
+    model = GraphModel(config, 6, src, dst, None)
+    doubled = model.train(
+        loss=lambda m, negatives, noise: tuple(2 * x if isinstance(x, float) else x for x in m.loss(negatives, noise)), validation=lambda m: 1.0, logger=told.append
+    )
+    plain = GraphModel(config, 6, src, dst, None).train()
+    assert doubled[0] == 2 * plain[0]
+    # The validation never improves after the first epoch, so training ends after the patience.
+    assert [t["epoch"] for t in told] == [1, 2, 3] and told[0]["val_loss"] == 1.0 and told[0]["loss"] == doubled[0]
+
+
+def test_citation_files(spark, tmp_path, rows):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "cora.content").write_text("".join(f"p{i}\t{i % 2}\t1\t{'ab'[i % 2]}\n" for i in range(60)))
+    (raw / "cora.cites").write_text("p1\tp0\np0\tp1\np2\tp0\np3\tp3\nunknown\tp1\n")
+    edges, nodes = get_dataset("Cora", spark, str(tmp_path)).tables()
+    assert rows(edges, "src", "dst") == [(0, 1), (0, 12), (1, 0), (12, 0)]
+    first = nodes.where("label = 'p1'").first()
+    assert (first.id, first.x, first.y, first.train_mask) == (1, [0, 1], 1, True)
+    assert nodes.where("train_mask").count() == 40 and nodes.where("val_mask").count() == 20 and nodes.where("test_mask").count() == 0
+
+
+def test_financial_archive(spark, tmp_path, rows):
+    path = tmp_path / "graph.npz"
+    np.savez(
+        path, edge_index=np.array([[0, 1], [1, 2]]), edge_type=np.array([3, 4]), edge_timestamp=np.array([0, 2]), x=np.ones((3, 2)), y=np.array([0, 1, 2]),
+        train_mask=np.array([0]), valid_mask=np.array([1]), test_mask=np.array([2]),
+    )
+    edges, nodes = get_dataset("DGraph", spark, str(tmp_path / "data"), source_file=str(path)).tables()
+    assert rows(edges, "timestamp", "src", "dst", "edge_type") == [(datetime(1970, 1, 1), 0, 1, 3), (datetime(1970, 1, 3), 1, 2, 4)]
+    assert rows(nodes, "id", "y", "train_mask", "val_mask", "test_mask") == [(0, 0, True, False, False), (1, 1, False, True, False), (2, 2, False, False, True)]
+    with pytest.raises(FileNotFoundError):
+        get_dataset("DGraph", spark, str(tmp_path / "other"), source_file="/nowhere.npz").tables()
+
+
+def test_snapshots_are_transformed_before_they_are_written(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "as19990101.txt").write_text("1\t2\n3\t4\n")
+    seen = []
+
+    def keep_first(edges, nodes):
+        seen.append(edges.count())
+        return edges.where("src = 0"), nodes.where("id = 0")
+
+    edges, nodes = get_dataset("as-733", spark, str(tmp_path), pre_transform=keep_first).tables()
+    assert seen == [2] and edges.count() == 1 and nodes.count() == 1
+
+
+def test_graphs_of_array_objects(spark, rows):
+    class Data:
+        edge_index = np.array([[0, 1], [1, 0]])
+        x = np.eye(3)
+
+    graph = convert.from_data(spark, Data())
+    assert not graph.directed and graph.num_nodes == 3 and rows(graph.edges) == [(0, 1), (1, 0)]
+    Data.edge_index, Data.x = np.array([[0], [2]]), None
+    assert convert.from_data(spark, Data()).directed
+
+
+def test_all_dates_at_once_equal_the_stacked_snapshots(spark, rows):
+    a, b = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    edges = spark.createDataFrame([(a, 1, 2, 0.5), (a, 1, 2, 0.1), (b, 2, 3, 0.2)], "timestamp timestamp_ntz, src long, dst long, f double")
+    nodes = spark.createDataFrame([(a, 1, 7.0), (b, 1, 8.0), (b, 2, 9.0)], "timestamp timestamp_ntz, id long, g double")
+    for n in (None, nodes):
+        together, stacked = convert.frames_by_date(edges, n), convert.frames_from_snapshots(list(convert.snapshots(edges, n)))
+        assert rows(together[0], "timestamp", "src", "dst", "f") == rows(stacked[0], "timestamp", "src", "dst", "f")
+        assert rows(together[1].select(*sorted(together[1].columns))) == rows(stacked[1].select(*sorted(stacked[1].columns)))
