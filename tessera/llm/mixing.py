@@ -25,6 +25,8 @@ from tessera.session import materialize
 
 PREFIX_DIGITS = 2
 HASH_DIGITS = 32
+# A class has many texts if it has at least this part, one in so many, of its source's.
+MANY_TEXTS = 20
 # Comes after every hexadecimal digit.
 BEYOND = "g"
 
@@ -131,27 +133,40 @@ def _draws(listed: DataFrame, plans: list[dict]) -> dict[Group, tuple[str, int]]
     """Hash limit of each (source, size class) and the size drawn below it.
 
     Every class of a source is to give the same part of what it has.  Whole
-    texts miss that by up to half a text each; what is missing then in total
-    is asked from the class with most texts among those that can give it.
+    texts miss that by up to half a text each.  What is missing then in total
+    is spread over the classes with many texts in proportion to their sizes,
+    and the little that their whole texts leave of it goes to the class with
+    most texts.
     """
     tree = _PrefixSums(listed)
     roots = tree.roots()
     have = {g: sum(t for _, t, _ in children) for g, children in roots.items()}
     texts = {g: sum(n for _, _, n in children) for g, children in roots.items()}
-    wanted = {}
-    for p in plans:
-        for g in (g for g in have if g[0] == p["source"]):
-            wanted[g] = have[g] * p["part"] // p["available"]
-    draws = _descend(tree, wanted)
-    corrected = {}
-    for p in plans:
-        classes = [g for g in wanted if g[0] == p["source"]]
-        missing = p["part"] - sum(draws[g][1] for g in classes)
-        able = [g for g in classes if 0 <= draws[g][1] + missing <= have[g]]
-        if missing and able:
+    by_source: dict[str, list[Group]] = {p["source"]: [] for p in plans}
+    for g in have:
+        by_source[g[0]].append(g)
+    part = {p["source"]: p["part"] for p in plans}
+    draws = _descend(tree, {g: have[g] * p["part"] // p["available"] for p in plans for g in by_source[p["source"]]})
+
+    def missing(source: str) -> int:
+        return part[source] - sum(draws[g][1] for g in by_source[source])
+
+    spread = {}
+    for source, classes in by_source.items():
+        many = [g for g in classes if texts[g] * MANY_TEXTS >= sum(texts[c] for c in classes)]
+        size, gap = sum(have[g] for g in many), missing(source)
+        for g in many if gap else []:
+            step = abs(gap) * have[g] // size
+            spread[g] = max(0, min(have[g], draws[g][1] + (step if gap > 0 else -step)))
+    draws |= _descend(tree, spread)
+    last = {}
+    for source, classes in by_source.items():
+        gap = missing(source)
+        able = [g for g in classes if 0 <= draws[g][1] + gap <= have[g]]
+        if gap and able:
             best = max(able, key=lambda g: (texts[g], g[1]))
-            corrected[best] = draws[best][1] + missing
-    return draws | _descend(tree, corrected)
+            last[best] = draws[best][1] + gap
+    return draws | _descend(tree, last)
 
 
 class _PrefixSums:

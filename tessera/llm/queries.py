@@ -249,13 +249,20 @@ WITH usable AS (
     coalesce(sum(n) FILTER (u.upto <= wanted OR (u.upto - n <= wanted AND u.upto - wanted < wanted - (u.upto - n))), 0)::BIGINT AS got
   FROM first_wants w JOIN upto u ON u.source = w.source AND u.stratum = w.stratum GROUP BY ALL
 ), missing AS (
-  SELECT *, part - sum(got) OVER (PARTITION BY source) AS missing FROM first_got
+  SELECT *, part - sum(got) OVER (PARTITION BY source) AS missing, texts * 20 >= sum(texts) OVER (PARTITION BY source) AS many FROM first_got
+), spread AS (
+  SELECT *, CASE WHEN many AND missing <> 0
+    THEN greatest(0, least(have, got + sign(missing) * (abs(missing)::HUGEINT * have // sum(have) FILTER (many) OVER (PARTITION BY source))))::BIGINT ELSE wanted END AS again
+  FROM missing
+), second_got AS (
+  SELECT w.source, w.stratum, w.have, w.texts, w.part, w.again,
+    coalesce(sum(n) FILTER (u.upto <= again OR (u.upto - n <= again AND u.upto - again < again - (u.upto - n))), 0)::BIGINT AS got
+  FROM spread w JOIN upto u ON u.source = w.source AND u.stratum = w.stratum GROUP BY ALL
+), gaps AS (
+  SELECT *, got + gap BETWEEN 0 AND have AS able FROM (SELECT *, part - sum(got) OVER (PARTITION BY source) AS gap FROM second_got)
 ), wants AS (
-  SELECT source, stratum, CASE WHEN missing <> 0 AND able AND r = 1 THEN got + missing ELSE wanted END AS wanted
-  FROM (
-    SELECT *, row_number() OVER (PARTITION BY source ORDER BY able DESC, texts DESC, stratum DESC) AS r
-    FROM (SELECT *, got + missing BETWEEN 0 AND have AS able FROM missing)
-  )
+  SELECT source, stratum, CASE WHEN gap <> 0 AND able AND r = 1 THEN got + gap ELSE again END AS wanted
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY able DESC, texts DESC, stratum DESC) AS r FROM gaps)
 ), extras AS (
   SELECT u.doc_id FROM upto u JOIN wants w ON w.source = u.source AND w.stratum = u.stratum
   WHERE u.upto <= wanted OR (u.upto - n <= wanted AND u.upto - wanted < wanted - (u.upto - n))
