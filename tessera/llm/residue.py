@@ -196,9 +196,9 @@ ASIDES = (
 )
 # Words of a sentence that talks about placeholders.
 MENTION = (
-    r"(?iu)\b(software|app settings|settings|einstellungen|serienbrief\w*|serial letter|merge fields?|mail merge|csv|import|array keys?|template|"
-    r"templates|vorlagen?|plantillas?|modèles? de|gabarits?|sjablo\w+|placeholders?|platzhalter|variables?|syntax|filled in correctly|"
-    r"prints? the real|richtig ein|ajustes|réglages|paramètres|instellingen|definições|configurações|fusion|combinar|"
+    r"(?iu)\b(software|app settings|settings|einstellungen|serienbrief\w*|merge fields?|mail merge|csv|import|array keys?|template|"
+    r"templates|vorlagen?|plantillas?|modèles? de|gabarits?|sjablo\w+|placeholders?|platzhalter|variables?|syntax|"
+    r"ajustes|réglages|paramètres|instellingen|definições|configurações|fusion|combinar|"
     r"correspondencia|champs?|campos?|velden|felder|seriebrief\w*|editor|script language|programming|source code)\b"
 )
 # A placeholder of any syntax, and several in a row.
@@ -432,11 +432,10 @@ def foreign_words(bodies: DataFrame, answers: DataFrame, documents: DataFrame, r
     # Counts are combined before the shuffle; a word of every record is one row a task.
     uses = used.groupBy("word").agg(F.count(F.lit(1)).alias("n")).unionByName(noticed.groupBy("word").agg((-F.count(F.lit(1))).alias("n")))
     uses = uses.groupBy("word").agg(F.sum("n").alias("n"))
-    total = records.agg(F.count(F.lit(1)).alias("total"))
+    ordinary = documents.count() * rules.ordinary_rate
     words = bodies.select("body", "n_own", F.explode("terms").alias("word"))
-    foreign = F.col("n") - F.col("n_own") <= F.col("total") * F.lit(rules.ordinary_rate)
-    # The total is one row.
-    return words.join(uses, "word").join(F.broadcast(total)).groupBy("body").agg(F.avg(foreign.cast("int")).alias("surprise"))
+    foreign = F.col("n") - F.col("n_own") <= F.lit(ordinary)
+    return words.join(uses, "word").groupBy("body").agg(F.avg(foreign.cast("int")).alias("surprise"))
 
 
 def residue_scores(documents: DataFrame, rules: ResidueRules = ResidueRules(), **columns: str) -> DataFrame:
