@@ -7,6 +7,8 @@ without that setting gets a folder of its own.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Read from ``spark.checkpoint.dir``, else from a checkpoint directory that
     was set on the context.  A local session without either gets a temporary
-    folder; a cluster session without either is an error, because a folder on
+    folder that ends with the process; a cluster session without either is an error, because a folder on
     one machine would be lost with it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = context.applicationId
     if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_DIRS[app] = "file://" + folder
     return _LOCAL_DIRS[app]
 
 
