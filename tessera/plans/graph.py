@@ -366,6 +366,17 @@ def effective_resistance(spark, d):
     return total.agg(F.round(F.sum(F.col("weight") * F.col("resistance")), 6).alias("foster_sum"))
 
 
+# In a tree the resistance of an edge is that of the edge alone, which is stored in both directions: two parallel ones.
+@query(
+    "effective_resistance_tree",
+    _tree_sql("DESC") + "SELECT u AS src, v AS dst, round(1 / (2 * weight), 9) AS resistance FROM tree UNION ALL SELECT v, u, round(1 / (2 * weight), 9) FROM tree",
+)
+def effective_resistance_tree(spark, d):
+    graph = nation_graph(spark, d)
+    tree = PropertyGraph(materialize(spanning_tree_edges(graph, maximise=True), "tree"), graph.nodes, False)
+    return S.effective_resistance(tree).select("src", "dst", F.round("resistance", 9).alias("resistance"))
+
+
 @query("resistance_sparsify")
 def resistance_sparsify(spark, d):
     return S.resistance_sparsify(nation_graph(spark, d), 6).edges
@@ -461,6 +472,27 @@ def fennel(spark, d):
     return _covers(graph, C.fennel(graph, 8))
 
 
+@query(
+    "fennel_nations",
+    f"""WITH RECURSIVE {NATIONS}, ids AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS t FROM (SELECT DISTINCT src AS id FROM nations)),
+near AS MATERIALIZED (SELECT a.t, list(b.t) AS adj FROM nations n JOIN ids a ON a.id = n.src JOIN ids b ON b.id = n.dst GROUP BY a.t),
+price AS MATERIALIZED (SELECT (SELECT count(*) FROM nations) * pow(4, 0.5) / pow(count(*), 1.5) AS price, ceil(1.1 * count(*) / 4) AS cap FROM ids),
+steps(t, labels) AS (
+  SELECT 0::BIGINT, []::INT[]
+  UNION ALL
+  SELECT t + 1, list_append(labels, (list_position(score, list_max(score)) - 1)::INT)
+  FROM (
+    SELECT s.t, s.labels, list_transform(range(4), lambda c: CASE WHEN len(list_filter(s.labels, lambda l: l = c)) >= cap THEN -1e300
+      ELSE len(list_filter(adj, lambda j: s.labels[j + 1] = c)) - price * 1.5 * pow(len(list_filter(s.labels, lambda l: l = c)), 0.5) END) AS score
+    FROM steps s JOIN near n ON n.t = s.t, price
+  )
+), done AS (SELECT labels FROM steps ORDER BY t DESC LIMIT 1)
+SELECT id AS node, (SELECT labels FROM done)[t + 1]::BIGINT AS cluster FROM ids""",
+)
+def fennel_nations(spark, d):
+    return C.fennel(nation_graph(spark, d), 4)
+
+
 @query("balanced_cut", _COVER_SQL)
 def balanced_cut(spark, d):
     graph = trade_graph(spark, d)
