@@ -16,6 +16,7 @@ from tessera.functions.vectors import vec_mean
 from tessera.schema import TRANSFORMS
 
 BROADCAST_CELLS = 1 << 20
+UNROLLED_DIM = 16
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,15 @@ def apply_frames(patches: DataFrame, frames: Frames) -> DataFrame:
     """
     table = frames.to_table(patches.sparkSession)
     dim = frames.shift.shape[1]
-    if len(frames.ids) * dim * (dim + 1) <= BROADCAST_CELLS:
+    small = len(frames.ids) * dim * (dim + 1) <= BROADCAST_CELLS
+    if dim > UNROLLED_DIM:
+        # The expression would have dim squared terms: turned rows and higher-order functions instead, in the same order of sums.
+        turned = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.transform("rot", lambda row: F.get(row, j)))
+        table = F.broadcast(table.withColumn("rot", turned)) if small else table.withColumn("rot", turned)
+        scaled = F.transform("coords", lambda v: v * F.col("scale"))
+        moved = F.zip_with("shift", "rot", lambda t, column: F.aggregate(F.zip_with("scaled", column, lambda v, r: v * r), t, lambda total, term: total + term))
+        return patches.join(table, "patch_id").withColumn("scaled", scaled).select("patch_id", "node", moved.alias("coords"))
+    if small:
         table = F.broadcast(table)
     x = [F.get("coords", F.lit(i)) * F.col("scale") for i in range(dim)]
     columns = []

@@ -176,6 +176,18 @@ def aligned_embedding_svd(spark, d):
     return _aligned("svd", spark, d)
 
 
+_WHOLE = 64
+_WHOLE_POINTS = POINTS.replace("embedding[1:8]", "embedding")
+_WHOLE_TRUTH = f"WITH {_WHOLE_POINTS} SELECT node, {flat_sql(dim=_WHOLE)} FROM points"
+
+
+@query("aligned_embedding_whole", _WHOLE_TRUTH)
+def aligned_embedding_whole(spark, d):
+    """All 64 dimensions, in three patches that share enough nodes for them."""
+    problem = get_aligner("sync", ring_patches(spark, d, _WHOLE, 3), dim=_WHOLE)
+    return problem.get_aligned_embedding(scale=True, frame_of=0).select("node", *flat(dim=_WHOLE))
+
+
 @query("aligned_embedding_median", _TRUTH)
 def aligned_embedding_median(spark, d):
     problem = get_aligner("sync", ring_patches(spark, d), dim=DIM).align_patches(scale=True)
@@ -267,10 +279,10 @@ def patches_json_round_trip(spark, d):
     return files.load_patches(spark, path).select("patch_id", "node", *flat(digits=6))
 
 
-@query("embedding_json_round_trip", _TRUTH)
+@query("embedding_json_round_trip", _WHOLE_TRUTH)
 def embedding_json_round_trip(spark, d):
-    path = files.save_embedding(points(spark, d), scratch_path(spark, "embedding"))
-    return files.load_embedding(spark, path).select("node", *flat())
+    path = files.save_embedding(points(spark, d, _WHOLE), scratch_path(spark, "embedding"))
+    return files.load_embedding(spark, path).select("node", *flat(dim=_WHOLE))
 
 
 # -- measures ---------------------------------------------------------------------------------------------
@@ -310,7 +322,7 @@ def transform_error(spark, d):
     return spark.createDataFrame([(round(M.transform_error(means), 6),)], "error double")
 
 
-_PAIRS = f"""WITH {POINTS}, pairs AS (
+_PAIRS = f"""WITH {_WHOLE_POINTS}, pairs AS (
   SELECT a.node AS src, b.node AS dst, a.coords AS x, b.coords AS y, CASE WHEN a.cluster = b.cluster THEN 1 ELSE 0 END AS label
   FROM points a JOIN points b ON b.node = a.node + 1
 )"""
@@ -324,7 +336,7 @@ def _pairs(spark, d) -> DataFrame:
 
 @query("distance_decoder", _PAIRS + " SELECT src, dst, round(exp(-list_distance(x, y)), 9) AS score FROM pairs")
 def distance_decoder(spark, d):
-    scores = distance_scores(points(spark, d).select("node", "coords"), _pairs(spark, d).select("src", "dst"))
+    scores = distance_scores(points(spark, d, _WHOLE).select("node", "coords"), _pairs(spark, d).select("src", "dst"))
     return scores.withColumn("score", F.round("score", 9))
 
 
@@ -337,7 +349,7 @@ w AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED P
 SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 9) AS auc FROM w""",
 )
 def auc_of_scores(spark, d):
-    scores = distance_scores(points(spark, d).select("node", "coords"), _pairs(spark, d), raw=True)
+    scores = distance_scores(points(spark, d, _WHOLE).select("node", "coords"), _pairs(spark, d), raw=True)
     value = M.auc(scores.withColumn("score", F.round("score", 1)))
     return spark.createDataFrame([(round(value, 9),)], "auc double")
 
@@ -405,11 +417,11 @@ def voronoi(spark, d):
 
 @query(
     "sql_vector_functions",
-    f"WITH {POINTS} SELECT node, round(list_dot_product(coords, coords), 6) AS dot, round(sqrt(list_dot_product(coords, coords)), 6) AS norm FROM points",
+    f"WITH {_WHOLE_POINTS} SELECT node, round(list_dot_product(coords, coords), 6) AS dot, round(sqrt(list_dot_product(coords, coords)), 6) AS norm FROM points",
 )
 def sql_vector_functions(spark, d):
     register_sql_functions(spark)
-    return points(spark, d).selectExpr("node", "round(vec_dot(coords, coords), 6) AS dot", "round(vec_norm(coords), 6) AS norm")
+    return points(spark, d, _WHOLE).selectExpr("node", "round(vec_dot(coords, coords), 6) AS dot", "round(vec_norm(coords), 6) AS norm")
 
 
 def queries() -> dict[str, Query]:

@@ -66,32 +66,32 @@ def points(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), coords.alias("coords"), F.col("label").cast("long").alias("cluster"))
 
 
-def ring_frames() -> Frames:
-    """Known frames of the ten patches; patch 0 keeps its coordinates."""
+def ring_frames(dim: int = DIM, ring: int = RING) -> Frames:
+    """Known frames of the patches of a ring; patch 0 keeps its coordinates."""
     scale, rot, shift = [], [], []
-    for p in range(RING):
-        g = np.eye(DIM)
-        for k in range(DIM - 1):
+    for p in range(ring):
+        g = np.eye(dim)
+        for k in range(dim - 1):
             angle = p * (k + 1)
-            turn = np.eye(DIM)
+            turn = np.eye(dim)
             turn[k, k] = turn[k + 1, k + 1] = np.cos(angle)
             turn[k, k + 1], turn[k + 1, k] = -np.sin(angle), np.sin(angle)
             g = g @ turn
         scale.append(1 + p / 4)
         rot.append(g.T)
-        shift.append(np.full(DIM, 10.0 * p))
-    return Frames(list(range(RING)), np.array(scale), np.array(rot), np.array(shift))
+        shift.append(np.full(dim, 10.0 * p))
+    return Frames(list(range(ring)), np.array(scale), np.array(rot), np.array(shift))
 
 
-def ring_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``patch_id, node, coords`` of ten overlapping patches of all points, in one frame."""
-    near = F.array(F.pmod("node", F.lit(RING)), F.pmod(F.col("node") - 1, F.lit(RING)))
-    return points(spark, sf_dir).select(F.explode(near).alias("patch_id"), "node", "coords").withColumn("patch_id", F.col("patch_id").cast("int"))
+def ring_members(spark: SparkSession, sf_dir: str, dim: int = DIM, ring: int = RING) -> DataFrame:
+    """``patch_id, node, coords`` of overlapping patches of all points, in one frame."""
+    near = F.array(F.pmod("node", F.lit(ring)), F.pmod(F.col("node") - 1, F.lit(ring)))
+    return points(spark, sf_dir, dim).select(F.explode(near).alias("patch_id"), "node", "coords").withColumn("patch_id", F.col("patch_id").cast("int"))
 
 
-def ring_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ring_patches(spark: SparkSession, sf_dir: str, dim: int = DIM, ring: int = RING) -> DataFrame:
     """The same patches, each in its own frame."""
-    return apply_frames(ring_members(spark, sf_dir), ring_frames())
+    return apply_frames(ring_members(spark, sf_dir, dim, ring), ring_frames(dim, ring))
 
 
 def usable_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
