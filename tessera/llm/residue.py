@@ -124,8 +124,8 @@ NEEDLESS = (
     r"(?u)\b(?:not|n't|never)\s+(?:need|require)|(?<!\p{L})(?:ne nécessite pas|no necesita|no requiere|não precisa|não requer)(?!\p{L})|"
     r"\b(?:benötigt|braucht|benötigen)\s+kein|\bgeen\b.*\bnodig\b"
 )
-# One pattern that any notice or filler has, and all words that both may have.
-CUES = _has(FAILURE + SCRIPTS + STAND_IN + ASKS + STAND_INS + [w for w in FILLER_WORDS if len(w) > 4]) + "|" + STATUS
+# What notices and filler have: one of these, or two of the concepts that combine.
+FILLER_CUES = _has(SCRIPTS + STAND_IN + STAND_INS + [w for w in FILLER_WORDS if len(w) > 4])
 VOCABULARY = _has(THING + FAILURE + REMEDY + SCRIPTS + NEED + STAND_IN + COPY + ASKS + PLAIN_WORDS + STAND_INS + FILLER_WORDS)
 # Page navigation and labels around a body.
 NAVIGATION = (
@@ -198,7 +198,7 @@ ASIDES = (
 MENTION = (
     r"(?iu)\b(software|app settings|settings|einstellungen|serienbrief\w*|merge fields?|mail merge|csv|import|array keys?|template|"
     r"templates|vorlagen?|plantillas?|modèles? de|gabarits?|sjablo\w+|placeholders?|platzhalter|variables?|syntax|"
-    r"ajustes|réglages|paramètres|instellingen|definições|configurações|fusion|combinar|"
+    r"filled (?:in|out)|ajustes|réglages|paramètres|instellingen|definições|configurações|fusion|combinar|"
     r"correspondencia|champs?|campos?|velden|felder|seriebrief\w*|editor|script language|programming|source code)\b"
 )
 # A placeholder of any syntax, and several in a row.
@@ -369,8 +369,16 @@ def _grammar(plain: Column, rules: ResidueRules) -> Column:
         return F.when(found, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 - own / F.lit(float(rules.few_words))))).otherwise(0.0)
 
     # Only texts with a cue, and with few enough words outside the whole vocabulary, can be more than 0: the others are not taken apart.
-    n, unknown = _count(plain), _count(F.regexp_replace(plain, VOCABULARY, " "))
-    possible = plain.rlike(CUES) & ((unknown <= allowed + (1 - rules.sentence_share) * n) | plain.rlike(r"(?u)(?<!\p{L})ipsum(?!\p{L})|[|›»>·]"))
+    cue = (
+        plain.rlike(FILLER_CUES)
+        | (plain.rlike(_has(FAILURE)) & plain.rlike(_has(THING + REMEDY)))
+        | (plain.rlike(_has(ASKS)) & plain.rlike(_has(COPY)))
+        | (plain.rlike("[45][0-9][0-9]") & plain.rlike("(?u)" + STATUS))
+    )
+    at_most = F.size(F.split(plain, r"[^\p{L}]+"))
+    unknown = _count(F.regexp_replace(plain, VOCABULARY, " "))
+    navigation = plain.rlike(r"(?u)(?<!\p{L})ipsum(?!\p{L})|[|›»>·]")
+    possible = cue & ((unknown <= allowed + (1 - rules.sentence_share) * at_most) | navigation)
     return F.when(possible, F.element_at(F.transform(F.array(sentences), weigh), 1)).otherwise(0.0)
 
 
