@@ -245,7 +245,7 @@ def learned_affine(spark, d):
 
 @query("learned_orthogonal_alignment", _RING_RECOVERED)
 def learned_orthogonal(spark, d):
-    problem = get_aligner("geo", _moved_ring(spark, d, True), dim=DIM, kind="orthogonal", num_epochs=6_000, learning_rate=0.02).align_patches()
+    problem = get_aligner("geo", _moved_ring(spark, d, True), dim=DIM, kind="orthogonal", num_epochs=6_000, learning_rate=0.005).align_patches()
     return _worst(spark, d, problem)
 
 

@@ -304,7 +304,12 @@ def _tree_sql(order: str, before: str = "", rows: str = "nations") -> str:
   SELECT src AS u, dst AS v, weight, row_number() OVER (ORDER BY weight {order}, src, dst) AS r FROM {rows} WHERE src < dst
 ), both_ways AS MATERIALIZED (SELECT u, v, r FROM ranked UNION ALL SELECT v, u, r FROM ranked),
 reach(a, b, top) USING KEY (a, b) AS (
-  SELECT u, v, r FROM both_ways
+  SELECT * FROM (
+    SELECT u, v, r FROM both_ways
+    UNION ALL
+    SELECT a.u, b.u, 1000000 FROM (SELECT DISTINCT u FROM both_ways) a, (SELECT DISTINCT u FROM both_ways) b
+    WHERE a.u <> b.u AND NOT EXISTS (SELECT 1 FROM both_ways e WHERE e.u = a.u AND e.v = b.u)
+  )
   UNION
   SELECT x.a, e.v, min(greatest(x.top, e.r)) FROM reach x JOIN both_ways e ON e.u = x.b JOIN recurring.reach k ON k.a = x.a AND k.b = e.v
   WHERE greatest(x.top, e.r) < k.top AND x.a <> e.v GROUP BY x.a, e.v
