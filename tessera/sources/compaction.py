@@ -94,7 +94,7 @@ class VersionedTable:
         note = json.loads(self.spark.read.text(f"{self.path}/_versions/{last:012d}.json").first()[0])
         if note["operation"] != "compact":
             raise ConflictError(f"version {last} of {self.path} is an unfinished {note['operation']}")
-        self._replace(note["schema"], note["staging"])
+        self._replace(note)
         self.finish(last)
         delete_path(self.spark, note["staging"])
         return True
@@ -200,7 +200,7 @@ class VersionedTable:
         except BaseException:
             delete_path(self.spark, staging)
             raise
-        self._replace(note["schema"], staging)
+        self._replace(note)
         self.finish(version)
         delete_path(self.spark, staging)
         files_after = self.files(plan).count()
@@ -239,7 +239,7 @@ class VersionedTable:
     def _staged(self, schema: str, path: str) -> DataFrame:
         return self.spark.read.schema(f"{schema}, {_SLOT} int").parquet(path).drop(_SLOT)
 
-    def _replace(self, schema: str, path: str) -> None:
+    def _replace(self, note: dict) -> None:
         """Dynamic overwrite: only partitions with staged rows are replaced.
 
         Every staged file is one read split and is written as one file.
@@ -251,7 +251,7 @@ class VersionedTable:
                 session.conf.set(k, v)
         for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
             session.conf.set(k, str(1 << 40))
-        staged = session.read.schema(f"{schema}, {_SLOT} int").parquet(path).drop(_SLOT)
+        staged = session.read.schema(f"{note['schema']}, {_SLOT} int").parquet(note["staging"]).drop(_SLOT)
         staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.partition_column).parquet(self.path)
 
     @staticmethod
