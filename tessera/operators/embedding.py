@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import gaussian
 from tessera.graph import PropertyGraph
+from tessera.operators.in_task import SparseRows, in_batches, in_one_task
 from tessera.session import materialize
 
 
@@ -274,90 +275,130 @@ def distance_scores(embedding: DataFrame, pairs: DataFrame, raw: bool = False) -
 
 # -- spectral -----------------------------------------------------------------------------------
 
-MAX_GRAM_ROWS = 8_000
-
-
 def bipartite_svd(entries: DataFrame, k: int, seed: int = 1) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """``(rows(node, coords), columns(node, coords), values)`` of a sparse table ``row, col, value``.
 
     The table is normalised by the square roots of its row and column sums; of
     its singular triplets the trivial first one is left out and the next k are
     kept, values ascending.  Coordinates are divided by the roots once more.
-    Signs are fixed by making each row vector's largest entry positive; columns
-    for singular values that vanish are completed orthonormally on both sides.
-    The Gram matrix of the smaller side is a self-join; it must have at most
-    ``MAX_GRAM_ROWS`` rows.
+    Signs are fixed by making the largest entry of each vector of the smaller
+    side positive; columns for singular values that vanish are completed
+    orthonormally on both sides.  It runs in one task, which has the table in
+    mapped files and some hundred vectors of the smaller side in memory; only
+    the values come to the driver.
+    """
+    rows = entries.groupBy(F.col("row").cast("long").alias("src"), F.col("col").cast("long").alias("dst")).agg(F.sum("value").cast("double").alias("weight")).where("weight <> 0")
+
+    def run(table: SparseRows) -> Iterator[pa.RecordBatch]:
+        sizes = [float(len(table.ids)), float(len(table.columns))]
+        values = []
+        if 1 <= k < min(sizes):
+            left, right, values = singular_triplets(table, k, seed)
+            for side, ids, x in ((0, table.ids, left), (1, table.columns, right)):
+                coords = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * k + 1, k, dtype=np.int32)), pa.array(x.ravel()))
+                yield from in_batches({"side": np.full(len(ids), side, np.int32), "node": ids, "coords": coords})
+        yield from in_batches({"side": np.array([2, 3], np.int32), "node": np.zeros(2, np.int64), "coords": pa.array([list(values), sizes], pa.list_(pa.float64()))})
+
+    found = materialize(in_one_task(rows, run, "side int, node long, coords array<double>", square=False), "triplets")
+    facts = {r["side"]: np.array(r["coords"]) for r in found.where("side >= 2").collect()}
+    if not 1 <= k < facts[3].min():
+        raise ValueError(f"k must be in [1, {int(facts[3].min())})")
+    return found.where("side = 0").select("node", "coords"), found.where("side = 1").select("node", "coords"), facts[2]
+
+
+def singular_triplets(table: SparseRows, k: int, seed: int = 1, basis: int = 192, rounds: int = 5_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coordinates of rows and columns and the values of :func:`bipartite_svd`.
+
+    Up to twice ``basis`` members of the smaller side the Gram matrix is solved
+    as a whole; beyond, by a block of vectors, so that equal values are all
+    found, whose space grows by the residuals and is cut to its best half at
+    ``basis`` vectors.  Vectors that have not settled after ``rounds`` are an error.
     """
-    rows = entries.groupBy("row", "col").agg(F.sum("value").alias("value")).where("value <> 0")
-    n_rows, n_cols = rows.agg(F.countDistinct("row"), F.countDistinct("col")).first()
-    if not 1 <= k < min(n_rows, n_cols):
-        raise ValueError(f"k must be in [1, {min(n_rows, n_cols)})")
-    if min(n_rows, n_cols) > MAX_GRAM_ROWS:
-        raise ValueError(f"the smaller side has more than {MAX_GRAM_ROWS} members")
+    n_rows, n_cols = len(table.ids), len(table.columns)
+    step = max(1 << 18, n_cols)
+    column_sums = np.zeros(n_cols)
+    for _, _, _, at in table.chunks(step):
+        column_sums += np.bincount(table.v[at], None if table.w is None else table.w[at], n_cols)
+    roots = np.sqrt(table.sums()), np.sqrt(column_sums)
+
+    def to_rows(x: np.ndarray) -> np.ndarray:
+        x, out = x / roots[1][:, None], np.zeros((n_rows, x.shape[1]))
+        for first, behind, each, at in table.chunks(step):
+            picked = x[table.v[at]]
+            if table.w is not None:
+                picked *= table.w[at, None]
+            out[first:behind] += np.add.reduceat(picked, np.cumsum(each) - each, axis=0)
+        return out / roots[0][:, None]
+
+    def to_columns(y: np.ndarray) -> np.ndarray:
+        y, out = y / roots[0][:, None], np.zeros((y.shape[1], n_cols))
+        for first, behind, each, at in table.chunks(step):
+            column = table.v[at].astype(np.int64)
+            for c in range(len(out)):
+                spread = np.repeat(y[first:behind, c], each)
+                out[c] += np.bincount(column, spread if table.w is None else spread * table.w[at], n_cols)
+        return out.T / roots[1][:, None]
+
     flipped = n_rows < n_cols
-    a = rows.select(F.col("row").alias("big"), F.col("col").alias("small"), "value") if not flipped else rows.select(F.col("col").alias("big"), F.col("row").alias("small"), "value")
-    big = a.groupBy("big").agg(F.sum("value").alias("db"))
-    small = a.groupBy("small").agg(F.sum("value").alias("ds"))
-    unit = a.join(big, "big").join(small, "small").select("big", "small", (F.col("value") / F.sqrt(F.col("db") * F.col("ds"))).alias("v"), "db", "ds")
-    gram = (
-        unit.select("big", F.col("small").alias("p"), F.col("v").alias("x"))
-        .join(unit.select("big", F.col("small").alias("q"), F.col("v").alias("y")), "big")
-        .groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
-        .toPandas()
-    )
-    degrees = small.toPandas().sort_values("small")
-    ids = degrees["small"].to_numpy()
-    m = np.zeros((len(ids), len(ids)))
-    m[np.searchsorted(ids, gram["p"].to_numpy()), np.searchsorted(ids, gram["q"].to_numpy())] = gram["g"]
-    trivial = np.sqrt(degrees["ds"].to_numpy(float))
-    trivial /= np.linalg.norm(trivial)
-    m = (m + m.T) / 2
-    # The trivial vector gets the eigenvalue -1, so it isn't among those of vanishing ones either.
-    m = m - np.outer(trivial, trivial) * (trivial @ m @ trivial + 1)
-    eigenvalues, vectors = np.linalg.eigh(m)
-    values, v = np.sqrt(np.maximum(eigenvalues[-k:], 0)), vectors[:, -k:]
-    v = v * np.where(v[np.abs(v).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
-    spark = entries.sparkSession
-    root = np.sqrt(degrees["ds"].to_numpy(float))
-    side = spark.createDataFrame([(int(i), x.tolist(), (x / r).tolist()) for i, x, r in zip(ids, v, root)], "small long, vec array<double>, coords array<double>")
+    to_big, to_small = (to_columns, to_rows) if flipped else (to_rows, to_columns)
+    small_root, big_root = roots if flipped else roots[::-1]
+    n = len(small_root)
+    trivial = (small_root / np.linalg.norm(small_root))[:, None]
+    rng = np.random.default_rng(seed)
+    block = k + 2
+    basis = max(basis, 4 * block)
+
+    def away(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Orthonormal columns away from those of ``q``; what vanishes becomes a random one."""
+        x = x / np.maximum(np.linalg.norm(x, axis=0), 1e-300)
+        while True:
+            for _ in range(3):
+                x = x - q @ (q.T @ x)
+                x, r = np.linalg.qr(x)
+                lost = np.abs(np.diag(r)) < 1e-12
+                if lost.any():
+                    break
+            else:
+                return x
+            x[:, lost] = rng.normal(size=(len(x), lost.sum()))
+
+    if n <= 2 * basis:
+        gram = np.concatenate([to_small(to_big(np.eye(n)[:, s : s + 64])) for s in range(0, n, 64)], 1)
+        gram = (gram + gram.T) / 2
+        # The trivial vector gets the eigenvalue -1, so it isn't among those of vanishing ones either.
+        gram -= trivial @ trivial.T * (1 + trivial.T @ gram @ trivial)
+        small = np.linalg.eigh(gram)[1][:, -k:]
+    else:
+        q = away(rng.normal(size=(n, block)), trivial)
+        g = to_small(to_big(q))
+        for _ in range(rounds):
+            h = q.T @ g
+            theta, y = np.linalg.eigh((h + h.T) / 2)
+            rest = g @ y[:, -block:] - q @ (y[:, -block:] * theta[-block:])
+            rest -= trivial @ (trivial.T @ rest)
+            if np.linalg.norm(rest[:, -k:], axis=0).max() <= 1e-10:
+                break
+            if q.shape[1] + block > basis:
+                q, g = q @ y[:, -basis // 2 :], g @ y[:, -basis // 2 :]
+                y = np.eye(q.shape[1])
+            more = away(rest, np.concatenate([trivial, q], 1))
+            q, g = np.concatenate([q, more], 1), np.concatenate([g, to_small(to_big(more))], 1)
+        else:
+            raise RuntimeError(f"the singular vectors have not settled after {rounds} rounds")
+        small = q @ y[:, -k:]
+    # The triplets of the chosen space, values from the table itself: those of the Gram matrix lose half the digits.
+    u, values, turn = np.linalg.svd(to_big(small), full_matrices=False)
+    big, values, small = u[:, ::-1].copy(), values[::-1].copy(), small @ turn.T[:, ::-1]
+    signs = np.where(small[np.abs(small).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
+    big, small = big * signs, small * signs
     gone = values < 1e-8
-    inv = [0.0 if g else 1 / s for g, s in zip(gone, values)]
-    sums = [F.sum(F.col("v") * F.get("vec", F.lit(c))) * F.lit(float(inv[c])) / F.sqrt(F.first("db")) for c in range(k)]
-    other = unit.join(F.broadcast(side) if len(ids) * k <= 1 << 20 else side, "small").groupBy("big").agg(F.array(*sums).alias("coords"))
-    if any(gone):
-        other = _completed(other, big, gone, seed)
-    small_side, big_side = side.select(F.col("small").alias("node"), "coords"), other.select(F.col("big").alias("node"), "coords")
-    return (small_side, big_side, values) if flipped else (big_side, small_side, values)
-
-
-def _completed(sides: DataFrame, degrees: DataFrame, gone: np.ndarray, seed: int) -> DataFrame:
-    """``big, coords`` with the columns ``gone`` replaced by ones orthonormal to all others and to the trivial one.
-
-    Hashed normal numbers are taken through Gram-Schmidt twice; an aggregate
-    a column is all that is collected.
-    """
-    k = len(gone)
-    root = F.sqrt(F.col("db"))
-    names = [f"u{c}" for c in range(k)]
-    table = sides.join(degrees, "big").select("big", "db", root.alias("trivial"), *[(F.get("coords", F.lit(c)) * root).alias(n) for c, n in enumerate(names)])
-    length = table.agg(F.sqrt(F.sum("db"))).first()[0]
-    table = table.withColumn("trivial", F.col("trivial") / F.lit(length))
-    done = ["trivial", *[n for n, g in zip(names, gone) if not g]]
-    for c in np.flatnonzero(gone):
-        name = names[c]
-        table = table.withColumn(name, gaussian(seed + int(c), F.col("big")))
-        for _ in range(2):
-            row = table.agg(*[F.sum(F.col(name) * F.col(d)).alias(d) for d in done]).first()
-            rest = F.col(name)
-            for d in done:
-                rest = rest - F.lit(float(row[d])) * F.col(d)
-            table = materialize(table.withColumn(name, rest), "completed")
-        norm = table.agg(F.sqrt(F.sum(F.col(name) * F.col(name)))).first()[0]
-        if norm < 1e-8:
+    if gone.any():
+        if len(big_root) <= k:
             raise ValueError("there is no further direction to complete the coordinates with")
-        table = table.withColumn(name, F.col(name) / F.lit(norm))
-        done.append(name)
-    return table.select("big", F.array(*[F.col(n) / root for n in names]).alias("coords"))
+        kept = np.concatenate([(big_root / np.linalg.norm(big_root))[:, None], big[:, ~gone]], 1)
+        big[:, gone] = away(rng.normal(size=(len(big), gone.sum())), kept)
+    small, big = small / small_root[:, None], big / big_root[:, None]
+    return (small, big, values) if flipped else (big, small, values)
 
 
 def orthonormal_completion(q: np.ndarray, k: int, seed: int = 1) -> np.ndarray:

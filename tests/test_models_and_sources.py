@@ -5,7 +5,8 @@ import pytest
 
 from tessera.functions.vectors import register_sql_functions
 from tessera.graph import PropertyGraph
-from tessera.operators.embedding import AutoEncoder, EarlyStopping, GraphModel, SpectralEmbedding, bipartite_svd, embed_graph, orthonormal_completion, patch_embeddings, rate_search
+from tessera.operators.embedding import AutoEncoder, EarlyStopping, GraphModel, SpectralEmbedding, bipartite_svd, embed_graph, orthonormal_completion, patch_embeddings, rate_search, singular_triplets
+from tessera.operators.in_task import SparseRows
 from tessera.operators.metrics import reconstruction_auc
 from tessera.operators.synthetic import cluster_points, random_frames
 from tessera.sources import convert, files
@@ -283,3 +284,26 @@ def test_all_dates_at_once_equal_the_stacked_snapshots(spark, rows):
         together, stacked = convert.frames_by_date(edges, n), convert.frames_from_snapshots(list(convert.snapshots(edges, n)))
         assert rows(together[0], "timestamp", "src", "dst", "f") == rows(stacked[0], "timestamp", "src", "dst", "f")
         assert rows(together[1].select(*sorted(together[1].columns))) == rows(stacked[1].select(*sorted(stacked[1].columns)))
+
+
+def test_singular_triplets_of_a_long_side_by_blocks():
+    rng = np.random.default_rng(4)
+    # Three equal components, so that every value is there three times and 1 twice more.
+    part = rng.random((70, 50)) * (rng.random((70, 50)) < 0.3) + np.eye(70, 50) * 0.1 + (np.arange(70)[:, None] % 50 == np.arange(50)) * 0.1
+    for table in (np.kron(np.eye(3), part), np.kron(np.eye(3), part).T):
+        row, col = np.nonzero(table)
+        start = np.searchsorted(row, np.arange(len(table) + 1))
+        rows_ = SparseRows(np.arange(len(table)), np.arange(table.shape[1]), start, col.astype(np.int32), table[row, col])
+        left, right, values = singular_triplets(rows_, 4, basis=48)
+        d1, d2 = table.sum(1), table.sum(0)
+        unit = table / np.sqrt(np.outer(d1, d2))
+        assert np.allclose(values, np.linalg.svd(unit)[1][1:5][::-1], atol=1e-9)
+        x, y = left * np.sqrt(d1)[:, None], right * np.sqrt(d2)[:, None]
+        assert np.allclose(x.T @ x, np.eye(4), atol=1e-8) and np.allclose(unit @ y, x * values, atol=1e-8)
+
+
+def test_bipartite_svd_collects_no_gram_matrix(spark):
+    # More members of the smaller side than the Gram matrix on the driver took.
+    entries = spark.range(9_000).selectExpr("id AS row", "explode(array(id, (id * 7 + 1) % 9000, (id * 31 + 5) % 9000)) AS col", "1D AS value")
+    rows_, columns, values = bipartite_svd(entries, 2)
+    assert rows_.count() == columns.count() == 9_000 and (values <= 1 + 1e-9).all()
