@@ -1,56 +1,81 @@
 """Hard partitions of a graph: ``partition(node, cluster)``.
 
-Greedy one-pass methods depend on the order of nodes.  They run exactly on
-graphs whose size was checked, in one task that holds the adjacency; beyond,
+Greedy one-pass methods depend on the order of nodes.  They run exactly, in one
+task that holds the state of all nodes and has the adjacency in mapped files;
 :func:`label_spread` and :func:`modularity_clusters` work in rounds on
 DataFrames.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.graph import PropertyGraph
 from tessera.operators.hot_keys import number_rows
+from tessera.operators.in_task import SparseRows, in_batches, in_one_task, mapped_zeros
 from tessera.session import materialize
 
-MAX_SEQUENTIAL_EDGES = 20_000_000
 MAX_CLUSTERS = 20_000
+MAX_QUOTIENT_IN_TASK = 2_000
 _PARTITION = "node long, cluster long"
+# Labels of all rows of a graph, divided into a number of clusters.
+LabelFunction = Callable[[SparseRows, int], np.ndarray]
 
 
-def _in_one_task(graph: PropertyGraph, kernel: Callable[..., np.ndarray], initial: DataFrame | None = None) -> DataFrame:
-    """Run a sequential kernel over sorted ids, edge arrays and initial labels of a graph of checked size.
-
-    Nodes without an initial label have -1.
-    """
-    m = graph.num_edges
-    if m > MAX_SEQUENTIAL_EDGES:
-        raise ValueError(f"{m} edges are too many for a sequential method, at most {MAX_SEQUENTIAL_EDGES}; use modularity_clusters or label_spread")
+def _graph_rows(graph: PropertyGraph, initial: DataFrame | None = None) -> DataFrame:
+    """``src, dst[, weight]``: the edges, and one row without ``dst`` for every node, whose weight is its initial label."""
     nodes = graph.nodes.select(F.col("id").alias("src"))
+    if not graph.weighted and initial is None:
+        return graph.edges.select("src", "dst").unionByName(nodes.withColumn("dst", F.lit(None).cast("long")))
     if initial is not None:
         nodes = nodes.join(initial.select(F.col("node").alias("src"), F.col("cluster").cast("double").alias("weight")), "src", "left")
     else:
         nodes = nodes.withColumn("weight", F.lit(None).cast("double"))
-    rows = graph.weighted_edges.select("src", "dst", "weight").unionByName(nodes.select("src", F.lit(None).cast("long").alias("dst"), "weight"))
+    return graph.weighted_edges.unionByName(nodes.select("src", F.lit(None).cast("long").alias("dst"), "weight"))
+
+
+def _in_one_task(graph: PropertyGraph, kernel: Callable[[SparseRows], np.ndarray], initial: DataFrame | None = None) -> DataFrame:
+    """Run a sequential kernel over the sorted rows of a graph.
+
+    Nodes without an initial label have -1.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = pdf[pdf["dst"].notna()].sort_values(["src", "dst"], kind="stable")
-        own = pdf[pdf["dst"].isna()].drop_duplicates("src").sort_values("src")
-        ids = own["src"].to_numpy(np.int64)
-        u = np.searchsorted(ids, edges["src"].to_numpy(np.int64))
-        v = np.searchsorted(ids, edges["dst"].to_numpy(np.int64))
-        start = own["weight"].fillna(-1).to_numpy(np.int64)
-        labels = kernel(ids, u, v, edges["weight"].to_numpy(float), start) if len(ids) else np.zeros(0, int)
-        return pd.DataFrame({"node": ids, "cluster": labels.astype(np.int64)})
+    def run(rows: SparseRows) -> Iterator[pa.RecordBatch]:
+        yield from in_batches({"node": rows.ids, "cluster": kernel(rows).astype(np.int64)})
 
-    return materialize(rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, _PARTITION), "partition")
+    return materialize(in_one_task(_graph_rows(graph, initial), run, _PARTITION), "partition")
+
+
+def _fennel_labels(
+    rows: SparseRows, k: int, load_limit: float = 1.1, alpha: float | None = None, gamma: float = 1.5, num_iters: int = 1, label: np.ndarray | None = None
+) -> np.ndarray:
+    n, m = len(rows.ids), len(rows.v)
+    price = alpha if alpha is not None else (m * k ** (gamma - 1) / n**gamma if n else 0.0)
+    cap = max(1, int(np.ceil(load_limit * n / k)))
+    start, v = rows.start.tolist(), rows.v
+    label = np.full(n, -1) if label is None else label.copy()
+    size = np.bincount(label[label >= 0], minlength=k)
+    for _ in range(max(1, num_iters)):
+        moved = False
+        for node in range(n):
+            near = label[v[start[node] : start[node + 1]]]
+            old = label[node]
+            if old >= 0:
+                size[old] -= 1
+            score = np.bincount(near[near >= 0], minlength=k) - price * gamma * size ** (gamma - 1)
+            score[size >= cap] = -np.inf
+            new = int(score.argmax())
+            size[new] += 1
+            label[node] = new
+            moved |= new != old
+        if not moved:
+            break
+    return label
 
 
 def fennel(
@@ -65,32 +90,11 @@ def fennel(
     the smaller cluster number.  ``initial(node, cluster)`` with clusters below
     k is where the first pass starts from.
     """
-    n, m = graph.num_nodes, graph.num_edges
-    price = alpha if alpha is not None else (m * k ** (gamma - 1) / n**gamma if n else 0.0)
-    cap = max(1, int(np.ceil(load_limit * n / k)))
+    return _in_one_task(graph, lambda rows: _fennel_labels(rows, k, load_limit, alpha, gamma, num_iters, rows.own), initial)
 
-    def kernel(ids, u, v, w, label):
-        start = np.searchsorted(u, np.arange(len(ids) + 1))
-        label = label.copy()
-        size = np.bincount(label[label >= 0], minlength=k)
-        for _ in range(max(1, num_iters)):
-            moved = False
-            for node in range(len(ids)):
-                near = label[v[start[node] : start[node + 1]]]
-                old = label[node]
-                if old >= 0:
-                    size[old] -= 1
-                score = np.bincount(near[near >= 0], minlength=k) - price * gamma * size ** (gamma - 1)
-                score[size >= cap] = -np.inf
-                new = int(score.argmax())
-                size[new] += 1
-                label[node] = new
-                moved |= new != old
-            if not moved:
-                break
-        return label
 
-    return _in_one_task(graph, kernel, initial)
+# Methods with labels in a task can be applied to many parts of a graph without a job for each.
+fennel.in_task = _fennel_labels
 
 
 def balanced_cut(graph: PropertyGraph, k: int, load_limit: float = 1.05, passes: int = 10) -> DataFrame:
@@ -99,16 +103,17 @@ def balanced_cut(graph: PropertyGraph, k: int, load_limit: float = 1.05, passes:
     Restreamed :func:`fennel` and then boundary refinement: a node moves to the
     part that holds most of its neighbours if that part has room.
     """
-    cap = max(1, int(np.ceil(load_limit * graph.num_nodes / k)))
 
-    def kernel(ids, u, v, w, label):
-        start = np.searchsorted(u, np.arange(len(ids) + 1))
-        label = label.copy()
+    def kernel(rows: SparseRows) -> np.ndarray:
+        cap = max(1, int(np.ceil(load_limit * len(rows.ids) / k)))
+        start, v, w = rows.start.tolist(), rows.v, rows.w
+        label = _fennel_labels(rows, k, load_limit, num_iters=passes)
         size = np.bincount(label, minlength=k)
         for _ in range(passes):
             moved = 0
-            for node in range(len(ids)):
-                pull = np.bincount(label[v[start[node] : start[node + 1]]], w[start[node] : start[node + 1]], k)
+            for node in range(len(rows.ids)):
+                at = slice(start[node], start[node + 1])
+                pull = np.bincount(label[v[at]], None if w is None else w[at], k)
                 old = label[node]
                 allowed = size < cap
                 allowed[old] = True
@@ -122,7 +127,7 @@ def balanced_cut(graph: PropertyGraph, k: int, load_limit: float = 1.05, passes:
                 break
         return label
 
-    return _in_one_task(graph, kernel, fennel(graph, k, load_limit, num_iters=passes))
+    return _in_one_task(graph, kernel)
 
 
 def spread(graph: PropertyGraph, k: int, seed: int | None = None) -> DataFrame:
@@ -134,55 +139,78 @@ def spread(graph: PropertyGraph, k: int, seed: int | None = None) -> DataFrame:
     opens at the unassigned node of highest degree.  Ties go to the lower id.
     """
 
-    def kernel(ids, u, v, w, _):
-        n = len(ids)
-        start = np.searchsorted(u, np.arange(n + 1))
-        degree = np.diff(start)
-        strength = np.bincount(u, w, n)
+    def kernel(rows: SparseRows) -> np.ndarray:
+        n, start, v, w = len(rows.ids), rows.start.tolist(), rows.v, rows.w
+        degree, strength = np.diff(rows.start), rows.sums()
         strength[strength == 0] = 1.0
+        by_degree = np.lexsort((rows.ids, -degree))
         if seed is None:
-            seeds = np.lexsort((ids, -degree))[: min(k, n)]
+            seeds = by_degree[: min(k, n)]
         else:
             draw = np.log(np.maximum(degree, 1e-12)) + np.random.default_rng(seed).gumbel(size=n)
             seeds = np.argsort(-draw, kind="stable")[: min(k, n)]
         label = np.full(n, -1)
-        ties: list[dict[int, float]] = []
-        # Strongest ties first; an entry counts only while it has the current tie of its node.
-        queues: list[list[tuple[float, int]]] = []
-
-        def take(node: int, cluster: int) -> None:
+        # Ties by cluster and node, and an upper bound of them for each block of nodes.
+        width = 1024
+        blocks = -(-n // width)
+        ties = mapped_zeros((len(seeds), blocks * width))
+        none = 0.0 if w is None or all((w[at] > 0).all() for *_, at in rows.chunks()) else -np.inf
+        if none:
+            ties[:] = none
+        most = np.full((len(seeds), blocks), none)
+
+        def take(node: int, cluster: int, r: int) -> None:
             label[node] = cluster
-            for t in ties:
-                t.pop(node, None)
-            for e in range(start[node], start[node + 1]):
-                other = int(v[e])
-                if label[other] < 0:
-                    ties[cluster][other] = ties[cluster].get(other, 0.0) + w[e] / strength[other]
-                    heapq.heappush(queues[cluster], (-ties[cluster][other], other))
-
-        for c, node in enumerate(seeds):
-            label[node] = c
+            ties[:, node] = none
+            near = v[start[node] : start[node + 1]]
+            free = label[near] < 0
+            near = near[free]
+            if not len(near):
+                return
+            gain = (1.0 if w is None else w[start[node] : start[node + 1]][free]) / strength[near]
+            own = ties[r]
+            if (near[1:] == near[:-1]).any():
+                own[near[own[near] == none]] = 0.0
+                np.add.at(own, near, gain)
+                tied = own[near]
+            else:
+                tied = own[near]
+                tied[tied == none] = 0.0
+                tied += gain
+                own[near] = tied
+            np.maximum.at(most[r], near // width, tied)
+
+        def strongest(r: int) -> int:
+            while True:
+                b = int(most[r].argmax())
+                if most[r, b] == none:
+                    return -1
+                node = b * width + int(ties[r, b * width : (b + 1) * width].argmax())
+                if ties[r, node] == most[r, b]:
+                    return node
+                most[r, b] = ties[r, node]
+
+        label[seeds] = np.arange(len(seeds))
         for c, node in enumerate(seeds):
-            ties.append({})
-            queues.append([])
-        for c, node in enumerate(seeds):
-            take(int(node), c)
-        left = int((label < 0).sum())
+            take(int(node), c, c)
+        # A cluster without ties gains none any more, and its row is empty.
+        live, opened, place = [(c, c) for c in range(len(seeds))], len(seeds), 0
+        left = n - len(seeds)
         while left:
-            grew = False
-            for c in range(len(ties)):
-                if ties[c] and left:
-                    tie, node = heapq.heappop(queues[c])
-                    while ties[c].get(node) != -tie:
-                        tie, node = heapq.heappop(queues[c])
-                    take(node, c)
+            growing = []
+            for c, r in live:
+                node = strongest(r) if left else -1
+                if node >= 0:
+                    take(node, c, r)
                     left -= 1
-                    grew = True
-            if not grew and left:
-                free = np.flatnonzero(label < 0)
-                ties.append({})
-                queues.append([])
-                take(int(free[np.lexsort((ids[free], -degree[free]))[0]]), len(ties) - 1)
+                    growing.append((c, r))
+            live = growing
+            if not live and left:
+                while label[by_degree[place]] >= 0:
+                    place += 1
+                take(int(by_degree[place]), opened, 0)
+                live = [(opened, 0)]
+                opened += 1
                 left -= 1
         return label
 
@@ -329,6 +357,8 @@ def hierarchical_agglomerative(graph: PropertyGraph, cluster: ClusterFunction, b
         factor = max(2, round(graph.num_nodes ** (1 / (levels + 1))))
         branch_factors = [factor] * levels
     sizes = list(np.cumprod(branch_factors))[::-1]
+    if hasattr(cluster, "in_task") and sizes and sizes[0] <= MAX_QUOTIENT_IN_TASK:
+        return _agglomerated_in_task(graph, cluster.in_task, [int(size) for size in sizes])
     out, current = [], graph
     for size in sizes:
         level = cluster(current, int(size))
@@ -337,6 +367,17 @@ def hierarchical_agglomerative(graph: PropertyGraph, cluster: ClusterFunction, b
     return out
 
 
+def _agglomerated_in_task(graph: PropertyGraph, labels_of: LabelFunction, sizes: list[int]) -> list[DataFrame]:
+    def run(rows: SparseRows) -> Iterator[pa.RecordBatch]:
+        for level, size in enumerate(sizes):
+            label = labels_of(rows, size).astype(np.int64)
+            yield from in_batches({"level": np.full(len(label), level, np.int32), "node": rows.ids, "cluster": label})
+            rows = rows.quotient(label)
+
+    levels = materialize(in_one_task(_graph_rows(graph), run, "level int, node long, cluster long"), "levels")
+    return [levels.where(F.col("level") == level).select("node", "cluster") for level in range(len(sizes))]
+
+
 def compose_hierarchy(hierarchy: list[DataFrame]) -> DataFrame:
     """The clusters of the last level as a partition of the first level's nodes."""
     whole = hierarchy[0].select("node", "cluster")
@@ -352,6 +393,8 @@ def hierarchical_divisive(graph: PropertyGraph, cluster: ClusterFunction, max_si
     cluster that its method doesn't divide stays as it is.  If ``max_depth`` is
     given and larger clusters could still be divided there, it raises.
     """
+    if hasattr(cluster, "in_task") and max_depth is None:
+        return _divided_in_task(graph, cluster.in_task, max_size, branches)
     state = materialize(cluster(graph, branches).select("node", F.col("cluster").cast("string").alias("path")), "divisive")
     depth = 0
     undivided: set[str] = set()
@@ -377,6 +420,29 @@ def hierarchical_divisive(graph: PropertyGraph, cluster: ClusterFunction, max_si
     return state
 
 
+def _divided_in_task(graph: PropertyGraph, labels_of: LabelFunction, max_size: int, branches: int) -> DataFrame:
+    def run(rows: SparseRows) -> Iterator[pa.RecordBatch]:
+        paths, names = np.zeros(len(rows.ids), np.int64), []
+        # A part, its positions in the whole and its path; the whole is always divided, even into one.
+        waiting = [(rows, np.arange(len(rows.ids)), "")]
+        while waiting:
+            part, at, path = waiting.pop()
+            label = labels_of(part, branches)
+            found = np.unique(label)
+            if path and len(found) < 2:
+                continue
+            for c in found:
+                inside = np.flatnonzero(label == c)
+                names.append(f"{path}/{c}" if path else str(c))
+                paths[at[inside]] = len(names) - 1
+                if len(inside) > max_size:
+                    waiting.append((part.induced(inside), at[inside], names[-1]))
+        path = pa.DictionaryArray.from_arrays(pa.array(paths.astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
+        yield from in_batches({"node": rows.ids, "path": path})
+
+    return materialize(in_one_task(_graph_rows(graph), run, "node long, path string"), "divisive")
+
+
 def partition_index(partition: DataFrame) -> DataFrame:
     """``cluster, nodes`` with the sorted nodes of each cluster."""
     return partition.groupBy("cluster").agg(F.sort_array(F.collect_list("node")).alias("nodes"))

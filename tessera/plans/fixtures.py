@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.graph import PropertyGraph
 from tessera.operators.affine import Frames, apply_frames
+from tessera.session import materialize
 
 SUPPLIER_BASE = 1_000_000
 NATION_BASE = 2_000_000
@@ -27,6 +28,14 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph.from_edges(pairs.distinct(), directed=False)
 
 
+def stored_trade_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The same with its pairs written once, for methods that read the graph several times."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + SUPPLIER_BASE).alias("dst"))
+    pairs = materialize(items.distinct(), "trade-pairs")
+    nodes = materialize(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct(), "trade-nodes")
+    return PropertyGraph.from_edges(pairs, nodes, directed=False)
+
+
 def nation_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Nations by the number of line items between their customers and suppliers, undirected and weighted."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("a"))

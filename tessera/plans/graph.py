@@ -26,6 +26,7 @@ from tessera.plans.fixtures import (
     points,
     snapshot_graph,
     table,
+    stored_trade_graph,
     trade_graph,
 )
 from tessera.session import materialize, scratch_path
@@ -473,7 +474,7 @@ _NATION_COVER_SQL = f"WITH {NATIONS}, n AS (SELECT count(DISTINCT src) AS n FROM
 
 @query("fennel", _COVER_SQL)
 def fennel(spark, d):
-    graph = trade_graph(spark, d)
+    graph = stored_trade_graph(spark, d)
     return _covers(graph, C.fennel(graph, 8))
 
 

@@ -231,3 +231,23 @@ def test_modularity_arguments(spark):
     assert len(sizes(initial=start, resolution=0.1)) < 6
     with pytest.raises(RuntimeError):
         C.modularity_clusters(graph, max_levels=0)
+
+
+@pytest.mark.parametrize("method", [C.fennel, C.balanced_cut, C.spread])
+def test_sequential_methods_take_any_number_of_edges(spark, monkeypatch, method):
+    monkeypatch.setattr(C, "MAX_SEQUENTIAL_EDGES", 10, raising=False)
+    g, label = communities(spark)
+    assert sorted(by_node(method(g, 3))) == list(range(36))
+
+
+def test_hierarchies_in_one_task_equal_those_by_jobs(spark, monkeypatch):
+    monkeypatch.setattr(C, "MAX_SEQUENTIAL_EDGES", 10, raising=False)
+    g, _ = communities(spark)
+
+    def by_jobs(graph, k):
+        return C.fennel(graph, k)
+
+    divided, apart = (C.hierarchical_divisive(g, method, 10) for method in (C.fennel, by_jobs))
+    assert {tuple(r) for r in divided.collect()} == {tuple(r) for r in apart.collect()}
+    for one, other in zip(C.hierarchical_agglomerative(g, C.fennel, [2, 3]), C.hierarchical_agglomerative(g, by_jobs, [2, 3])):
+        assert by_node(one) == by_node(other)
