@@ -13,9 +13,10 @@ vector, so the number of reranked rows follows the list and has no cap.
 Each query first searches its own cell.  The k-th distance found there bounds
 which other cells can hold anything closer: by the radius of a cell, and by the
 hyperplane between its centre and the query's nearest centre.  In many
-dimensions these bounds exclude little; so the cells are also taken in the
-order of their centres' distance, and only as many of them as hold the wanted
-share of the true neighbours of sampled queries, which are searched exactly.
+dimensions these bounds exclude little; where a share of the true neighbours is
+enough, the cells are also taken in the order of their centres' distance, and
+only as many of them as hold that share for sampled queries, which are searched
+exactly.
 Codebooks are fitted on a bounded sample; every vector is encoded and searched.
 """
 
@@ -45,7 +46,7 @@ class SearchParameters:
     entries: int = 256
     beam: int = 4
     deviations: float = 3.0  # of a reconstruction's error that the bounds allow for; from the root of the dimension on they are exact
-    recall: float = 0.9995  # share of the sampled queries' true neighbours that the probed cells hold; 1.0 probes by the exact bounds alone
+    recall: float = 1.0  # 1.0 probes by the exact bounds alone; below, the share of the sampled queries' true neighbours that the probed cells hold
     probe_queries: int = 1_024  # sampled queries
     block_rows: int = 2_048  # rows of a list that are scored together
     query_rows: int = 8_192  # queries that are scored together
@@ -322,8 +323,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, p: SearchParameters = Sea
 
     ``vectors(node, vector)`` with unique nodes and usable vectors of one
     length.  Distances are Euclidean and exact; ties go to the smaller node.
-    A true neighbour may be missed where the cells probed don't hold it
-    (``p.recall``) or, beyond ``p.deviations`` squared dimensions, where a
+    A true neighbour may be missed only if ``p.recall`` is below 1 and the
+    cells probed don't hold it, or, beyond ``p.deviations`` squared dimensions, where a
     reconstruction errs in a rare direction.
     Nodes with the same vector are indexed once; each of them still gets the
     others as neighbours at distance 0, without the pairs of such a group

@@ -1,6 +1,10 @@
+from pathlib import Path
+
+import duckdb
 import numpy as np
 import pytest
 
+from tessera.llm.queries import oracle_sql, p4_found
 from tessera.llm.quantised_search import QuantisedList, SearchParameters, fit_codebooks, nearest_neighbours, neighbour_pairs
 
 VECTORS = "node long, vector array<double>"
@@ -138,3 +142,13 @@ def test_probes_are_bounded_where_the_bounds_exclude_nothing(spark):
     asked = index.select(F.col("node").alias("query"), F.col("vector").alias("qvector"), "cell", F.lit(1e6).alias("bound"))
     few = _other_cells(asked, shared, np.full(40, 50), np.full(40, 20.0), 5, probes).count()
     assert few <= 2000 * (probes - 1) < 2000 * 39
+
+
+def test_pairs_of_the_test_tables_equal_their_sql(spark):
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no test tables")
+    connection = duckdb.connect()
+    connection.execute(f"create view patch as select * from '{folder}/patch.parquet'")
+    wanted = connection.execute(oracle_sql()["p4_found"]).fetchall()
+    assert sorted(map(tuple, p4_found(spark, str(folder)).collect())) == sorted(wanted)
