@@ -10,10 +10,9 @@ distance; the flow on that graph is squared, inflated and pruned until it
 stands.  Rows that keep flow are attractors, each cell belongs to the attractor
 of its strongest flow.
 
-A column keeps its strongest entries only, so a round costs a number of
-products per column that doesn't depend on the size of its group.  Columns of
-one group may then settle on different attractors; those that the graph links
-are one system, which the links decide exactly.
+A column keeps all its entries unless a number is given.  Columns of one group
+may settle on different attractors; those that the graph links are one system,
+which the links decide exactly.
 """
 
 from __future__ import annotations
@@ -28,7 +27,6 @@ from tessera.schema import pick
 from tessera.session import materialize, replace_table
 
 BLOCK_DIMS = 3
-COLUMN_ENTRIES = 6
 
 
 def grid_cells(vectors: DataFrame, dim: int, gap: float) -> tuple[DataFrame, DataFrame]:
@@ -85,19 +83,20 @@ def similarity_links(cells: DataFrame, dim: int, link: float) -> DataFrame:
     )
 
 
-def _pruned(entries: DataFrame, prune: float, column_entries: int) -> DataFrame:
-    """The strongest ``column_entries`` entries of each column that reach ``prune`` times its largest, summing up to one.
+def _pruned(entries: DataFrame, prune: float, column_entries: int | None) -> DataFrame:
+    """The entries of each column that reach ``prune`` times its largest, summing up to one.
 
-    Ties go to the smaller row.
+    If ``column_entries`` is given, only so many of the strongest; ties go to the smaller row.
     """
-    strongest = Window.partitionBy("j").orderBy(F.desc("v"), "i")
     whole = Window.partitionBy("j")
-    ranked = entries.withColumn("r", F.row_number().over(strongest)).where(F.col("r") <= column_entries)
-    kept = ranked.withColumn("top", F.max("v").over(whole)).where(F.col("v") >= F.col("top") * F.lit(prune))
+    if column_entries is not None:
+        strongest = Window.partitionBy("j").orderBy(F.desc("v"), "i")
+        entries = entries.withColumn("r", F.row_number().over(strongest)).where(F.col("r") <= column_entries)
+    kept = entries.withColumn("top", F.max("v").over(whole)).where(F.col("v") >= F.col("top") * F.lit(prune))
     return kept.select("i", "j", (F.col("v") / F.sum("v").over(whole)).alias("v"))
 
 
-def flow_matrix(cells: DataFrame, links: DataFrame, link: float, column_entries: int = COLUMN_ENTRIES) -> DataFrame:
+def flow_matrix(cells: DataFrame, links: DataFrame, link: float, column_entries: int | None = None) -> DataFrame:
     """``i, j, v``: the flow from j to i by similarity and weight of the target, with loops."""
     weight = F.exp(-F.pow(F.col("d") / F.lit(link), 2))
     mass = cells.select("cell", F.col("mass").cast("double").alias("m"))
@@ -111,7 +110,7 @@ def flow_matrix(cells: DataFrame, links: DataFrame, link: float, column_entries:
     return _pruned(linked.unionByName(loops), 0.0, column_entries)
 
 
-def markov_step(flow: DataFrame, inflation: float, prune: float, column_entries: int = COLUMN_ENTRIES) -> DataFrame:
+def markov_step(flow: DataFrame, inflation: float, prune: float, column_entries: int | None = None) -> DataFrame:
     """Square, inflate, prune, normalise.
 
     The products are put together by column once; sums, ranks and norms of a
@@ -131,7 +130,7 @@ def markov_clusters(
     inflation: float = 2.0,
     prune: float = 1e-3,
     max_rounds: int = 60,
-    column_entries: int = COLUMN_ENTRIES,
+    column_entries: int | None = None,
     links_decide: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """``labels(cell, label)`` and ``strength(cell, flow)``.

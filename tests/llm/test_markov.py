@@ -103,3 +103,10 @@ def test_usable_vectors(spark):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "patch_id int, node long, coordinates array<double>, vector int, NODE int")
     got = {r.node: r.vector[0] for r in node_vectors(df).collect()}
     assert got == {1: 2.0, 3: 1.0, 6: 3.0}
+
+
+def test_a_column_keeps_all_its_entries(spark):
+    cells = spark.createDataFrame([(i, 1) for i in range(10)], "cell long, mass long")
+    links = spark.createDataFrame([(a, b, 0.5) for a in range(10) for b in range(a + 1, 10)], "a long, b long, d double")
+    flow = markov_step(flow_matrix(cells, links, 2.0), 2.0, 1e-3)
+    assert {r["count"] for r in flow.groupBy("j").count().collect()} == {10}
