@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.graph import PropertyGraph
-from tessera.operators.in_task import SparseRows, in_batches, in_one_task
+from tessera.operators.in_task import RowSums, SparseRows, in_batches, in_one_task
 from tessera.session import materialize
 
 
@@ -312,41 +312,27 @@ def singular_triplets(table: SparseRows, k: int, seed: int = 1, basis: int = 192
     Up to twice ``basis`` members of the smaller side the Gram matrix is solved
     as a whole; beyond, by a block of vectors, so that equal values are all
     found, whose space grows by the residuals and is cut to its best half at
-    ``basis`` vectors.  Vectors that have not settled after ``rounds`` are an error.
+    ``basis`` vectors, fewer on a side of more than 2^25 / ``basis`` members.
+    Once it was cut it grows only by the residuals that have not settled.  Vectors that have not settled after ``rounds`` are an error.
     """
-    n_rows, n_cols = len(table.ids), len(table.columns)
-    step = max(1 << 18, n_cols)
-    column_sums = np.zeros(n_cols)
-    for _, _, _, at in table.chunks(step):
-        column_sums += np.bincount(table.v[at], None if table.w is None else table.w[at], n_cols)
-    roots = np.sqrt(table.sums()), np.sqrt(column_sums)
+    turned = table.turned()
+    roots = np.sqrt(table.sums()), np.sqrt(turned.sums())
+    products = RowSums(table), RowSums(turned)
 
     def to_rows(x: np.ndarray) -> np.ndarray:
-        x, out = x / roots[1][:, None], np.zeros((n_rows, x.shape[1]))
-        for first, behind, each, at in table.chunks(step):
-            picked = x[table.v[at]]
-            if table.w is not None:
-                picked *= table.w[at, None]
-            out[first:behind] += np.add.reduceat(picked, np.cumsum(each) - each, axis=0)
-        return out / roots[0][:, None]
+        return products[0](x / roots[1][:, None]) / roots[0][:, None]
 
     def to_columns(y: np.ndarray) -> np.ndarray:
-        y, out = y / roots[0][:, None], np.zeros((y.shape[1], n_cols))
-        for first, behind, each, at in table.chunks(step):
-            column = table.v[at].astype(np.int64)
-            for c in range(len(out)):
-                spread = np.repeat(y[first:behind, c], each)
-                out[c] += np.bincount(column, spread if table.w is None else spread * table.w[at], n_cols)
-        return out.T / roots[1][:, None]
-
-    flipped = n_rows < n_cols
+        return products[1](y / roots[0][:, None]) / roots[1][:, None]
+
+    flipped = len(table.ids) < len(table.columns)
     to_big, to_small = (to_columns, to_rows) if flipped else (to_rows, to_columns)
     small_root, big_root = roots if flipped else roots[::-1]
     n = len(small_root)
     trivial = (small_root / np.linalg.norm(small_root))[:, None]
     rng = np.random.default_rng(seed)
     block = k + 2
-    basis = max(basis, 4 * block)
+    basis = max(min(basis, (1 << 25) // n), 4 * block)
 
     def away(x: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Orthonormal columns away from those of ``q``; what vanishes becomes a random one."""
@@ -363,29 +349,40 @@ def singular_triplets(table: SparseRows, k: int, seed: int = 1, basis: int = 192
             x[:, lost] = rng.normal(size=(len(x), lost.sum()))
 
     if n <= 2 * basis:
-        gram = np.concatenate([to_small(to_big(np.eye(n)[:, s : s + 64])) for s in range(0, n, 64)], 1)
+        wide = max(1, min(64, (1 << 23) // len(big_root)))
+        gram = np.concatenate([to_small(to_big(np.eye(n)[:, s : s + wide])) for s in range(0, n, wide)], 1)
         gram = (gram + gram.T) / 2
         # The trivial vector gets the eigenvalue -1, so it isn't among those of vanishing ones either.
         gram -= trivial @ trivial.T * (1 + trivial.T @ gram @ trivial)
         small = np.linalg.eigh(gram)[1][:, -k:]
     else:
-        q = away(rng.normal(size=(n, block)), trivial)
-        g = to_small(to_big(q))
+        # Column 0 of q is the trivial vector, those of g are their products.
+        q, g = np.zeros((n, basis + 1), order="F"), np.zeros((n, basis + 1), order="F")
+        h = np.zeros((basis + 1, basis + 1))
+        q[:, :1], m, cut = trivial, 1, False
+        more = rng.normal(size=(n, block))
         for _ in range(rounds):
-            h = q.T @ g
-            theta, y = np.linalg.eigh((h + h.T) / 2)
-            rest = g @ y[:, -block:] - q @ (y[:, -block:] * theta[-block:])
+            new = slice(m, m + more.shape[1])
+            q[:, new] = away(more, q[:, :m])
+            g[:, new] = to_small(to_big(q[:, new]))
+            m = new.stop
+            h[1:m, new] = q[:, 1:m].T @ g[:, new]
+            h[new, 1:m] = h[1:m, new].T
+            theta, y = np.linalg.eigh((h[1:m, 1:m] + h[1:m, 1:m].T) / 2)
+            rest = g[:, 1:m] @ y[:, -block:] - q[:, 1:m] @ (y[:, -block:] * theta[-block:])
             rest -= trivial @ (trivial.T @ rest)
-            if np.linalg.norm(rest[:, -k:], axis=0).max() <= 1e-10:
+            open_ = np.flatnonzero(np.linalg.norm(rest[:, -k:], axis=0) > 1e-10) + block - k
+            if not len(open_):
                 break
-            if q.shape[1] + block > basis:
-                q, g = q @ y[:, -basis // 2 :], g @ y[:, -basis // 2 :]
-                y = np.eye(q.shape[1])
-            more = away(rest, np.concatenate([trivial, q], 1))
-            q, g = np.concatenate([q, more], 1), np.concatenate([g, to_small(to_big(more))], 1)
+            if m + block > basis + 1:
+                best, cut = y[:, -(basis // 2) :], True
+                q[:, 1 : 1 + best.shape[1]], g[:, 1 : 1 + best.shape[1]] = q[:, 1:m] @ best, g[:, 1:m] @ best
+                m = 1 + best.shape[1]
+                h[1:m, 1:m] = np.diag(theta[1 - m :])
+            more = rest[:, open_] if cut else rest
         else:
             raise RuntimeError(f"the singular vectors have not settled after {rounds} rounds")
-        small = q @ y[:, -k:]
+        small = q[:, 1 : 1 + len(y)] @ y[:, -k:]
     # The triplets of the chosen space, values from the table itself: those of the Gram matrix lose half the digits.
     u, values, turn = np.linalg.svd(to_big(small), full_matrices=False)
     big, values, small = u[:, ::-1].copy(), values[::-1].copy(), small @ turn.T[:, ::-1]

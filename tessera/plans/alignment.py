@@ -18,7 +18,7 @@ from tessera.operators.pair_stats import node_multiplicity, pair_coordinates, pa
 from tessera.operators.patches import create_patch_data, patch_subgraphs, voronoi_patches
 from tessera.operators.synchronise import relative_scale
 from tessera.operators.synthetic import add_noise
-from tessera.plans.fixtures import DIM, NATIONS, POINTS, RING_SQL, TRADE, USABLE, flat, flat_sql, nation_graph, points, ring_frames, ring_members, ring_patches, trade_graph, usable_patches
+from tessera.plans.fixtures import DIM, NATIONS, POINTS, RING_SQL, TRADE, USABLE, flat, flat_sql, nation_graph, points, ring_frames, ring_members, ring_patches, table, trade_graph, usable_patches
 from tessera.session import materialize, scratch_path
 from tessera.sources import files
 
@@ -398,8 +398,9 @@ def gae_patch_embedding_trade(spark, d):
 
 @query("bipartite_svd", "SELECT 4 AS k, TRUE AS ascending, TRUE AS below_one")
 def spectral(spark, d):
-    graph = trade_graph(spark, d)
-    entries = graph.edges.where("src < dst").select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("value"))
+    # From the items: in the graph, parts beyond SUPPLIER_BASE have the ids of suppliers.
+    bought = table(spark, d, "lineitem").select(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"))
+    entries = bought.where("row is not null and col is not null").distinct().withColumn("value", F.lit(1.0))
     rows, columns, values = bipartite_svd(entries, 4)
     return spark.createDataFrame([(len(values), bool((np.diff(values) >= 0).all()), bool((values < 1 + 1e-9).all()))], "k int, ascending boolean, below_one boolean")
 

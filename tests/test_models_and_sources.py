@@ -1,14 +1,16 @@
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.functions.vectors import register_sql_functions
 from tessera.graph import PropertyGraph
 from tessera.operators.embedding import AutoEncoder, EarlyStopping, GraphModel, SpectralEmbedding, bipartite_svd, embed_graph, orthonormal_completion, patch_embeddings, rate_search, singular_triplets
-from tessera.operators.in_task import SparseRows
+from tessera.operators.in_task import RowSums, SparseRows, in_one_task
 from tessera.operators.metrics import reconstruction_auc
 from tessera.operators.synthetic import cluster_points, random_frames
+from tessera.plans import alignment
 from tessera.sources import convert, files
 from tessera.sources.datasets import Dataset, get_dataset, list_available_datasets, register_dataset
 from tessera.streaming.snapshots import edge_stream, run_once, windowed_counts
@@ -307,3 +309,54 @@ def test_bipartite_svd_collects_no_gram_matrix(spark):
     entries = spark.range(9_000).selectExpr("id AS row", "explode(array(id, (id * 7 + 1) % 9000, (id * 31 + 5) % 9000)) AS col", "1D AS value")
     rows_, columns, values = bipartite_svd(entries, 2)
     assert rows_.count() == columns.count() == 9_000 and (values <= 1 + 1e-9).all()
+
+
+def test_row_sums_of_hubs_and_of_the_turned_table():
+    rng = np.random.default_rng(6)
+    dense = np.where(rng.random((70, 50)) < 0.3, rng.random((70, 50)), 0) + 0.01 * np.eye(70, 50)
+    dense[3], dense[:, 5] = 0.5, 0.25
+    for a in (dense, (dense > 0).astype(float)):
+        row, col = np.nonzero(a)
+        table = SparseRows(np.arange(70), np.arange(50), np.searchsorted(row, np.arange(71)), col.astype(np.int32), a[row, col] if a is dense else None)
+        turned = table.turned()
+        assert np.allclose(turned.sums(), a.sum(0))
+        x, y = rng.normal(size=(50, 3)), rng.normal(size=(70, 3))
+        for most in (4, 64):
+            assert np.allclose(RowSums(table, most, 8)(x), a @ x) and np.allclose(RowSums(turned, most, 8)(y), a.T @ y)
+
+
+def test_tables_arrive_whole_in_packed_lists(spark):
+    # A row of more entries than a list holds, weights of one and others, an order that isn't that of rows.
+    entries = spark.range(2_000).selectExpr("id % 3 AS src", "id AS dst", "CASE WHEN id % 3 = 1 THEN 2D ELSE 1D END AS weight")
+
+    def kernel(table):
+        yield pa.record_batch({"src": pa.array(np.repeat(table.ids, np.diff(table.start))), "dst": pa.array(table.columns[table.v]), "weight": pa.array(table.w)})
+
+    got = in_one_task(entries, kernel, "src long, dst long, weight double", square=False)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, entries.collect()))
+
+
+def test_few_products_until_the_singular_vectors_settle(monkeypatch):
+    # A random table: its values lie close together.  With whole blocks all the way it took 408 products.
+    rng = np.random.default_rng(7)
+    row, col = np.divmod(np.unique(rng.integers(0, 20_000 * 2_000, 200_000)), 2_000)
+    ids, row = np.unique(row, return_inverse=True)
+    table = SparseRows(ids, np.arange(2_000), np.searchsorted(row, np.arange(len(ids) + 1)), col.astype(np.int32))
+    products, plain = [], RowSums.__call__
+    monkeypatch.setattr(RowSums, "__call__", lambda self, x: products.append(x.shape[1]) or plain(self, x))
+    left, right, values = singular_triplets(table, 4)
+    assert sum(products) // 2 < 380
+    d1, d2 = np.sqrt(np.diff(table.start))[:, None], np.sqrt(np.bincount(col))[:, None]
+    x, y, back = left * d1, right * d2, np.zeros((len(ids), 4))
+    np.add.at(back, row, right[col])
+    assert np.allclose(y.T @ y, np.eye(4), atol=1e-8) and np.allclose(back / d1, x * values, atol=1e-8)
+
+
+def test_bipartite_svd_keeps_parts_and_suppliers_apart(spark, tmp_path, monkeypatch):
+    # Parts with the ids that suppliers have in the graph were on either side.
+    items = [(1_000_000 + p, s) for p in range(40) for s in range(p % 3, 12, 2)]
+    spark.createDataFrame(items + items[:5] + [(None, 1), (2, None)], "l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen = []
+    monkeypatch.setattr(alignment, "bipartite_svd", lambda entries, k: seen.append(sorted((r.row, r.col, r.value) for r in entries.collect())) or bipartite_svd(entries, k))
+    assert tuple(alignment.queries()["bipartite_svd"](spark, str(tmp_path)).first()) == (4, True, True)
+    assert seen == [sorted((p, s, 1.0) for p, s in items)]
